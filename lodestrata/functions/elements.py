@@ -15,7 +15,7 @@ BLOCK_TAGS = ("p|div|section|article|header|footer|nav|main|aside|ul|ol|table|tr
               "|form|figure|figcaption|dl|dt|dd|br|hr|html|body|head")
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 
-_MARK = "﷐"
+_MARK = "\ufdd0"
 
 
 def markdown_elements(content: Column) -> Column:

@@ -69,9 +69,9 @@ def decode_ignore(content: Column) -> Column:
     A U+FFFD that is really in the file survives: it is parked on a noncharacter while
     the invalid bytes, which decode to U+FFFD, are removed.
     """
-    parked = F.replace(content.cast("string"), F.lit("�"), F.lit("￿"))
-    cleaned = F.replace(F.make_valid_utf8(parked), F.lit("�"), F.lit(""))
-    return F.replace(cleaned, F.lit("￿"), F.lit("�"))
+    parked = F.replace(content.cast("string"), F.lit("\ufffd"), F.lit("\uffff"))
+    cleaned = F.replace(F.make_valid_utf8(parked), F.lit("\ufffd"), F.lit(""))
+    return F.replace(cleaned, F.lit("\uffff"), F.lit("\ufffd"))
 
 
 def bind(value: Column, body) -> Column:
