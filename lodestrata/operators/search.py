@@ -19,18 +19,18 @@ MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def vector_search(
-    vectors: DataFrame, query: Column | list[float], k: int = 10, condition: str | Column | None = None,
+    vectors: DataFrame, query: list[float], k: int = 10, condition: str | Column | None = None,
     vector: str = "vector", key: str = "id",
 ) -> DataFrame:
     """Best ``k`` rows for one query vector: filter, score, then a top-k per task and one merge.
 
-    ``query`` is a list of numbers or a scalar subquery column. The filter runs before the
+    The filter runs before the
     top-k, so ``k`` hits come back whenever that many rows qualify.
     """
     rows = vectors
     if condition is not None:
         rows = rows.filter(F.expr(condition) if isinstance(condition, str) else condition)
-    target = query if isinstance(query, Column) else F.array(*[F.lit(float(x)) for x in query])
+    target = F.array(*[F.lit(float(x)) for x in query])
     scored = rows.withColumn("score", F.round(cosine_similarity(F.col(vector), target), SCORE_DIGITS))
     return scored.filter("score is not null").orderBy(F.desc("score"), F.asc(key)).limit(k)
 
@@ -150,14 +150,19 @@ def build_cells(
     centres = np.array(model.clusterCenters())
     shared = vectors.sparkSession.sparkContext.broadcast(centres)
 
-    @F.pandas_udf("struct<cell int, gap double>")
-    def assign(vs: pd.Series) -> pd.DataFrame:
-        m, c = _stack(vs), shared.value
-        far = (m * m).sum(1)[:, None] - 2 * m @ c.T + (c * c).sum(1)[None, :]
-        cell = far.argmin(1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "gap": np.sqrt(np.maximum(far[np.arange(len(m)), cell], 0))})
-
-    rows = unit.withColumn("_a", assign("_unit")).select("*", "_a.cell", "_a.gap").drop("_a")
+    def assign(batches):
+        c = shared.value
+        for batch in batches:
+            if len(batch):
+                m = _stack(batch["_unit"])
+                far = (m * m).sum(1)[:, None] - 2 * m @ c.T + (c * c).sum(1)[None, :]
+                cell = far.argmin(1)
+                gap = np.sqrt(np.maximum(far[np.arange(len(m)), cell], 0))
+                yield batch.assign(cell=cell.astype("int32"), gap=gap)
+
+    slim = unit.select(key, "_unit")
+    rows = slim.mapInPandas(assign, T.StructType(
+        [*slim.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType())]))
     sizes = rows.groupBy("cell").agg(F.count("*").alias("n"))
     parts = sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("n") / rows_per_part)).cast("int").alias("parts"))
     # one row per cell: as small as the centre table
@@ -171,17 +176,23 @@ def _probes(index: CellIndex, queries: DataFrame, query_key: str, vector: str) -
     """(query, cell, distance to the centre, nearness rank of the cell) for every cell."""
     shared = queries.sparkSession.sparkContext.broadcast(index.centres)
 
-    @F.pandas_udf("array<struct<cell int, far double, near int>>")
-    def distances(vs: pd.Series) -> pd.Series:
-        m, c = _stack(vs), shared.value
-        far = np.sqrt(np.maximum((m * m).sum(1)[:, None] - 2 * m @ c.T + (c * c).sum(1)[None, :], 0))
-        near = far.argsort(1, kind="stable").argsort(1, kind="stable") + 1
-        return pd.Series([[{"cell": j, "far": float(far[i, j]), "near": int(near[i, j])}
-                           for j in range(len(c))] for i in range(len(m))])
+    def distances(batches):
+        c = shared.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            m = _stack(batch["_target"])
+            far = np.sqrt(np.maximum((m * m).sum(1)[:, None] - 2 * m @ c.T + (c * c).sum(1)[None, :], 0))
+            near = far.argsort(1, kind="stable").argsort(1, kind="stable") + 1
+            at = np.repeat(np.arange(len(m)), len(c))
+            out = batch.iloc[at].reset_index(drop=True)
+            yield out.assign(cell=np.tile(np.arange(len(c)), len(m)).astype("int32"),
+                             far=far.ravel(), near=near.ravel().astype("int32"))
 
     unit = queries.select(query_key, l2_normalize(F.col(vector)).alias("_target"))
-    return unit.select(query_key, "_target", F.explode(distances("_target")).alias("p")).select(
-        query_key, "_target", "p.*")
+    return unit.mapInPandas(distances, T.StructType([
+        *unit.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType()),
+        T.StructField("near", T.IntegerType())]))
 
 
 def search_cells(

@@ -16,13 +16,13 @@ NOT_BLANK_SQL = r"regexp_matches(text, '[^\t-\r\x1c-\x20\x85\p{Z}]')"
 
 FIXED_CHUNKS_SQL = rf"""
 WITH RECURSIVE
-words AS (
+words AS MATERIALIZED (
   SELECT doc_id, j, word, sum(length(word) + 1) OVER w - length(word) - 1 AS pos, sum(length(word) + 1) OVER w AS fin
   FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS j
         FROM documents WHERE {NOT_BLANK_SQL})
   WINDOW w AS (PARTITION BY doc_id ORDER BY j ROWS UNBOUNDED PRECEDING)),
 -- first word start inside the overlap reach before each word
-reach AS (
+reach AS MATERIALIZED (
   SELECT a.doc_id, a.j, min(b.pos) AS back
   FROM words a JOIN words b ON b.doc_id = a.doc_id AND b.j < a.j AND b.j >= a.j - {OVERLAP} AND b.pos >= a.pos - {OVERLAP}
   GROUP BY ALL),
