@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrata.session import checkpoint_dir
 from lodestrata.functions.vectors import as_double, cosine_similarity, l2_normalize, norm
 
 # Scores are compared after rounding, so that equal vectors tie whatever the summing order.
@@ -168,6 +169,9 @@ def build_cells(
     # one row per cell: as small as the centre table
     rows = rows.join(F.broadcast(parts), "cell").withColumn(
         "part", F.pmod(F.xxhash64(key), F.col("parts").cast("long")).cast("int"))
+    # every search reads the assigned rows; keep them instead of assigning them again
+    checkpoint_dir(vectors.sparkSession)
+    rows = rows.drop("parts").checkpoint()
     cells = rows.groupBy("cell", "part").agg(F.max("gap").alias("radius"), F.count("*").alias("n"))
     return CellIndex(rows, centres, cells, key)
 

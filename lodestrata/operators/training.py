@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -262,13 +262,15 @@ def best_trial(trials: DataFrame, keys: list[str], metric: str = "metric", mode:
     return ok.groupBy(*keys).agg(pick.alias("_t")).select(*keys, "_t.*")
 
 
-def sample_search_space(spark: SparkSession, space: dict[str, tuple], n: int, seed: int = 42) -> DataFrame:
-    """n draws from ``("choice", [..])``, ``("uniform", a, b)`` and ``("loguniform", a, b)`` entries.
+def sample_search_space(trials: DataFrame, space: dict[str, tuple], seed: int = 42, key: str = "trial_id") -> DataFrame:
+    """One draw per trial from ``("choice", [..])``, ``("uniform", a, b)`` and ``("loguniform", a, b)`` entries.
 
     Each draw is a hash of (seed, trial, name), so it does not depend on the partitioning.
     """
-    unit = lambda name: (
-        F.pmod(F.xxhash64(F.lit(seed), F.col("trial_id"), F.lit(name)), F.lit(2 ** 52)) / float(2 ** 52))
+    def unit(name: str) -> Column:
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.lit(name)))
+        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(2 ** 32)
+
     columns = []
     for name, (kind, *args) in space.items():
         u = unit(name)
@@ -282,4 +284,4 @@ def sample_search_space(spark: SparkSession, space: dict[str, tuple], n: int, se
         else:
             raise ValueError(f"unknown distribution: {kind}")
         columns.append(value.alias(name))
-    return spark.range(n).withColumnRenamed("id", "trial_id").select("trial_id", *columns)
+    return trials.select(key, *columns)
