@@ -127,9 +127,10 @@ def latency_quantiles(requests: DataFrame, keys: list[str], probs=QUANTILES, val
 def latency_quantiles_sketch(requests: DataFrame, keys: list[str], probs=QUANTILES, value: str = "latency") -> DataFrame:
     """Quantiles from a mergeable KLL sketch: bounded memory, one pass, approximate."""
     sketch = requests.groupBy(*keys).agg(F.kll_sketch_agg_double(F.col(value)).alias("s"))
-    points = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
-    return sketch.select(*keys, "s", points).select(
-        *keys, "prob", F.kll_sketch_get_quantile_double("s", F.col("prob")).alias("value"))
+    values = F.array(*[
+        F.struct(F.lit(float(p)).alias("prob"), F.kll_sketch_get_quantile_double("s", F.lit(float(p))).alias("value"))
+        for p in probs])
+    return sketch.select(*keys, F.inline(values))
 
 
 def counter_increase(samples: DataFrame, keys: list[str], seconds: int, ts: str = "ts", value: str = "value",
