@@ -166,7 +166,15 @@ def resume_checkpoint(checkpoints: DataFrame, failures: DataFrame, keys: list[st
 def early_stopping(evals: DataFrame, patience: int = 3, threshold: float = 0.0, greater_is_better: bool = False,
                    keys: list[str] = ["run_id"], order: str = "step", metric: str = "metric",
                    block_width: int = 100_000) -> DataFrame:
-    """Stop step (null if training runs on), best value and number of evaluations per run.
+    """Stop step (null if training runs on), best value and number of evaluations per run."""
+    made = early_stopping_state(evals, None, patience, threshold, greater_is_better, keys, order, metric, block_width)
+    return made.select(*keys, "evaluations", "best", "stop_step", "stopped")
+
+
+def early_stopping_state(evals: DataFrame, state: DataFrame | None, patience: int = 3, threshold: float = 0.0,
+                         greater_is_better: bool = False, keys: list[str] = ["run_id"], order: str = "step",
+                         metric: str = "metric", block_width: int = 100_000) -> DataFrame:
+    """Move the stopping state of every run on by a batch of evaluations.
 
     The first value is the baseline; an improvement beats the best by more than the
     threshold; ``patience`` misses in a row stop the run. Only a new record can be an
@@ -174,33 +182,50 @@ def early_stopping(evals: DataFrame, patience: int = 3, threshold: float = 0.0,
     every record is an improvement and gaps between them decide. Otherwise the records up
     to that stop, which cannot come later, are folded per run as a sorted stream that holds
     one run's state at a time.
+
+    A run of an earlier batch enters as a baseline row numbered by its misses so far;
+    steps of a batch must lie behind those of earlier ones.
     """
-    signed = (-F.col(metric) if greater_is_better else F.col(metric)).cast("double")
-    rows = evals.filter(F.col(metric).isNotNull()).select(*keys, F.col(order).alias("_at"), signed.alias("_m"))
+    sign = -1.0 if greater_is_better else 1.0
+    rows = evals.filter(F.col(metric).isNotNull()).select(
+        *keys, F.col(order).cast("long").alias("_at"), (F.col(metric).cast("double") * sign).alias("_m"),
+        F.lit(None).cast("long").alias("_misses"))
+    if state is not None:
+        rows = rows.join(state.filter("stopped").select(*keys), keys, "left_anti").unionByName(
+            state.filter("not stopped").select(
+                *keys, F.col("last_step").alias("_at"), (F.col("best") * sign).alias("_m"),
+                F.col("misses").alias("_misses")))
+    base = F.col("_misses").isNotNull()
     block = step_block(F.col("_at"), block_width)
-    numbered = running(rows, keys, ["_at"], block, sums={"_n": F.lit(1)})
-    ranked = running(numbered, keys, ["_at"], block, mins={"_best": F.col("_m")}, inclusive=False)
+    ranked = running(rows, keys, ["_at"], block, sums={"_n": (~base).cast("long")})
+    ranked = ranked.withColumn("_n", F.when(base, -F.col("_misses")).otherwise(F.col("_n")))
+    numbered = ranked
+    ranked = running(ranked, keys, ["_at"], block, mins={"_best": F.col("_m")}, inclusive=False)
     records = ranked.filter(F.col("_best").isNull() | (F.col("_m") < F.col("_best")))
-    totals = rows.groupBy(*keys).agg(F.count("*").alias("evaluations"))
+    totals = rows.groupBy(*keys).agg(F.count_if(~base).alias("evaluations"), F.max("_at").alias("last_step"))
 
-    following = _next_value(records, keys, block)
+    following = _next_value(records, keys, block).join(totals.drop("last_step"), keys)
     if threshold == 0.0:
-        gaps = following.join(totals, keys).withColumn(
-            "_gap", F.coalesce("_next", F.col("evaluations") + 1) - F.col("_n"))
-        stops = gaps.groupBy(*keys, "evaluations").agg(
-            F.min(F.when(F.col("_gap") > patience, F.col("_n") + patience)).alias("_stop_n"))
+        gap = F.coalesce("_next", F.col("evaluations") + 1) - F.col("_n")
+        stops = following.groupBy(*keys).agg(F.min(F.when(gap > patience, F.col("_n") + patience)).alias("_stop_n"))
         best = records.join(stops, keys).filter(F.col("_stop_n").isNull() | (F.col("_n") < F.col("_stop_n")))
-        state = best.groupBy(*keys, "evaluations", "_stop_n").agg(F.min("_m").alias("_b"))
+        found = best.groupBy(*keys, "_stop_n").agg(F.min("_m").alias("_b"), F.max("_n").alias("_last_n"))
     else:
         limit = following.groupBy(*keys).agg(
             F.min(F.when(F.col("_next") - F.col("_n") > patience, F.col("_n"))).alias("_last"))
-        useful = records.join(limit, keys).filter(F.col("_last").isNull() | (F.col("_n") <= F.col("_last")))
-        state = _fold_records(useful.join(totals, keys), keys, patience, threshold)
-    stop_rows = numbered.select(*keys, F.col("_n").alias("_stop_n"), F.col("_at").alias("stop_step"))
-    out = state.join(stop_rows, [*keys, "_stop_n"], "left")
-    best_value = -F.col("_b") if greater_is_better else F.col("_b")
-    return out.select(*keys, "evaluations", best_value.alias("best"), "stop_step",
-                      F.col("_stop_n").isNotNull().alias("stopped"))
+        useful = following.join(limit, keys).filter(F.col("_last").isNull() | (F.col("_n") <= F.col("_last")))
+        found = _fold_records(useful, keys, patience, threshold)
+    stop_rows = numbered.filter(~base).select(*keys, F.col("_n").alias("_stop_n"), F.col("_at").alias("stop_step"))
+    out = found.join(totals, keys).join(stop_rows, [*keys, "_stop_n"], "left").select(
+        *keys, "evaluations", (F.col("_b") * sign).alias("best"),
+        (F.col("evaluations") - F.col("_last_n")).alias("misses"), "last_step", "stop_step",
+        F.col("_stop_n").isNotNull().alias("stopped"))
+    if state is None:
+        return out
+    before = state.select(*keys, F.col("evaluations").alias("_before"))
+    moved = out.join(before, keys, "left").withColumn(
+        "evaluations", F.col("evaluations") + F.coalesce("_before", F.lit(0))).drop("_before")
+    return moved.unionByName(state.filter("stopped"))
 
 
 def _next_value(records: DataFrame, keys: list[str], block: Column) -> DataFrame:
@@ -215,17 +240,17 @@ def _next_value(records: DataFrame, keys: list[str], block: Column) -> DataFrame
 
 
 def _fold_records(records: DataFrame, keys: list[str], patience: int, threshold: float) -> DataFrame:
-    names = [*keys, "evaluations", "_stop_n", "_b"]
+    names = [*keys, "_stop_n", "_b", "_last_n"]
     fields = {f.name: f for f in records.schema.fields}
     out = T.StructType([fields[k] for k in keys] + [
-        T.StructField("evaluations", T.LongType()), T.StructField("_stop_n", T.LongType()),
-        T.StructField("_b", T.DoubleType())])
+        T.StructField("_stop_n", T.LongType()), T.StructField("_b", T.DoubleType()),
+        T.StructField("_last_n", T.LongType())])
 
     def finish(key, s):
         stop = s["stop"]
         if stop is None and s["total"] - s["at"] >= patience:
             stop = s["at"] + patience
-        return (*key, s["total"], stop, s["best"])
+        return (*key, stop, s["best"], s["at"])
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, s = None, None
