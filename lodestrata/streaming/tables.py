@@ -39,7 +39,9 @@ def stream_early_stopping(evals: DataFrame, folder: str, available_now: bool = T
         spark = batch.sparkSession
         last = _last_batch(spark, f"{folder}/state", number)
         state = None if last < 0 else spark.read.parquet(f"{folder}/state/batch={last}")
-        early_stopping_state(batch, state, **options).write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+        rows = batch.persist()  # read by several branches of the plan
+        early_stopping_state(rows, state, **options).write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+        rows.unpersist()
 
     return _start(evals, folder, step, available_now)
 
