@@ -44,7 +44,7 @@ def _query_matrix(queries: DataFrame, query_key: str, vector: str, limit_bytes:
         return None
     rows = queries.select(query_key, as_double(F.col(vector)).alias("v")).collect()
     keys = [r[0] for r in rows]
-    matrix = np.array([r["v"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    matrix = np.array([r["v"] for r in rows], dtype=np.float64).reshape(len(rows), size["dim"])
     return keys, matrix
 
 
@@ -59,28 +59,25 @@ def _stack(values) -> np.ndarray:
 
 def vector_search_batch(
     vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "vector", key: str = "id",
-    query_key: str = "query_id", max_broadcast_bytes: int = MAX_BROADCAST_BYTES, keep: list[str] | None = None,
+    query_key: str = "query_id", max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Exact top-k for many queries in one pass over the vectors.
 
     A query matrix within the size limit goes to every task, which scores its rows block by
     block with matrix products and keeps its own top-k per query; only those rows shuffle.
-    A larger query set takes the cell index with the exact finish instead.
+    A larger query set takes the cell index with the exact finish instead. Text and metadata
+    of the hits are a join on the key afterwards, so they are not carried through the scan.
     """
     known = _query_matrix(queries, query_key, vector, max_broadcast_bytes)
     if known is None:
         index = build_cells(vectors, vector=vector, key=key)
         return search_cells(index, queries, k, query_key=query_key, vector=vector, exact=True)
     query_ids, matrix = known
-    if not query_ids:
-        matrix = np.zeros((0, 1))
     targets = _unit(matrix)
     shared = vectors.sparkSession.sparkContext.broadcast((np.array(query_ids, dtype=object), targets))
-    keep = keep or []
 
     def score(batches):
         ids, unit = shared.value
-        best: list[pd.DataFrame] | None = None
         held = pd.DataFrame()
         for batch in batches:
             if not len(batch) or not len(ids):
@@ -94,7 +91,7 @@ def vector_search_batch(
                 top = np.argsort(-column, kind="stable")[:k]
                 top = top[~np.isnan(column[top])]
                 rows = order[top]
-                part = batch.iloc[rows][[key, *keep]].copy()
+                part = batch.iloc[rows][[key]].copy()
                 part["score"] = scores[rows, q]
                 part[query_key] = ids[q]
                 parts.append(part)
@@ -103,13 +100,12 @@ def vector_search_batch(
                 joined = joined.sort_values([query_key, "score", key], ascending=[True, False, True])
                 held = joined.groupby(query_key, sort=False).head(k)
         if len(held):
-            yield held[[query_key, key, *keep, "score"]]
+            yield held[[query_key, key, "score"]]
 
-    fields = {f.name: f for f in vectors.schema.fields}
-    out = T.StructType(
-        [T.StructField(query_key, queries.schema[query_key].dataType), fields[key]]
-        + [fields[c] for c in keep] + [T.StructField("score", T.DoubleType())])
-    partial = vectors.select(vector, key, *keep).filter(F.col(vector).isNotNull()).mapInPandas(score, out)
+    out = T.StructType([
+        T.StructField(query_key, queries.schema[query_key].dataType), vectors.schema[key],
+        T.StructField("score", T.DoubleType())])
+    partial = vectors.select(vector, key).filter(F.col(vector).isNotNull()).mapInPandas(score, out)
     return _rank(partial, k, query_key, key)
 
 
