@@ -20,8 +20,7 @@ def norm(a: Column) -> Column:
 
 def cosine_similarity(a: Column, b: Column) -> Column:
     """Cosine of the angle; null for a zero vector."""
-    scale = norm(a) * norm(b)
-    return F.when(scale > 0, dot(a, b) / scale)
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def l2_normalize(a: Column) -> Column:

@@ -69,7 +69,8 @@ def vector_udf(model: EmbeddingModel):
             filled = batch.map(lambda v: () if v is None else v)
             yield pd.Series(list(run(filled).astype(np.float32)))
 
-    return embed
+    # keeps the optimizer from calling the model a second time inside a pushed-down filter
+    return embed.asNondeterministic()
 
 
 def embed_chunks(
@@ -94,11 +95,12 @@ def embed_chunks(
 def embed_distinct(chunks: DataFrame, model: EmbeddingModel | None = None, text: str = "text") -> DataFrame:
     """Embed each distinct text once and join the vector back.
 
-    Copies are merged map-side before the model runs. The join back is from many chunks to
+    Copies are merged map-side (a plain DISTINCT, which hashes and does not sort the texts)
+    before the model runs. The join back is from many chunks to
     one vector per text; a text owning a third of the chunks is split by the adaptive skew
     join, since the vector side has a single row for it.
     """
-    keyed = chunks.withColumn("_text_key", F.sha2(F.col(text), 256))
-    distinct = keyed.groupBy("_text_key").agg(F.first(text).alias(text))
-    vectors = embed_chunks(distinct, model, text).drop(text)
+    key = F.sha2(F.col(text), 256).alias("_text_key")
+    keyed = chunks.select("*", key)
+    vectors = embed_chunks(chunks.select(text).distinct().select(text, key), model, text).drop(text)
     return keyed.join(vectors, "_text_key").drop("_text_key")

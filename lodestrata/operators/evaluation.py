@@ -69,25 +69,24 @@ def merge_scores(ragas: DataFrame, deepeval: DataFrame, keys: list[str] = ["run"
     return named(ragas, "ragas").unionByName(named(deepeval, "deepeval"))
 
 
-def overall_score(merged: DataFrame, ragas: DataFrame | None, deepeval: DataFrame | None,
-                  keys: list[str] = ["run"]) -> DataFrame:
-    """Mean over all prefixed metrics; passed if both sides did, a missing side counting as passed.
-
-    ``overall_score_oriented`` turns metrics around where low is good before averaging.
+def overall_score(means: DataFrame, keys: list[str] = ["run"],
+                  frameworks: tuple[str, ...] = ("ragas", "deepeval")) -> DataFrame:
+    """Mean over the metrics of both frameworks; passed if both sides did, a missing side counting as passed.
+
+    Takes the metric means with their ``framework`` column and reads them once.
+    ``frameworks`` names the sides that ran: one that ran without any metric passes as
+    ``ragas`` and fails as ``deepeval``. ``overall_score_oriented`` turns metrics around
+    where low is good before averaging.
     """
-    bare = F.regexp_replace("metric", "^(ragas|deepeval)_", "")
-    oriented = F.when(bare.isin(*LOW_IS_GOOD), 1 - F.col("score")).otherwise(F.col("score"))
-    out = merged.groupBy(*keys).agg(
-        F.avg("score").alias("overall_score"), F.avg(oriented).alias("overall_score_oriented"))
-    verdicts = []
-    for side, column, name in ((ragas, "passed", "_ragas"), (deepeval, "all_passed", "_deepeval")):
-        if side is not None:
-            out = out.join(side.select(*keys, F.col(column).alias(name)), keys, "left")
-            verdicts.append(F.coalesce(F.col(name), F.lit(True)))
+    oriented = F.when(F.col("metric").isin(*LOW_IS_GOOD), 1 - F.col("score")).otherwise(F.col("score"))
+    side = lambda name, test: F.bool_and(F.when(F.col("framework") == name, test))
     passed = F.lit(True)
-    for v in verdicts:
-        passed = passed & v
-    return out.withColumn("passed", passed).drop("_ragas", "_deepeval")
+    if "ragas" in frameworks:
+        passed = passed & F.coalesce(side("ragas", F.col("score") > RAGAS_PASS), F.lit(True))
+    if "deepeval" in frameworks:
+        passed = passed & F.coalesce(side("deepeval", F.col("passed")), F.lit(False))
+    return means.filter(F.col("framework").isin(*frameworks)).groupBy(*keys).agg(
+        F.avg("score").alias("overall_score"), F.avg(oriented).alias("overall_score_oriented"), passed.alias("passed"))
 
 
 def quality_gate(results: DataFrame, min_score: float = GATE_MIN_SCORE, require_all_passed: bool = True) -> DataFrame:

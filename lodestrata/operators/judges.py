@@ -32,7 +32,7 @@ def overlap(part: Column, whole: Column) -> Column:
 
 def _share(units: Column, test: Callable[[Column], Column]) -> Column:
     """Share of the units that pass; null if there are none."""
-    return F.when(F.size(units) > 0, F.size(F.filter(units, test)) / F.size(units))
+    return bind(units, lambda u: F.when(F.size(u) > 0, F.size(F.filter(u, test)) / F.size(u)))
 
 
 def _word_sets(texts: Column) -> Column:

@@ -57,7 +57,7 @@ def _merged(t):
 
 
 def _overall(t):
-    return evaluation.overall_score(_merged(t), _ragas(t), _deepeval(t))
+    return evaluation.overall_score(_means(t))
 
 
 @query("metric_means", MEANS_SQL + "SELECT run, framework, metric, round(score, 6) AS score, passed, cases FROM means")

@@ -77,9 +77,11 @@ def same(df, expr, brute):
 def test_against_brute_force(texts, size, overlap):
     same(texts, chunking.fixed_chunks(F.col("text"), size, overlap), lambda t: brute_fixed(t, size, overlap))
     same(texts, chunking.window_chunks(F.col("text"), size, overlap), lambda t: brute_window(t, size, overlap))
+    same(texts, chunking.fixed_chunks_native(F.col("text"), size, overlap), lambda t: brute_fixed(t, size, overlap))
     least = max(overlap, 1)
-    same(texts, chunking.semantic_chunks(F.col("text"), size, least), lambda t: brute_semantic(t, size, least))
-    same(texts, chunking.semantic_chunks(F.col("text"), size, least, False), lambda t: brute_semantic(t, size, least, False))
+    for form in (chunking.semantic_chunks, chunking.semantic_chunks_native):
+        same(texts, form(F.col("text"), size, least), lambda t: brute_semantic(t, size, least))
+        same(texts, form(F.col("text"), size, least, False), lambda t: brute_semantic(t, size, least, False))
 
 
 def test_fixed_chunks_are_substrings_and_empty_text_gives_one(spark, texts):

@@ -37,7 +37,12 @@ def test_strict_pass_mark(spark):
 def test_overall_and_gate(spark, means):
     tox = spark.createDataFrame([("a", "toxicity", 0.1, True)], "run string, metric string, score double, passed boolean")
     merged = evaluation.merge_scores(means, tox)
-    out = evaluation.overall_score(merged, evaluation.ragas_summary(means), evaluation.deepeval_summary(tox))
+    assert ("a", "deepeval_toxicity") in rows(merged, "run", "metric")
+    both = means.withColumn("framework", F.lit("ragas")).unionByName(tox.withColumn("framework", F.lit("deepeval")))
+    out = evaluation.overall_score(both)
+    assert rows(out, "run", "passed") == [("a", False), ("b", False)]  # b ran without any deepeval metric
+    out = evaluation.overall_score(both.filter("run = 'a'")).unionByName(
+        evaluation.overall_score(both.filter("run = 'b'"), frameworks=("ragas",)))
     got = {r["run"]: r for r in out.collect()}
     assert got["a"]["overall_score"] == pytest.approx(1.3 / 3)
     assert got["a"]["overall_score_oriented"] == pytest.approx(2.1 / 3)
