@@ -178,10 +178,10 @@ def early_stopping_state(evals: DataFrame, state: DataFrame | None, patience: in
 
     The first value is the baseline; an improvement beats the best by more than the
     threshold; ``patience`` misses in a row stop the run. Only a new record can be an
-    improvement, so records are found first, in parallel over step ranges. With threshold 0
-    every record is an improvement and gaps between them decide. Otherwise the records up
-    to that stop, which cannot come later, are folded per run as a sorted stream that holds
-    one run's state at a time.
+    improvement, so records are found first, in parallel over step ranges (blocks) of each
+    run. With threshold 0 every record is an improvement, and the first gap between records
+    that is too long decides; blocks are summed up before runs are. With a threshold the
+    records are folded per run as a sorted stream that holds one run's state at a time.
 
     A run of an earlier batch enters as a baseline row numbered by its misses so far;
     steps of a batch must lie behind those of earlier ones.
@@ -195,28 +195,45 @@ def early_stopping_state(evals: DataFrame, state: DataFrame | None, patience: in
             state.filter("not stopped").select(
                 *keys, F.col("last_step").alias("_at"), (F.col("best") * sign).alias("_m"),
                 F.col("misses").alias("_misses")))
+    rows = rows.withColumn("_block", step_block(F.col("_at"), block_width))
     base = F.col("_misses").isNotNull()
-    block = step_block(F.col("_at"), block_width)
-    ranked = running(rows, keys, ["_at"], block, sums={"_n": (~base).cast("long")})
-    ranked = ranked.withColumn("_n", F.when(base, -F.col("_misses")).otherwise(F.col("_n")))
-    numbered = ranked
-    ranked = running(ranked, keys, ["_at"], block, mins={"_best": F.col("_m")}, inclusive=False)
-    records = ranked.filter(F.col("_best").isNull() | (F.col("_m") < F.col("_best")))
-    totals = rows.groupBy(*keys).agg(F.count_if(~base).alias("evaluations"), F.max("_at").alias("last_step"))
-
-    following = _next_value(records, keys, block).join(totals.drop("last_step"), keys)
+    block_keys = [*keys, "_block"]
+
+    # one row per block: what came before it, and the totals of its run
+    run = Window.partitionBy(*keys)
+    earlier = run.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*block_keys).agg(
+        F.count_if(~base).alias("_c"), F.min("_m").alias("_low"), F.max("_at").alias("_last_at")
+    ).select(
+        *block_keys, "_c",
+        F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"),
+        F.min("_low").over(earlier).alias("_before_low"),
+        F.sum("_c").over(run).alias("evaluations"), F.max("_last_at").over(run).alias("last_step"))
+
+    inside = Window.partitionBy(*block_keys).orderBy("_at")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    above = inside.rowsBetween(Window.unboundedPreceding, -1)
+    low = F.least("_before_low", F.min("_m").over(above))
+    number = F.when(base, -F.col("_misses")).otherwise(
+        F.col("_before") + F.sum((~base).cast("long")).over(so_far))
+    records = (
+        rows.join(blocks, block_keys).withColumn("_n", number).withColumn("_best", low)
+        .filter(F.col("_best").isNull() | (F.col("_m") < F.col("_best"))))
     if threshold == 0.0:
-        gap = F.coalesce("_next", F.col("evaluations") + 1) - F.col("_n")
-        stops = following.groupBy(*keys).agg(F.min(F.when(gap > patience, F.col("_n") + patience)).alias("_stop_n"))
-        best = records.join(stops, keys).filter(F.col("_stop_n").isNull() | (F.col("_n") < F.col("_stop_n")))
-        found = best.groupBy(*keys, "_stop_n").agg(F.min("_m").alias("_b"), F.max("_n").alias("_last_n"))
+        found = _first_long_gap(records, keys, inside, patience)
     else:
-        limit = following.groupBy(*keys).agg(
-            F.min(F.when(F.col("_next") - F.col("_n") > patience, F.col("_n"))).alias("_last"))
-        useful = following.join(limit, keys).filter(F.col("_last").isNull() | (F.col("_n") <= F.col("_last")))
-        found = _fold_records(useful, keys, patience, threshold)
-    stop_rows = numbered.filter(~base).select(*keys, F.col("_n").alias("_stop_n"), F.col("_at").alias("stop_step"))
-    out = found.join(totals, keys).join(stop_rows, [*keys, "_stop_n"], "left").select(
+        found = _fold_records(records, keys, patience, threshold)
+
+    # the step of evaluation number _stop_n: only its block is read again
+    at = (F.col("_stop_n") > F.col("_before")) & (F.col("_stop_n") <= F.col("_before") + F.col("_c"))
+    target = blocks.select(*block_keys, "_before", "_c").join(
+        found.filter(F.col("_stop_n").isNotNull()).select(*keys, "_stop_n"), keys).filter(at)
+    stops = (
+        rows.filter(~base).select(*block_keys, "_at").join(target, block_keys)
+        .withColumn("_i", F.row_number().over(inside))
+        .filter(F.col("_before") + F.col("_i") == F.col("_stop_n"))
+        .select(*keys, F.col("_at").alias("stop_step")))
+    out = found.join(stops, keys, "left").select(
         *keys, "evaluations", (F.col("_b") * sign).alias("best"),
         (F.col("evaluations") - F.col("_last_n")).alias("misses"), "last_step", "stop_step",
         F.col("_stop_n").isNotNull().alias("stopped"))
@@ -228,21 +245,32 @@ def early_stopping_state(evals: DataFrame, state: DataFrame | None, patience: in
     return moved.unionByName(state.filter("stopped"))
 
 
-def _next_value(records: DataFrame, keys: list[str], block: Column) -> DataFrame:
-    """Each record with the evaluation number of the one after it."""
-    rows = records.withColumn("_block", block)
-    inside = Window.partitionBy(*keys, "_block").orderBy("_n")
-    heads = rows.groupBy(*keys, "_block").agg(F.min("_n").alias("_head"))
-    after = heads.select(
-        *keys, "_block", F.lead("_head").over(Window.partitionBy(*keys).orderBy("_block")).alias("_after"))
-    out = rows.withColumn("_lead", F.lead("_n").over(inside)).join(after, [*keys, "_block"], "left")
-    return out.withColumn("_next", F.coalesce("_lead", "_after")).drop("_lead", "_after", "_block")
+def _first_long_gap(records: DataFrame, keys: list[str], inside, patience: int) -> DataFrame:
+    """Per run the first record that nothing improves on for ``patience`` evaluations."""
+    this = F.struct("_n", "_m")
+    gap = F.lead("_n").over(inside) - F.col("_n")
+    per_block = records.withColumn("_gap", gap).groupBy(*keys, "_block").agg(
+        F.first("evaluations").alias("evaluations"), F.first("last_step").alias("last_step"),
+        F.min("_n").alias("_first"), F.max_by(this, "_n").alias("_last"),
+        F.min_by(this, F.when(F.col("_gap") > patience, F.col("_n"))).alias("_hit"))
+    following = F.lead("_first").over(Window.partitionBy(*keys).orderBy("_block"))
+    closing = F.coalesce(following, F.col("evaluations") + 1) - F.col("_last._n")
+    per_block = per_block.withColumn("_hit", F.coalesce("_hit", F.when(closing > patience, F.col("_last"))))
+    per_run = per_block.groupBy(*keys).agg(
+        F.first("evaluations").alias("evaluations"), F.first("last_step").alias("last_step"),
+        F.min_by("_hit", F.when(F.col("_hit").isNotNull(), F.col("_block"))).alias("_hit"),
+        F.max_by("_last", "_block").alias("_last"))
+    best = F.coalesce("_hit", "_last")
+    return per_run.select(
+        *keys, "evaluations", "last_step", (F.col("_hit._n") + patience).alias("_stop_n"),
+        best["_m"].alias("_b"), best["_n"].alias("_last_n"))
 
 
 def _fold_records(records: DataFrame, keys: list[str], patience: int, threshold: float) -> DataFrame:
-    names = [*keys, "_stop_n", "_b", "_last_n"]
+    names = [*keys, "evaluations", "last_step", "_stop_n", "_b", "_last_n"]
     fields = {f.name: f for f in records.schema.fields}
     out = T.StructType([fields[k] for k in keys] + [
+        T.StructField("evaluations", T.LongType()), T.StructField("last_step", T.LongType()),
         T.StructField("_stop_n", T.LongType()), T.StructField("_b", T.DoubleType()),
         T.StructField("_last_n", T.LongType())])
 
@@ -250,18 +278,18 @@ def _fold_records(records: DataFrame, keys: list[str], patience: int, threshold:
         stop = s["stop"]
         if stop is None and s["total"] - s["at"] >= patience:
             stop = s["at"] + patience
-        return (*key, stop, s["best"], s["at"])
+        return (*key, s["total"], s["end"], stop, s["best"], s["at"])
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, s = None, None
         for batch in batches:
             done = []
-            columns = [batch[k].tolist() for k in (*keys, "_n", "_m", "evaluations")]
-            for *key, n, value, total in zip(*columns):
+            columns = [batch[k].tolist() for k in (*keys, "_n", "_m", "evaluations", "last_step")]
+            for *key, n, value, total, end in zip(*columns):
                 if key != current:
                     if current is not None:
                         done.append(finish(current, s))
-                    current, s = key, {"best": value, "at": n, "stop": None, "total": total}
+                    current, s = key, {"best": value, "at": n, "stop": None, "total": total, "end": end}
                 elif s["stop"] is None and value < s["best"] - threshold:
                     if n - s["at"] > patience:
                         s["stop"] = s["at"] + patience
@@ -271,7 +299,7 @@ def _fold_records(records: DataFrame, keys: list[str], patience: int, threshold:
         if current is not None:
             yield pd.DataFrame([finish(current, s)], columns=names).astype({"_stop_n": "Int64"})
 
-    ordered = records.select(*keys, "_n", "_m", "evaluations").repartition(*keys).sortWithinPartitions(*keys, "_n")
+    ordered = records.select(*keys, "_n", "_m", "evaluations", "last_step").repartition(*keys).sortWithinPartitions(*keys, "_n")
     return ordered.mapInPandas(fold, out)
 
 
