@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def time_block(ts: Column, seconds: int = 86400) -> Column:
+def time_block(ts: Column, seconds: int = 3600) -> Column:
     """Block number of a timestamp."""
     return F.floor(F.unix_micros(ts.cast("timestamp")) / (seconds * 1_000_000)).cast("long")
 
@@ -100,7 +100,7 @@ def running(
 
 
 def trailing_range(
-    df: DataFrame, keys: list[str], ts: str, seconds: int, aggs: dict[str, Column], block_seconds: int = 86400
+    df: DataFrame, keys: list[str], ts: str, seconds: int, aggs: dict[str, Column], block_seconds: int = 3600
 ) -> DataFrame:
     """Aggregates over the half-open range ``(ts - seconds, ts]`` per key.
 
@@ -125,38 +125,40 @@ def trailing_range(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: list[float], bucket_width: float
+    df: DataFrame, keys: list[str], value: str, probs: list[float], bucket_width: float, levels: int = 2,
+    fan: int = 1024,
 ) -> DataFrame:
     """Interpolated quantiles per key without gathering a key's values in one task.
 
-    A first pass counts values per bucket and finds the buckets holding the wanted ranks;
-    a second counts distinct values inside those buckets alone. One row per key and prob.
+    A first pass counts values per bucket and finds the buckets holding the wanted ranks.
+    Each further level cuts those buckets, and only those, ``fan`` times finer. Distinct
+    values are counted inside the last buckets alone. One row per key and prob.
     """
     v = F.col(value).cast("double")
-    rows = df.filter(v.isNotNull()).select(*keys, v.alias("_v")).withColumn(
-        "_bucket", F.floor(F.col("_v") / bucket_width))
-    counts = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
-    every = Window.partitionBy(*keys)
-    before = every.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(
-        *keys, "_bucket", "_n",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(every).alias("_total"),
-    )
-    points = F.array(*[F.lit(float(p)) for p in probs])
-    wanted = counts.withColumn("prob", F.explode(points)).withColumn("_r", F.col("prob") * (F.col("_total") - 1))
-    wanted = wanted.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_r"), F.ceil("_r")))))
-    wanted = wanted.filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
-    buckets = wanted.select(*keys, "_bucket").distinct()
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    values = (
-        rows.join(buckets, [*keys, "_bucket"], "left_semi")
-        .groupBy(*keys, "_bucket", "_v").agg(F.count("*").alias("_m"))
-        .withColumn("_inner", F.coalesce(F.sum("_m").over(inside), F.lit(0)))
-    )
-    offset = F.col("_rank") - F.col("_before")
-    hits = wanted.join(values, [*keys, "_bucket"]).filter(
-        (offset >= F.col("_inner")) & (offset < F.col("_inner") + F.col("_m")))
-    low, high = F.min("_v"), F.max("_v")
-    return hits.groupBy(*keys, "prob").agg(
+    rows = df.filter(v.isNotNull()).select(*keys, v.alias("_v"))
+    path: list[str] = []
+    wanted = None
+    for level in range(levels + 1):
+        name = f"_b{level}"
+        # below the last bucket level the values themselves are the cells
+        cell = F.col("_v") if level == levels else F.floor(F.col("_v") / (bucket_width / fan ** level))
+        rows = rows.withColumn(name, cell)
+        inside = rows if wanted is None else rows.join(wanted.select(*keys, *path).distinct(), [*keys, *path], "left_semi")
+        every = Window.partitionBy(*keys, *path)
+        before = every.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+        counts = inside.groupBy(*keys, *path, name).agg(F.count("*").alias("_n")).withColumn(
+            "_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        if wanted is None:
+            points = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
+            hits = counts.withColumn("_total", F.sum("_n").over(every)).withColumn("prob", points)
+            hits = hits.withColumn("_r", F.col("prob") * (F.col("_total") - 1)).withColumn(
+                "_rank", F.explode(F.array_distinct(F.array(F.floor("_r"), F.ceil("_r")))))
+        else:
+            hits = wanted.join(counts, [*keys, *path])
+        path = [*path, name]
+        wanted = hits.filter(
+            (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n"))
+        ).select(*keys, *path, "prob", "_r", (F.col("_rank") - F.col("_before")).alias("_rank"))
+    low, high = F.min(name), F.max(name)
+    return wanted.groupBy(*keys, "prob").agg(
         (low + (high - low) * (F.first("_r") - F.floor(F.first("_r")))).alias("value"))

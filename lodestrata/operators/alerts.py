@@ -64,11 +64,8 @@ def holds(value: Column, op: Column, limit: Column) -> Column:
 
 
 def true_steps(signals: DataFrame, rules: DataFrame) -> DataFrame:
-    """Grid steps on which a rule holds. ``signals(signal, series, at, value)``, ``at`` in seconds.
-
-    The rule table is configuration of a fixed size and is broadcast.
-    """
-    return signals.join(F.broadcast(rules), "signal").filter(holds(F.col("value"), F.col("op"), F.col("limit")))
+    """Grid steps on which a rule holds. ``signals(signal, series, at, value)``, ``at`` in seconds."""
+    return signals.join(rules, "signal").filter(holds(F.col("value"), F.col("op"), F.col("limit")))
 
 
 def alert_intervals(signals: DataFrame, rules: DataFrame, step: int) -> DataFrame:

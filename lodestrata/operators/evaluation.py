@@ -116,10 +116,10 @@ def threshold_join(values: DataFrame, limits: DataFrame, keys: list[str], name:
                    value: str = "value") -> DataFrame:
     """Breached limits per key as a list of reasons.
 
-    ``limits(metric, upper)`` has one row per metric name and is broadcast. Reasons are as
-    many as metrics, so the list per key stays short.
+    ``limits(metric, upper)`` has one row per metric name. Reasons are as many as metrics,
+    so the list per key stays short.
     """
-    checked = values.join(F.broadcast(limits), name)
+    checked = values.join(limits, name)
     reason = F.format_string("%s %.2f > %.2f", F.col(name), F.col(value), F.col("upper"))
     return checked.groupBy(*keys).agg(
         F.bool_or(F.col(value) > F.col("upper")).alias("breached"),

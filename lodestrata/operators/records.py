@@ -53,13 +53,13 @@ def delete_ids(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 def merge_new(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """The table plus the rows whose key is new; one row per new key."""
-    fresh = rows.dropDuplicates([key]).join(table.select(key), key, "left_anti")
+    fresh = rows.dropDuplicates([key]).join(table.select(key).distinct(), key, "left_anti")
     return table.unionByName(fresh.select(*table.columns))
 
 
 def skip_existing(docs: DataFrame, processed: DataFrame, source: str = "source", key: str = "doc_key") -> DataFrame:
     """Documents whose md5(source) has not been processed."""
-    return docs.withColumn(key, doc_id(F.col(source))).join(processed.select(key), key, "left_anti")
+    return docs.withColumn(key, doc_id(F.col(source))).join(processed.select(key).distinct(), key, "left_anti")
 
 
 def join_chunk_embedding(chunks: DataFrame, embeddings: DataFrame, key: str) -> DataFrame:
@@ -69,7 +69,7 @@ def join_chunk_embedding(chunks: DataFrame, embeddings: DataFrame, key: str) ->
 
 def known_metrics(requested: DataFrame, known: DataFrame) -> DataFrame:
     """Requested metric names that exist."""
-    return requested.join(F.broadcast(known.select("metric").distinct()), "metric", "left_semi")
+    return requested.join(known.select("metric").distinct(), "metric", "left_semi")
 
 
 def dataset_profile(rows: DataFrame, text: str, tokens: Column) -> DataFrame:

@@ -207,7 +207,7 @@ def search_cells(
     """
     key = index.key
     probes = _probes(index, queries, query_key, vector)
-    parts = F.broadcast(index.cells.select("cell", "part", "radius"))
+    parts = index.cells.select("cell", "part", "radius")
     pairs = probes.join(parts, "cell")
 
     def hits(chosen: DataFrame) -> DataFrame:

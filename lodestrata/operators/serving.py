@@ -60,7 +60,7 @@ def desired_replicas(load: DataFrame, target: float = 70.0, low: int = 1, high:
 
 def rate_limit_check(
     requests: DataFrame, keys: list[str], max_requests: int = REQUESTS_PER_MINUTE,
-    max_tokens: int = TOKENS_PER_MINUTE, seconds: int = RATE_LIMIT_SECONDS, block_seconds: int = 86_400,
+    max_tokens: int = TOKENS_PER_MINUTE, seconds: int = RATE_LIMIT_SECONDS, block_seconds: int = 3600,
 ) -> DataFrame:
     """Requests and tokens of the last minute at each request, and whether a limit is reached."""
     rows = trailing_range(requests, keys, "ts", seconds, {

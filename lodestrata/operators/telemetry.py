@@ -134,7 +134,7 @@ def latency_quantiles_sketch(requests: DataFrame, keys: list[str], probs=QUANTIL
 
 
 def counter_increase(samples: DataFrame, keys: list[str], seconds: int, ts: str = "ts", value: str = "value",
-                     order: list[str] | None = None, block_seconds: int = 86_400) -> DataFrame:
+                     order: list[str] | None = None, block_seconds: int = 3600) -> DataFrame:
     """Growth of a counter per window; a fall is a reset, after which the value counts from 0.
 
     The first sample of a series has nothing before it and adds nothing.

@@ -283,7 +283,7 @@ def fallback_first_healthy(t):
     hourly = inputs.requests(t).groupBy(F.window("ts", "1 hour").alias("window"), "model").agg(
         (F.count_if(F.col("status") == "500") * 4 <= F.count("*")).alias("healthy"))
     chains = serving.chain_table(t.spark, {"main": ["model-0", "model-1", "model-2"], "spare": ["model-3", "model-4"]})
-    made = serving.fallback_first_healthy(F.broadcast(chains), hourly.select(start_of(), "model", "healthy"), ["start", "chain"])
+    made = serving.fallback_first_healthy(chains, hourly.select(start_of(), "model", "healthy"), ["start", "chain"])
     return made.filter("start is not null")
 
 
@@ -317,7 +317,7 @@ def desired_replicas(t):
 SELECT request_id, requests_in_window, tokens_in_window::BIGINT AS tokens_in_window,
        requests_in_window >= 8 OR tokens_in_window >= 900 AS limited FROM w""")
 def rate_limit_check(t):
-    made = serving.rate_limit_check(inputs.requests(t), ["model"], 8, 900, seconds=7200)
+    made = serving.rate_limit_check(inputs.requests(t), ["model"], 8, 900, seconds=7200, block_seconds=86_400)
     return made.select("request_id", "requests_in_window", "tokens_in_window", "limited")
 
 

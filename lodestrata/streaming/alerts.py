@@ -63,7 +63,7 @@ def stream_alerts(signals: DataFrame, rules: DataFrame, step: int) -> DataFrame:
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    tested = signals.join(F.broadcast(rules), "signal").select(
+    tested = signals.join(rules, "signal").select(
         "rule", "series", "at", "for_seconds",
         F.coalesce(holds(F.col("value"), F.col("op"), F.col("limit")), F.lit(False)).alias("true"))
     return tested.groupBy("rule", "series").transformWithStateInPandas(
