@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestrata.operators import registry, training
 from lodestrata.plans import inputs
 from lodestrata.plans.catalog import query
-from lodestrata.plans.inputs import CHECKPOINTS_SQL, TRAINING_LOGS_SQL
+from lodestrata.plans.inputs import CHECKPOINTS_SQL, TRAINING_LOGS_SQL, rounded
 from lodestrata.sources.artifacts import load_train_eval_split
 
 
@@ -48,15 +48,15 @@ def seeded_sample(t):
 @query("rename_training_metrics", f"WITH {TRAINING_LOGS_SQL}" + r"""
 SELECT run_id, step, CASE WHEN starts_with(name, 'eval_') THEN 'eval/' || substr(name, 6)
                           WHEN name IN ('loss', 'learning_rate', 'epoch') THEN 'train/' || name ELSE name END AS metric,
-       round(value, 6) AS value FROM log_values WHERE NOT starts_with(name, '_')""")
+       round(value + 1e-10, 6) AS value FROM log_values WHERE NOT starts_with(name, '_')""")
 def rename_training_metrics(t):
-    return training.rename_training_metrics(inputs.training_logs(t)).withColumn("value", F.round("value", 6))
+    return training.rename_training_metrics(inputs.training_logs(t)).withColumn("value", rounded("value"))
 
 
 @query("rename_eval_metrics", f"WITH {TRAINING_LOGS_SQL}" + """
-SELECT run_id, step, 'eval/' || replace(name, 'eval_', '') AS metric, round(value, 6) AS value FROM log_values""")
+SELECT run_id, step, 'eval/' || replace(name, 'eval_', '') AS metric, round(value + 1e-10, 6) AS value FROM log_values""")
 def rename_eval_metrics(t):
-    return training.rename_eval_metrics(inputs.training_logs(t)).withColumn("value", F.round("value", 6))
+    return training.rename_eval_metrics(inputs.training_logs(t)).withColumn("value", rounded("value"))
 
 
 PERPLEXITY_SQL = """
@@ -69,9 +69,9 @@ def _perplexity(t):
     return training.perplexity(rows, ["source"])
 
 
-@query("perplexity", f"SELECT source, round(avg_loss, 6) AS avg_loss, round(perplexity, 4) AS perplexity FROM ({PERPLEXITY_SQL})")
+@query("perplexity", f"SELECT source, round(avg_loss + 1e-10, 6) AS avg_loss, round(perplexity, 4) AS perplexity FROM ({PERPLEXITY_SQL})")
 def perplexity(t):
-    return _perplexity(t).select("source", F.round("avg_loss", 6).alias("avg_loss"), F.round("perplexity", 4).alias("perplexity"))
+    return _perplexity(t).select("source", rounded("avg_loss").alias("avg_loss"), F.round("perplexity", 4).alias("perplexity"))
 
 
 @query("register_gate", f"SELECT source, coalesce(perplexity, 0) <= 50 AS register FROM ({PERPLEXITY_SQL})")
@@ -83,11 +83,11 @@ def register_gate(t):
 , last AS (SELECT run_id, arg_max(value, step) FILTER (name = 'loss') AS loss,
                   arg_max(value, step) FILTER (name = 'eval_loss') AS eval_loss,
                   arg_max(value, step) FILTER (name = 'samples_per_second') AS rate FROM log_values GROUP BY run_id)
-SELECT run_id, round(loss, 6) AS loss, loss < 1 AS converged, eval_loss - loss < 0.5 AS no_overfit,
+SELECT run_id, round(loss + 1e-10, 6) AS loss, loss < 1 AS converged, eval_loss - loss < 0.5 AS no_overfit,
        rate > 5 AS fast_enough FROM last""")
 def training_health(t):
     return training.training_health(inputs.training_logs(t)).select(
-        "run_id", F.round("loss", 6).alias("loss"), "converged", "no_overfit", "fast_enough")
+        "run_id", rounded("loss").alias("loss"), "converged", "no_overfit", "fast_enough")
 
 
 # -- checkpoints ---------------------------------------------------------------------
@@ -117,11 +117,11 @@ def best_checkpoint(t):
 @query("last_metric_before_save", f"WITH {TRAINING_LOGS_SQL}" + """
 , steps AS (SELECT DISTINCT run_id, step FROM log_values),
 e AS (SELECT run_id, step, value FROM log_values WHERE name = 'eval_loss')
-SELECT run_id, step, round(last_value(value IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY step), 6) AS metric_at_save
+SELECT run_id, step, round(last_value(value IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY step) + 1e-10, 6) AS metric_at_save
 FROM steps LEFT JOIN e USING (run_id, step)""")
 def last_metric_before_save(t):
     made = training.last_metric_before_save(inputs.training_logs(t), "eval_loss", block_width=1000)
-    return made.select("run_id", "step", F.round("metric_at_save", 6).alias("metric_at_save"))
+    return made.select("run_id", "step", rounded("metric_at_save").alias("metric_at_save"))
 
 
 @query("resume_checkpoint", f"WITH {CHECKPOINTS_SQL}" + """
@@ -152,13 +152,13 @@ walk(run_id, n, best, misses, stop) AS (
          CASE WHEN NOT e.m < w.best - {threshold} AND w.misses + 1 >= {patience} THEN e.step END
   FROM walk w JOIN evals e ON e.run_id = w.run_id AND e.n = w.n + 1 WHERE w.stop IS NULL),
 last AS (SELECT run_id, arg_max(best, n) AS best, max(stop) AS stop_step FROM walk GROUP BY run_id)
-SELECT run_id, evaluations, round(best, 6) AS best, stop_step, stop_step IS NOT NULL AS stopped
+SELECT run_id, evaluations, round(best + 1e-10, 6) AS best, stop_step, stop_step IS NOT NULL AS stopped
 FROM last JOIN (SELECT run_id, count(*) AS evaluations FROM evals GROUP BY run_id) USING (run_id)"""
 
 
 def _stopping(t, key, patience, threshold):
     evals = t.events.select(F.col(key).alias("run_id"), F.col("event_id").alias("step"), F.col("value").alias("metric"))
-    return training.early_stopping(evals, patience, threshold, block_width=1000).withColumn("best", F.round("best", 6))
+    return training.early_stopping(evals, patience, threshold, block_width=1000).withColumn("best", rounded("best"))
 
 
 @query("early_stopping", stopping_sql("user_id", 12, 0.0))
@@ -197,14 +197,14 @@ WITH u AS (SELECT o_orderkey AS trial_id,
   ('0x' || substr(md5('42:' || o_orderkey || ':batch_size'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS a,
   ('0x' || substr(md5('42:' || o_orderkey || ':dropout'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS b,
   ('0x' || substr(md5('42:' || o_orderkey || ':learning_rate'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS c FROM orders)
-SELECT trial_id, [4, 8, 16][floor(a * 3)::INT + 1] AS batch_size, round(0.1 * b, 6) AS dropout,
+SELECT trial_id, [4, 8, 16][floor(a * 3)::INT + 1] AS batch_size, round(0.1 * b + 1e-10, 6) AS dropout,
        round(1e6 * exp(ln(1e-5) + c * ln(100)), 3) AS learning_rate_ppm FROM u""")
 def sample_search_space(t):
     """One draw per order as a trial."""
     space = {"batch_size": ("choice", [4, 8, 16]), "dropout": ("uniform", 0.0, 0.1),
              "learning_rate": ("loguniform", 1e-5, 1e-3)}
     drawn = training.sample_search_space(t.orders.select(F.col("o_orderkey").alias("trial_id")), space)
-    return drawn.select("trial_id", "batch_size", F.round("dropout", 6).alias("dropout"),
+    return drawn.select("trial_id", "batch_size", rounded("dropout").alias("dropout"),
                         F.round(F.col("learning_rate") * 1e6, 3).alias("learning_rate_ppm"))
 
 
@@ -297,10 +297,10 @@ def lineage_ancestors(t):
 
 @query("stage_throughput", """
 SELECT l_returnflag, l_linestatus, sum(l_quantity)::BIGINT AS items, round(sum(l_extendedprice / 1000), 3) AS seconds,
-       round(sum(l_quantity) / sum(l_extendedprice / 1000), 6) AS items_per_second FROM lineitem GROUP BY ALL""")
+       round(sum(l_quantity) / sum(l_extendedprice / 1000) + 1e-10, 6) AS items_per_second FROM lineitem GROUP BY ALL""")
 def stage_throughput(t):
     rows = t.lineitem.select("l_returnflag", "l_linestatus", F.col("l_quantity").alias("items"),
                              (F.col("l_extendedprice") / 1000).alias("seconds"))
     return registry.stage_throughput(rows, ["l_returnflag", "l_linestatus"]).select(
         "l_returnflag", "l_linestatus", "items", F.round("seconds", 3).alias("seconds"),
-        F.round("items_per_second", 6).alias("items_per_second"))
+        rounded("items_per_second").alias("items_per_second"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestrata.operators import alerts, evaluation, serving, telemetry
 from lodestrata.plans import inputs
 from lodestrata.plans.catalog import query
-from lodestrata.plans.inputs import REQUESTS_SQL
+from lodestrata.plans.inputs import REQUESTS_SQL, rounded
 
 REQ = f"WITH {REQUESTS_SQL}"
 HOUR = 3600
@@ -81,11 +81,11 @@ h AS (SELECT model, le, count(*) FILTER (latency <= le) AS c FROM requests, boun
 w AS (SELECT *, max(c) OVER (PARTITION BY model) * 0.95 AS rank, coalesce(lag(le) OVER o, 0) AS low,
              coalesce(lag(c) OVER o, 0) AS below FROM h WINDOW o AS (PARTITION BY model ORDER BY le)),
 f AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY le) AS n FROM w WHERE c >= rank)
-SELECT model, round(CASE WHEN le = 'inf'::DOUBLE THEN 10 ELSE low + (le - low) * (rank - below) / (c - below) END, 6) AS quantile
+SELECT model, round(CASE WHEN le = 'inf'::DOUBLE THEN 10 ELSE low + (le - low) * (rank - below) / (c - below) END + 1e-10, 6) AS quantile
 FROM f WHERE n = 1""")
 def histogram_quantile(t):
     buckets = telemetry.latency_histogram(inputs.requests(t), ["model"])
-    return telemetry.histogram_quantile(buckets, ["model"], 0.95).withColumn("quantile", F.round("quantile", 6))
+    return telemetry.histogram_quantile(buckets, ["model"], 0.95).withColumn("quantile", rounded("quantile"))
 
 
 # -- windows -------------------------------------------------------------------------
@@ -93,37 +93,37 @@ def histogram_quantile(t):
 
 @query("request_rate", REQ + f"""
 , r AS (SELECT model, {start_sql(HOUR)} FROM requests)
-SELECT start, model, count(*) AS requests, round(count(*) / 3600, 6) AS rate FROM r GROUP BY ALL""")
+SELECT start, model, count(*) AS requests, round(count(*) / 3600 + 1e-10, 6) AS rate FROM r GROUP BY ALL""")
 def request_rate(t):
     return telemetry.request_rate(inputs.requests(t), ["model"], HOUR).select(
-        start_of(), "model", "requests", F.round("rate", 6).alias("rate"))
+        start_of(), "model", "requests", rounded("rate").alias("rate"))
 
 
 @query("request_rate_sliding", REQ + """
 , r AS (SELECT model, unnest([(us // 900000000 - i) * 900 for i in range(0, 4)]) AS start FROM requests)
-SELECT start, model, count(*) AS requests, round(count(*) / 3600, 6) AS rate FROM r GROUP BY ALL""")
+SELECT start, model, count(*) AS requests, round(count(*) / 3600 + 1e-10, 6) AS rate FROM r GROUP BY ALL""")
 def request_rate_sliding(t):
     return telemetry.request_rate(inputs.requests(t), ["model"], HOUR, 900).select(
-        start_of(), "model", "requests", F.round("rate", 6).alias("rate"))
+        start_of(), "model", "requests", rounded("rate").alias("rate"))
 
 
 @query("request_rate_total", REQ + f"""
 , r AS (SELECT {start_sql(300)} FROM requests)
-SELECT start, count(*) AS requests, round(count(*) / 300, 6) AS rate FROM r GROUP BY ALL""")
+SELECT start, count(*) AS requests, round(count(*) / 300 + 1e-10, 6) AS rate FROM r GROUP BY ALL""")
 def request_rate_total(t):
     return telemetry.request_rate(inputs.requests(t), [], 300).select(
-        start_of(), "requests", F.round("rate", 6).alias("rate"))
+        start_of(), "requests", rounded("rate").alias("rate"))
 
 
 @query("latency_quantiles", REQ + f"""
 , r AS (SELECT model, latency, {start_sql(86400)} FROM requests),
 q AS (SELECT start, model, unnest([0.5, 0.95, 0.99]) AS prob,
              unnest(quantile_cont(latency, [0.5, 0.95, 0.99])) AS value FROM r GROUP BY start, model)
-SELECT start, model, prob::DOUBLE AS prob, round(value, 6) AS value FROM q""")
+SELECT start, model, prob::DOUBLE AS prob, round(value + 1e-10, 6) AS value FROM q""")
 def latency_quantiles(t):
     rows = inputs.requests(t).withColumn("window", telemetry.in_window(86400))
     return telemetry.latency_quantiles(rows, ["window", "model"]).select(
-        start_of(), "model", "prob", F.round("value", 6).alias("value"))
+        start_of(), "model", "prob", rounded("value").alias("value"))
 
 
 @query("latency_quantiles_sketch")
@@ -134,10 +134,10 @@ def latency_quantiles_sketch(t):
 @query("error_ratio", REQ + f"""
 , r AS (SELECT model, status, {start_sql(HOUR)} FROM requests)
 SELECT start, model, count(*) AS requests, count(*) FILTER (starts_with(status, '5')) AS errors,
-       round(count(*) FILTER (starts_with(status, '5')) / count(*), 6) AS ratio FROM r GROUP BY ALL""")
+       round(count(*) FILTER (starts_with(status, '5')) / count(*) + 1e-10, 6) AS ratio FROM r GROUP BY ALL""")
 def error_ratio(t):
     return telemetry.error_ratio(inputs.requests(t), ["model"], HOUR).select(
-        start_of(), "model", "requests", "errors", F.round("ratio", 6).alias("ratio"))
+        start_of(), "model", "requests", "errors", rounded("ratio").alias("ratio"))
 
 
 @query("status_counts", REQ + f"""
@@ -148,27 +148,27 @@ def status_counts(t):
 
 @query("token_throughput", REQ + f"""
 , r AS (SELECT model, prompt_tokens, completion_tokens, {start_sql(300)} FROM requests)
-SELECT start, model, 'prompt' AS type, round(sum(prompt_tokens) / 300, 6) AS rate FROM r GROUP BY start, model
-UNION ALL SELECT start, model, 'completion', round(sum(completion_tokens) / 300, 6) FROM r GROUP BY start, model""")
+SELECT start, model, 'prompt' AS type, round(sum(prompt_tokens) / 300 + 1e-10, 6) AS rate FROM r GROUP BY start, model
+UNION ALL SELECT start, model, 'completion', round(sum(completion_tokens) / 300 + 1e-10, 6) FROM r GROUP BY start, model""")
 def token_throughput(t):
     return telemetry.token_throughput(inputs.requests(t)).select(
-        start_of(), "model", "type", F.round("rate", 6).alias("rate"))
+        start_of(), "model", "type", rounded("rate").alias("rate"))
 
 
-@query("avg_batch_size", REQ + "SELECT model, round(avg(prompt_tokens), 6) AS average FROM requests GROUP BY model")
+@query("avg_batch_size", REQ + "SELECT model, round(avg(prompt_tokens) + 1e-10, 6) AS average FROM requests GROUP BY model")
 def avg_batch_size(t):
-    return telemetry.average_gauge(inputs.requests(t), ["model"], "prompt_tokens").withColumn("average", F.round("average", 6))
+    return telemetry.average_gauge(inputs.requests(t), ["model"], "prompt_tokens").withColumn("average", rounded("average"))
 
 
 @query("counter_increase", """
 WITH s AS (SELECT event_type, epoch_us(ts) // 3600000000 * 3600 AS start, value,
                   lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS prev FROM events)
-SELECT start, event_type, round(sum(CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END), 6) AS increase
+SELECT start, event_type, round(sum(CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END) + 1e-10, 6) AS increase
 FROM s GROUP BY ALL""")
 def counter_increase(t):
     samples = t.events.select("event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
     made = telemetry.counter_increase(samples, ["event_type"], HOUR, order=["ts", "event_id"])
-    return made.select(start_of(), "event_type", F.round("increase", 6).alias("increase"))
+    return made.select(start_of(), "event_type", rounded("increase").alias("increase"))
 
 
 # -- jobs and gauges -----------------------------------------------------------------
@@ -199,10 +199,10 @@ def job_status_counts(t):
 
 
 @query("job_success_rate", f"WITH {JOBS_SQL}" + """
-SELECT queue, round(100.0 * count(*) FILTER (status = 'succeeded') / count(*) FILTER (status IN ('succeeded', 'failed')), 6)
+SELECT queue, round(100.0 * count(*) FILTER (status = 'succeeded') / count(*) FILTER (status IN ('succeeded', 'failed')) + 1e-10, 6)
   AS success_rate FROM jobs GROUP BY queue""")
 def job_success_rate(t):
-    return telemetry.job_success_rate(_jobs(t), ["queue"]).withColumn("success_rate", F.round("success_rate", 6))
+    return telemetry.job_success_rate(_jobs(t), ["queue"]).withColumn("success_rate", rounded("success_rate"))
 
 
 @query("job_duration", """
@@ -227,7 +227,7 @@ def request_timer(t):
 
 @query("training_curves", """
 SELECT user_id AS run_id, epoch_us(ts) // 86400000000 * 86400 AS start,
-       round(avg(value) FILTER (event_type = 'view'), 6) AS eval_loss, round(avg(value) FILTER (event_type = 'click'), 6) AS loss
+       round(avg(value) FILTER (event_type = 'view') + 1e-10, 6) AS eval_loss, round(avg(value) FILTER (event_type = 'click') + 1e-10, 6) AS loss
 FROM events GROUP BY ALL""")
 def training_curves(t):
     points = t.events.select(
@@ -235,17 +235,17 @@ def training_curves(t):
         F.when(F.col("event_type") == "view", "eval_loss").when(F.col("event_type") == "click", "loss")
         .otherwise("other").alias("metric"))
     return telemetry.training_curves(points, ["eval_loss", "loss"], 86400).select(
-        "run_id", start_of(), F.round("eval_loss", 6).alias("eval_loss"), F.round("loss", 6).alias("loss"))
+        "run_id", start_of(), rounded("eval_loss").alias("eval_loss"), rounded("loss").alias("loss"))
 
 
 @query("gauge_utilisation", """
-SELECT epoch_us(ts) // 86400000000 * 86400 AS start, event_type, round(avg(value / 500), 6) AS mean_share,
-       round(max(value / 500), 6) AS peak_share, round(max(value * 1048576) / 1048576, 6) AS peak_mib FROM events GROUP BY ALL""")
+SELECT epoch_us(ts) // 86400000000 * 86400 AS start, event_type, round(avg(value / 500) + 1e-10, 6) AS mean_share,
+       round(max(value / 500) + 1e-10, 6) AS peak_share, round(max(value * 1048576) / 1048576 + 1e-10, 6) AS peak_mib FROM events GROUP BY ALL""")
 def gauge_utilisation(t):
     samples = t.events.select("event_type", F.col("ts").cast("timestamp").alias("ts"),
                               (F.col("value") * 1048576).alias("used"), F.lit(500.0 * 1048576).alias("total"))
     return telemetry.gauge_utilisation(samples, ["event_type"], 86400).select(
-        start_of(), "event_type", *[F.round(c, 6).alias(c) for c in ("mean_share", "peak_share", "peak_mib")])
+        start_of(), "event_type", *[rounded(c).alias(c) for c in ("mean_share", "peak_share", "peak_mib")])
 
 
 @query("component_up", "SELECT user_id AS job, arg_max((event_type <> 'error')::INT, ts) AS latest FROM events GROUP BY user_id")

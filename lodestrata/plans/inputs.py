@@ -21,6 +21,11 @@ def tokens_sql(x: str) -> str:
     return rf"list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 
 
+def rounded(value: Column | str, digits: int = 6) -> Column:
+    """Rounded for comparison; the small shift keeps decimal ties from falling either way with the summing order."""
+    return F.round((F.col(value) if isinstance(value, str) else value) + 1e-10, digits)
+
+
 def documents(t) -> DataFrame:
     return spread(t.documents)
 

@@ -8,6 +8,7 @@ from lodestrata.functions.chunking import fixed_chunks
 from lodestrata.operators import alerts
 from lodestrata.plans import inputs
 from lodestrata.plans.books import stopping_sql
+from lodestrata.plans.inputs import rounded
 from lodestrata.plans.catalog import Tables, query
 from lodestrata.plans.corpus import FIXED_CHUNKS_SQL, OVERLAP, SIZE
 from lodestrata.plans.fleet import BOUNDS_SQL, HOUR, LE_SQL, REQ, shown_bound, start_sql
@@ -36,21 +37,21 @@ CLOSED_SQL = "start + {seconds} <= (SELECT max(us) - 600000000 FROM requests) /
 
 @query("stream_request_rate", REQ + f"""
 , r AS (SELECT model, {start_sql(HOUR)} FROM requests)
-SELECT start, model, count(*) AS requests, round(count(*) / 3600, 6) AS rate FROM r
+SELECT start, model, count(*) AS requests, round(count(*) / 3600 + 1e-10, 6) AS rate FROM r
 WHERE {CLOSED_SQL.format(seconds=HOUR)} GROUP BY ALL""")
 def stream_request_rate(t):
     made = run_available(rates.stream_request_rate(_requests(t), HOUR), new_folder(t.spark))
-    return made.withColumn("rate", F.round("rate", 6))
+    return made.withColumn("rate", rounded("rate"))
 
 
 @query("stream_error_ratio", REQ + f"""
 , r AS (SELECT model, status, {start_sql(HOUR)} FROM requests)
 SELECT start, model, count(*) AS requests, count(*) FILTER (status = '500') AS errors,
-       round(count(*) FILTER (status = '500') / count(*), 6) AS ratio FROM r
+       round(count(*) FILTER (status = '500') / count(*) + 1e-10, 6) AS ratio FROM r
 WHERE {CLOSED_SQL.format(seconds=HOUR)} GROUP BY ALL""")
 def stream_error_ratio(t):
     made = run_available(rates.stream_error_ratio(_requests(t), HOUR), new_folder(t.spark))
-    return made.withColumn("ratio", F.round("ratio", 6))
+    return made.withColumn("ratio", rounded("ratio"))
 
 
 @query("stream_latency_histogram", REQ + f""", {BOUNDS_SQL},
@@ -88,7 +89,7 @@ def stream_early_stopping(t):
         F.col("user_id").alias("run_id"), F.col("event_id").alias("step"), F.col("value").alias("metric"))
     tables.stream_early_stopping(evals, folder, patience=20, threshold=0.5, block_width=1000).awaitTermination()
     return tables.stopping_state(t.spark, folder).select(
-        "run_id", "evaluations", F.round("best", 6).alias("best"), "stop_step", "stopped")
+        "run_id", "evaluations", rounded("best").alias("best"), "stop_step", "stopped")
 
 
 @query("stream_ingest", FIXED_CHUNKS_SQL + """

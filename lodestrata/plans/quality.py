@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestrata.operators import evaluation, judges, records
 from lodestrata.plans import inputs
 from lodestrata.plans.catalog import query
-from lodestrata.plans.inputs import RAG_SAMPLES_SQL, SCORES_SQL, SPACE_SQL, strip_sql, tokens_sql
+from lodestrata.plans.inputs import RAG_SAMPLES_SQL, SCORES_SQL, SPACE_SQL, rounded, strip_sql, tokens_sql
 
 MEANS_SQL = f"""
 WITH {SCORES_SQL},
@@ -60,42 +60,42 @@ def _overall(t):
     return evaluation.overall_score(_means(t))
 
 
-@query("metric_means", MEANS_SQL + "SELECT run, framework, metric, round(score, 6) AS score, passed, cases FROM means")
+@query("metric_means", MEANS_SQL + "SELECT run, framework, metric, round(score + 1e-10, 6) AS score, passed, cases FROM means")
 def metric_means(t):
-    return _means(t).withColumn("score", F.round("score", 6))
+    return _means(t).withColumn("score", rounded("score"))
 
 
 @query("eval_by_dataset", f"""
-WITH {SCORES_SQL} SELECT dataset, metric, round(avg(score), 6) AS score, bool_and(success) AS passed, count(*) AS cases
+WITH {SCORES_SQL} SELECT dataset, metric, round(avg(score) + 1e-10, 6) AS score, bool_and(success) AS passed, count(*) AS cases
 FROM scores GROUP BY ALL""")
 def eval_by_dataset(t):
-    return evaluation.eval_by_dataset(inputs.scores(t)).withColumn("score", F.round("score", 6))
+    return evaluation.eval_by_dataset(inputs.scores(t)).withColumn("score", rounded("score"))
 
 
-@query("ragas_summary", MEANS_SQL + "SELECT run, round(average_score, 6) AS average_score, passed FROM ragas")
+@query("ragas_summary", MEANS_SQL + "SELECT run, round(average_score + 1e-10, 6) AS average_score, passed FROM ragas")
 def ragas_summary(t):
-    return _ragas(t).withColumn("average_score", F.round("average_score", 6))
+    return _ragas(t).withColumn("average_score", rounded("average_score"))
 
 
 @query("deepeval_summary", MEANS_SQL + """
-SELECT run, round(average_score, 6) AS average_score, all_passed, round(pass_rate, 6) AS pass_rate FROM deepeval""")
+SELECT run, round(average_score + 1e-10, 6) AS average_score, all_passed, round(pass_rate + 1e-10, 6) AS pass_rate FROM deepeval""")
 def deepeval_summary(t):
-    return _deepeval(t).select("run", F.round("average_score", 6).alias("average_score"), "all_passed",
-                               F.round("pass_rate", 6).alias("pass_rate"))
+    return _deepeval(t).select("run", rounded("average_score").alias("average_score"), "all_passed",
+                               rounded("pass_rate").alias("pass_rate"))
 
 
-@query("merge_scores", MEANS_SQL + "SELECT run, metric, round(score, 6) AS score FROM merged")
+@query("merge_scores", MEANS_SQL + "SELECT run, metric, round(score + 1e-10, 6) AS score FROM merged")
 def merge_scores(t):
-    return _merged(t).withColumn("score", F.round("score", 6))
+    return _merged(t).withColumn("score", rounded("score"))
 
 
-OVERALL_COLUMNS = "run, round(overall_score, 6) AS overall_score, round(overall_score_oriented, 6) AS overall_score_oriented, passed"
+OVERALL_COLUMNS = "run, round(overall_score + 1e-10, 6) AS overall_score, round(overall_score_oriented + 1e-10, 6) AS overall_score_oriented, passed"
 
 
 @query("overall_score", MEANS_SQL + f"SELECT {OVERALL_COLUMNS} FROM overall")
 def overall_score(t):
-    return _overall(t).select("run", F.round("overall_score", 6).alias("overall_score"),
-                              F.round("overall_score_oriented", 6).alias("overall_score_oriented"), "passed")
+    return _overall(t).select("run", rounded("overall_score").alias("overall_score"),
+                              rounded("overall_score_oriented").alias("overall_score_oriented"), "passed")
 
 
 @query("quality_gate", MEANS_SQL + """
@@ -119,14 +119,14 @@ def threshold_gate(t):
 WITH rates AS (
   SELECT lang, 'toxicity' AS metric, avg(toxic) AS score FROM documents JOIN labels USING (doc_id) GROUP BY lang
   UNION ALL SELECT lang, 'bias', avg(1 - quality) FROM documents JOIN labels USING (doc_id) GROUP BY lang)
-SELECT lang, metric, round(score, 6) AS score, CASE metric WHEN 'toxicity' THEN 0.1 ELSE 0.2 END::DOUBLE AS upper,
+SELECT lang, metric, round(score + 1e-10, 6) AS score, CASE metric WHEN 'toxicity' THEN 0.1 ELSE 0.2 END::DOUBLE AS upper,
        score <= CASE metric WHEN 'toxicity' THEN 0.1 ELSE 0.2 END AS safe FROM rates""")
 def safety_report(t):
     """Toxic share and, as a stand-in for bias, the low-quality share per language."""
     rows = t.documents.select("doc_id", "lang").join(t.labels, "doc_id")
     wide = rows.groupBy("lang").agg(F.avg("toxic").alias("toxicity"), F.avg(1 - F.col("quality")).alias("bias"))
     rates = wide.unpivot(["lang"], ["toxicity", "bias"], "metric", "score")
-    return evaluation.safety_report(rates).withColumn("score", F.round("score", 6))
+    return evaluation.safety_report(rates).withColumn("score", rounded("score"))
 
 
 AB_SQL = """
@@ -151,17 +151,17 @@ def _ab(t):
 
 
 @query("ab_compare", AB_SQL + """
-SELECT case_id, metric, round(score_a, 6) AS score_a, round(score_b, 6) AS score_b, round(delta, 6) AS delta FROM compared""")
+SELECT case_id, metric, round(score_a + 1e-10, 6) AS score_a, round(score_b + 1e-10, 6) AS score_b, round(delta + 1e-10, 6) AS delta FROM compared""")
 def ab_compare(t):
-    return _ab(t).select("case_id", "metric", *[F.round(c, 6).alias(c) for c in ("score_a", "score_b", "delta")])
+    return _ab(t).select("case_id", "metric", *[rounded(c).alias(c) for c in ("score_a", "score_b", "delta")])
 
 
 @query("ab_summary", AB_SQL + """
-SELECT metric, count(*) AS cases, count(delta) AS paired, round(avg(delta), 6) AS mean_delta,
+SELECT metric, count(*) AS cases, count(delta) AS paired, round(avg(delta) + 1e-10, 6) AS mean_delta,
        count(*) FILTER (delta > 0) AS wins_b, count(*) FILTER (delta < 0) AS wins_a, count(*) FILTER (delta = 0) AS ties
 FROM compared GROUP BY metric""")
 def ab_summary(t):
-    return evaluation.ab_summary(_ab(t)).withColumn("mean_delta", F.round("mean_delta", 6))
+    return evaluation.ab_summary(_ab(t)).withColumn("mean_delta", rounded("mean_delta"))
 
 
 @query("known_metrics", """
@@ -231,18 +231,18 @@ wide AS (
 
 
 @query("rag_case_scores", JUDGED_SQL + """
-SELECT case_id, metric, round(score, 6) AS score, score >= 0.5 AS success FROM wide UNPIVOT (score FOR metric IN
+SELECT case_id, metric, round(score + 1e-10, 6) AS score, score >= 0.5 AS success FROM wide UNPIVOT (score FOR metric IN
  (faithfulness, answer_relevancy, context_precision, context_recall, context_relevancy, answer_similarity, answer_correctness))""")
 def rag_case_scores(t):
-    return judges.rag_scores(inputs.rag_samples(t)).withColumn("score", F.round("score", 6))
+    return judges.rag_scores(inputs.rag_samples(t)).withColumn("score", rounded("score"))
 
 
 @query("rag_metric_means", JUDGED_SQL + """
-SELECT metric, round(avg(score), 6) AS score, bool_and(score >= 0.5) AS passed, count(*) AS cases
+SELECT metric, round(avg(score) + 1e-10, 6) AS score, bool_and(score >= 0.5) AS passed, count(*) AS cases
 FROM wide UNPIVOT (score FOR metric IN (faithfulness, answer_relevancy, context_precision, context_recall,
   context_relevancy, answer_similarity, answer_correctness)) GROUP BY metric""")
 def rag_metric_means(t):
-    return evaluation.metric_means(judges.rag_scores(inputs.rag_samples(t)), []).withColumn("score", F.round("score", 6))
+    return evaluation.metric_means(judges.rag_scores(inputs.rag_samples(t)), []).withColumn("score", rounded("score"))
 
 
 def _cases(t):
@@ -255,11 +255,11 @@ def _cases(t):
 @query("case_scores", JUDGED_SQL + f"""
 , c AS (SELECT case_id, 1 - {share_sql('answer', 'csets')} AS hallucination, qa AS relevance,
               {share_sql('answer', '[' + words_sql('question') + ']')} AS groundedness FROM sims)
-SELECT case_id, metric, round(score, 6) AS score,
+SELECT case_id, metric, round(score + 1e-10, 6) AS score,
        CASE WHEN metric = 'hallucination' THEN score <= 0.5 ELSE score >= 0.5 END AS success
 FROM c UNPIVOT (score FOR metric IN (hallucination, relevance, groundedness))""")
 def case_scores(t):
-    return judges.case_scores(_cases(t)).withColumn("score", F.round("score", 6))
+    return judges.case_scores(_cases(t)).withColumn("score", rounded("score"))
 
 
 @query("toxicity_scores")

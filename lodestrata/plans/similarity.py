@@ -8,7 +8,7 @@ from lodestrata.functions import vectors
 from lodestrata.operators import embedding, records, search
 from lodestrata.plans import inputs
 from lodestrata.plans.catalog import query
-from lodestrata.plans.inputs import tokens_sql
+from lodestrata.plans.inputs import rounded, tokens_sql
 
 K = 10
 
@@ -38,41 +38,41 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 @query("mean_pool", """
 WITH parts AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos,
                       CASE WHEN embedding[1] > 0 THEN 1.0 ELSE 0.0 END AS w FROM embeddings)
-SELECT label, pos - 1 AS pos, round(sum(x * w) / greatest(sum(w), 1e-9), 6) AS x FROM parts GROUP BY label, pos""")
+SELECT label, pos - 1 AS pos, round(sum(x * w) / greatest(sum(w), 1e-9) + 1e-10, 6) AS x FROM parts GROUP BY label, pos""")
 def mean_pool(t):
     masked = _vectors(t).withColumn("mask", (F.col("vector")[0] > 0).cast("int"))
     pooled = vectors.mean_pool(masked, ["label"], mask="mask")
     return pooled.select("label", F.posexplode("vector").alias("pos", "x")).select(
-        "label", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+        "label", F.col("pos").cast("long").alias("pos"), rounded("x").alias("x"))
 
 
 @query("l2_normalize", """
 WITH scaled AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (label + 1)) AS v FROM embeddings),
 normed AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos, sqrt(list_dot_product(v, v)) AS n FROM scaled)
-SELECT vec_id, pos - 1 AS pos, round(x / n, 6) AS x FROM normed""")
+SELECT vec_id, pos - 1 AS pos, round(x / n + 1e-10, 6) AS x FROM normed""")
 def l2_normalize(t):
     scaled = F.transform(vectors.as_double(F.col("embedding")), lambda x: x * (F.col("label") + 1))
     unit = t.embeddings.select("vec_id", vectors.l2_normalize(scaled).alias("v"))
     return unit.select("vec_id", F.posexplode("v").alias("pos", "x")).select(
-        "vec_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+        "vec_id", F.col("pos").cast("long").alias("pos"), rounded("x").alias("x"))
 
 
 @query("cosine_similarity", f"""
 WITH {CENTRES_SQL}
-SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], centre), 6) AS score
+SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], centre) + 1e-10, 6) AS score
 FROM embeddings JOIN centres ON query_id = label""")
 def cosine_similarity(t):
     """Each vector against the centre of its own label."""
     centres = _label_centres(t).select(F.col("query_id").alias("label"), F.col("vector").alias("centre"))
     return _vectors(t).join(centres, "label").select(
-        "id", F.round(vectors.cosine_similarity(F.col("vector"), F.col("centre")), 6).alias("score"))
+        "id", rounded(vectors.cosine_similarity(F.col("vector"), F.col("centre"))).alias("score"))
 
 
 WHOLE_SQL = """
 WITH parts AS (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
 means AS (SELECT pos, avg(x) AS x FROM parts GROUP BY ALL),
 q AS (SELECT list(x ORDER BY pos) AS centre FROM means)
-SELECT vec_id AS id, label, round(score, 6) AS score FROM (
+SELECT vec_id AS id, label, round(score + 1e-10, 6) AS score FROM (
   SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], centre), 9) AS score FROM embeddings, q {where})
 ORDER BY score DESC, id LIMIT 10"""
 
@@ -80,7 +80,7 @@ ORDER BY score DESC, id LIMIT 10"""
 def _search_whole(t, condition=None):
     rows = _vectors(t)
     target = vectors.mean_pool(rows, []).first()["vector"]
-    return search.vector_search(rows, target, K, condition).select("id", "label", F.round("score", 6).alias("score"))
+    return search.vector_search(rows, target, K, condition).select("id", "label", rounded("score").alias("score"))
 
 
 @query("vector_search", WHOLE_SQL.format(where=""))
@@ -94,11 +94,11 @@ def vector_search_filtered(t):
     return _search_whole(t, "label = 3")
 
 
-BATCH_SQL = SCORED_SQL + f"SELECT query_id, id, round(score, 6) AS score, rank FROM ranked WHERE rank <= {K}"
+BATCH_SQL = SCORED_SQL + f"SELECT query_id, id, round(score + 1e-10, 6) AS score, rank FROM ranked WHERE rank <= {K}"
 
 
 def _hits(df):
-    return df.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return df.select("query_id", "id", rounded("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("vector_search_batch", BATCH_SQL)
