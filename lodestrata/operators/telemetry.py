@@ -119,9 +119,9 @@ def token_throughput(requests: DataFrame, seconds: int = 300) -> DataFrame:
 
 
 def latency_quantiles(requests: DataFrame, keys: list[str], probs=QUANTILES, value: str = "latency",
-                      bucket_width: float = 0.05) -> DataFrame:
+                      bucket_width: float = 0.05, levels: int = 2) -> DataFrame:
     """Exact interpolated quantiles; a key that owns most rows is spread over value buckets."""
-    return exact_quantiles(requests, keys, value, list(probs), bucket_width)
+    return exact_quantiles(requests, keys, value, list(probs), bucket_width, levels)
 
 
 def latency_quantiles_sketch(requests: DataFrame, keys: list[str], probs=QUANTILES, value: str = "latency") -> DataFrame:

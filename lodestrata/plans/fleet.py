@@ -337,7 +337,7 @@ def _signals(t):
     """Hourly signals per model, one row per series and hour."""
     rows = inputs.requests(t).withColumn("at", (F.floor(F.unix_timestamp("ts") / HOUR) * HOUR).cast("long"))
     keys = ["model", "at"]
-    p99 = telemetry.latency_quantiles(rows, keys, [0.99]).select(
+    p99 = telemetry.latency_quantiles(rows, keys, [0.99], levels=1).select(
         F.lit("latency_p99_5m").alias("signal"), F.col("model").alias("series"), "at", "value")
     wide = rows.groupBy(*keys).agg(
         (F.count_if(F.col("status") == "500") / F.count("*")).alias("error_ratio_5m"),

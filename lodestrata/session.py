@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+# Functions sent to Python workers travel whole, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules["lodestrata"])
+
 # Runtime settings every job relies on; all of them may be set on a live session.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,12 +15,29 @@ def new_folder(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def state_partitions(spark: SparkSession):
+    """Start a query with no more state partitions than twice the cores.
+
+    The number is fixed when a query first starts, so it must suit the cluster: a store per
+    partition is opened and committed in every micro-batch.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def append_stream(df: DataFrame, folder: str, available_now: bool = True):
     """Write a stream to Parquet, exactly once, with its log beside the output."""
     writer = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/log")
     if available_now:
         writer = writer.trigger(availableNow=True)
-    return writer.start(f"{folder}/out")
+    with state_partitions(df.sparkSession):
+        return writer.start(f"{folder}/out")
 
 
 def run_available(df: DataFrame, folder: str) -> DataFrame:
