@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from lodestrata.functions.text import word_tokens
 
 DEFAULT_DIMENSION = 384
+# Texts per call of a neural model.
 DEFAULT_BATCH = 32
 
 
@@ -22,13 +23,15 @@ class EmbeddingModel:
     """``prepare`` turns text into what ``load()`` accepts, inside the JVM.
 
     ``load`` runs once per Python worker and returns a function from a pandas Series of
-    prepared values to a float matrix with one row per value.
+    prepared values to a float matrix with one row per value. It sees ``batch`` values at a
+    time, or a whole Arrow batch if that is None.
     """
 
     name: str
     dimension: int
     prepare: Callable[[Column], Column]
     load: Callable[[], Callable[[pd.Series], np.ndarray]]
+    batch: int | None = DEFAULT_BATCH
 
 
 def token_slots(dimension: int) -> Callable[[Column], Column]:
@@ -55,19 +58,21 @@ def hashing_model(dimension: int = DEFAULT_DIMENSION) -> EmbeddingModel:
             return np.divide(matrix, norms, out=matrix, where=norms > 0)
         return embed
 
-    return EmbeddingModel(f"hashing-{dimension}", dimension, token_slots(dimension), load)
+    return EmbeddingModel(f"hashing-{dimension}", dimension, token_slots(dimension), load, batch=None)
 
 
 def vector_udf(model: EmbeddingModel):
     """The model as an iterator UDF over its prepared column."""
-    load = model.load
+    load, size = model.load, model.batch
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         run = load()
         for batch in batches:
             filled = batch.map(lambda v: () if v is None else v)
-            yield pd.Series(list(run(filled).astype(np.float32)))
+            step = size or max(len(filled), 1)
+            parts = [run(filled.iloc[i:i + step]).astype(np.float32) for i in range(0, len(filled), step)]
+            yield pd.Series([row for part in parts for row in part], dtype=object)
 
     # keeps the optimizer from calling the model a second time inside a pushed-down filter
     return embed.asNondeterministic()
@@ -78,7 +83,6 @@ def embed_chunks(
 ) -> DataFrame:
     """Add ``embedding``, ``model`` and ``dimension``; each row keeps its own vector.
 
-    ``spark.sql.execution.arrow.maxRecordsPerBatch`` sets the batch a model call sees.
     ``partitions`` spreads a model that is much dearer than the scan over more tasks.
     """
     model = model or hashing_model()

@@ -51,10 +51,14 @@ def delete_ids(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return table.join(ids.select(key).distinct(), key, "left_anti")
 
 
+def new_rows(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not in the table; one row per key."""
+    return rows.dropDuplicates([key]).join(table.select(key).distinct(), key, "left_anti")
+
+
 def merge_new(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """The table plus the rows whose key is new; one row per new key."""
-    fresh = rows.dropDuplicates([key]).join(table.select(key).distinct(), key, "left_anti")
-    return table.unionByName(fresh.select(*table.columns))
+    """The table plus the rows whose key is new."""
+    return table.unionByName(new_rows(table, rows, key).select(*table.columns))
 
 
 def skip_existing(docs: DataFrame, processed: DataFrame, source: str = "source", key: str = "doc_key") -> DataFrame:

@@ -1,7 +1,7 @@
 """The vector collection as a versioned Parquet folder with a fixed schema.
 
-Each change writes a new ``version=N`` folder next to the old one, so a job that is lost
-half-way leaves the last whole version readable.
+Inserts append files. A delete or a compaction writes a new ``version=N`` folder next to the
+old one, so a job that is lost half-way leaves the last whole version readable.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata import schemas
-from lodestrata.operators.records import delete_ids, merge_new
+from lodestrata.operators.records import delete_ids, new_rows
 
 
 @dataclass(frozen=True)
@@ -47,10 +47,12 @@ class VectorTable:
         return self.spark.read.schema(schemas.VECTOR_RECORD).parquet(f"{self.path}/version={self._version()}")
 
     def insert(self, rows: DataFrame, unique: bool = False) -> None:
-        """Plain append keeps duplicates; ``unique`` keeps one row per id and skips ids already there."""
+        """Plain append keeps duplicates; ``unique`` keeps one row per id and skips ids already there.
+
+        Both append files; the unique form reads the id column of the table and nothing else.
+        """
         if unique:
-            self._write(merge_new(self.read(), rows, "id"))
-            return
+            rows = new_rows(self.read(), rows, "id")
         rows.select(*schemas.VECTOR_RECORD.fieldNames()).write.mode("append").parquet(
             f"{self.path}/version={self._version()}")
 

@@ -93,6 +93,21 @@ def test_embedding(spark):
     assert once == {i: r["embedding"] for i, r in rows.items() if i != 2}
 
 
+def test_own_model_sees_its_batch_size(spark):
+    def load():
+        calls = []
+
+        def embed(values):
+            calls.append(len(values))
+            return np.array([[len(calls), len(values)] for _ in values], dtype=float)
+        return embed
+
+    model = embedding.EmbeddingModel("own", 2, lambda c: c, load, batch=2)
+    df = spark.range(5).select("id", F.col("id").cast("string").alias("text")).coalesce(1)
+    got = [tuple(r["embedding"]) for r in embedding.embed_chunks(df, model).orderBy("id").collect()]
+    assert got == [(1, 2), (1, 2), (2, 2), (2, 2), (3, 1)]
+
+
 def test_retrieve_contexts(data, spark):
     m, q, vec, ask = data
     hits = search.vector_search_batch(vec, ask, 3)
