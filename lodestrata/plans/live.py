@@ -65,12 +65,13 @@ def stream_latency_histogram(t):
 
 @query("stream_alerts", REQ + f"""
 , r AS (SELECT model, status, {start_sql(HOUR)} FROM requests),
-hit AS (SELECT model, start FROM r WHERE {CLOSED_SQL.format(seconds=HOUR)} GROUP BY ALL
-        HAVING count(*) FILTER (status = '500') / count(*) > 0.05),
-rules AS (SELECT unnest(['InferenceHighErrorRate', 'InferenceCriticalErrorRate']) AS rule),
-isl AS (SELECT *, start - 3600 * row_number() OVER (PARTITION BY model ORDER BY start) AS g FROM hit)
+ratios AS (SELECT model, start, count(*) FILTER (status = '500') / count(*) AS ratio FROM r
+           WHERE {CLOSED_SQL.format(seconds=HOUR)} GROUP BY ALL),
+rules AS (SELECT * FROM (VALUES ('InferenceHighErrorRate', 0.01), ('InferenceCriticalErrorRate', 0.05)) v(rule, upper)),
+isl AS (SELECT rule, model, start, start - 3600 * row_number() OVER (PARTITION BY rule, model ORDER BY start) AS g
+        FROM ratios JOIN rules ON ratio > upper)
 SELECT rule, model AS series, 'firing' AS event, min(start) AS started_at, min(start) + 3600 AS fired_at
-FROM isl, rules GROUP BY rule, model, g HAVING max(start) > min(start)""")
+FROM isl GROUP BY rule, model, g HAVING max(start) > min(start)""")
 def streamed_alerts(t):
     """One stream closes the hourly error ratios, a second one reads them and keeps alert state."""
     first, second = new_folder(t.spark), new_folder(t.spark)
