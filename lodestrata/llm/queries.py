@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _sql_list(values) -> str:
-    return "[" + ", ".join("'" + v + "'" for v in values) + "]"
+    return "(" + ", ".join("'" + v + "'" for v in values) + ")"
 
 
 QUALITY_SQL = rf"""
@@ -45,11 +45,11 @@ lines AS (
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM base)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 m AS (
-  SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::BIGINT AS word_chars,
+  SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
          length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS n_upper,
          length(regexp_replace(text, '[^\p{{L}}]+', '', 'g')) AS n_letters,
-         len(list_filter(ws, x -> list_contains({_sql_list(quality_rules.stop_forms())}, x))) AS n_stop,
+         len(list_filter(ws, lambda x: x IN {_sql_list(quality_rules.stop_forms())})) AS n_stop,
          coalesce(lines.dup, 0)::BIGINT AS n_dup_lines, coalesce(lines.n, 0) AS n_lines,
          coalesce(covered.n, 0)::BIGINT AS n_repeat_words
   FROM base LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id))
