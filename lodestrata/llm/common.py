@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
+import sys
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The six white-space characters between words, as a regular-expression class.
@@ -55,3 +58,28 @@ def running_total(numbers: Column, block: int = 256) -> Column:
 
 def empty_as(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
+
+
+class Shared:
+    """A value sent to every executor once; the caller answers for its size.
+
+    It travels with the classes it is made of, so executors need no copy of this package.
+    """
+
+    def __init__(self, spark: SparkSession, value):
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return pickle.loads(self.sent.value)
+
+
+def per_process(key: tuple, make: Callable):
+    """A value made once in each Python process.
+
+    Functions reach the workers by value, with fresh globals in each task; this outlives tasks.
+    """
+    held = sys.__dict__.setdefault("_held_per_process", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import pii, quality_rules
-from lodestrata.session import apply_conf
+from lodestrata.llm import (
+    decontaminate, html_text, language_id, pii, pretokens, quality_rules, simhash, token_counts, token_files,
+)
+from lodestrata.session import apply_conf, checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +28,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_benchmark_leaks")
+def op1(read):
+    return decontaminate.leaks(read("documents"), read("benchmark"))
+
+
+@query("op2_main_text")
+def op2(read):
+    return html_text.extract(read("pages"))
+
+
 def _sql_list(values) -> str:
     return "(" + ", ".join("'" + v + "'" for v in values) + ")"
 
@@ -72,3 +84,25 @@ def op3(read):
 @query("op4_personal_data")
 def op4(read):
     return pii.digest(pii.personal_data(read("documents")))
+
+
+@query("op6_token_counts")
+def op6(read):
+    return token_counts.token_counts(read("documents"), pretokens.tokenizer_path("byte_bpe_50k.json"))
+
+
+@query("op7_simhash_classes")
+def op7(read):
+    return simhash.near_duplicates(read("documents"))
+
+
+@query("op8_language_id")
+def op8(read):
+    return language_id.identify(read("documents"))
+
+
+@query("op9_token_files")
+def op9(read):
+    docs = read("documents")
+    manifest = token_files.write_tokens(docs, checkpoint_dir(docs.sparkSession), pretokens.tokenizer_path("word_bpe_49k.json"))
+    return token_files.read_tokens(docs.sparkSession, manifest, docs.schema["doc_id"].dataType.simpleString())
