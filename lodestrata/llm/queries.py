@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm import (
-    decontaminate, html_text, language_id, pii, pretokens, quality_rules, simhash, token_counts, token_files,
+    decontaminate, html_text, language_id, line_dedup, mixing, pii, pretokens, quality_rules, simhash, token_counts, token_files,
 )
 from lodestrata.session import apply_conf, checkpoint_dir
 
@@ -86,6 +86,11 @@ def op4(read):
     return pii.digest(pii.personal_data(read("documents")))
 
 
+@query("op5_line_dedup")
+def op5(read):
+    return line_dedup.line_report(read("documents"))
+
+
 @query("op6_token_counts")
 def op6(read):
     return token_counts.token_counts(read("documents"), pretokens.tokenizer_path("byte_bpe_50k.json"))
@@ -106,3 +111,12 @@ def op9(read):
     docs = read("documents")
     manifest = token_files.write_tokens(docs, checkpoint_dir(docs.sparkSession), pretokens.tokenizer_path("word_bpe_49k.json"))
     return token_files.read_tokens(docs.sparkSession, manifest, docs.schema["doc_id"].dataType.simpleString())
+
+
+# Target shares of the tokens by domain.
+MIX = {"clean": 0.9, "low": 0.1, "toxic": 0.0}
+
+
+@query("op10_domain_mixing")
+def op10(read):
+    return mixing.rates(read("documents"), read("labels"), MIX, most=4.0)

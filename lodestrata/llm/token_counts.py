@@ -15,7 +15,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +32,7 @@ _SALTS = 64
 
 
 def split(text: str, path: str) -> tuple[list[str], int]:
-    """Pre-tokens of a text and its number of special tokens."""
-    if pretokens.is_plain(text):
-        return pretokens.byte_tokens(text), 0
+    """Pre-tokens of any text by the library's own steps, and its number of special tokens."""
     tok = pretokens.tokenizer(path)
     parts, special = [text], 0
     for mark in (t.content for t in tok.get_added_tokens_decoder().values()):
@@ -44,7 +44,10 @@ def split(text: str, path: str) -> tuple[list[str], int]:
 
 def _tallies(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: dict[str, int] = {}
+
+        def add(token: str, n: int):
+            held[token] = held.get(token, 0) + n
 
         def flush():
             batch = pa.RecordBatch.from_pydict({"token": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
@@ -52,8 +55,14 @@ def _tallies(path: str):
             return batch
 
         for batch in batches:
-            for text in batch.column("text"):
-                held.update(split(text.as_py() or "", path)[0])
+            for _, texts in pretokens.slices(batch.column("text")):
+                cut = pretokens.cut_bytes(texts)
+                for piece, n in zip(cut.pieces, np.bincount(cut.numbers, minlength=len(cut.pieces)).tolist()):
+                    for token in pretokens.byte_tokens(piece):
+                        add(token, n)
+                for k in np.flatnonzero(~cut.plain):
+                    for token in split(texts[k].as_py(), path)[0]:
+                        add(token, 1)
                 if len(held) > _HELD:
                     yield flush()
         yield flush()
@@ -64,37 +73,56 @@ def _pieces(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = pretokens.tokenizer(path)
         for batch in batches:
-            made = tok.encode_batch(batch.column("token").to_pylist(), add_special_tokens=False)
+            made = tok.encode_batch_fast(batch.column("token").to_pylist(), add_special_tokens=False)
             yield batch.append_column("pieces", pa.array([len(x.ids) for x in made], pa.int64()))
     return count
 
 
-def _documents(path: str, common):
+def _per_text(texts: pa.Array, path: str, known: dict[str, int]):
+    """Per text the sum over known pre-tokens; and (row, token, n) of the others."""
+    cut = pretokens.cut_bytes(texts)
+    sums, others = np.zeros(len(cut.pieces), np.int64), {}
+    for k, piece in enumerate(cut.pieces):
+        for token in pretokens.byte_tokens(piece):
+            pieces = known.get(token)
+            if pieces is None:
+                others.setdefault(k, []).append(token)
+            else:
+                sums[k] += pieces
+    running = np.concatenate([[0], np.cumsum(sums[cut.numbers])])
+    totals = running[cut.ends[1:]] - running[cut.ends[:-1]]
+    found: Counter = Counter()
+    if others:
+        at = np.flatnonzero(np.isin(cut.numbers, np.fromiter(others, np.int64, len(others))))
+        rows = np.searchsorted(cut.ends, at, "right") - 1
+        for row, number in zip(rows.tolist(), cut.numbers[at].tolist()):
+            for token in others[number]:
+                found[row, token] += 1
+    for k in np.flatnonzero(~cut.plain).tolist():
+        tokens, totals[k] = split(texts[k].as_py(), path)
+        for token, n in Counter(tokens).items():
+            if token in known:
+                totals[k] += n * known[token]
+            else:
+                found[k, token] += n
+    return totals.tolist(), found
+
+
+def _documents(path: str, common: Shared):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = common.value
         for batch in batches:
-            rows, tokens, numbers, sizes = [], [], [], []
-            for at, text in enumerate(batch.column("text")):
-                text = text.as_py() or ""
-                found, total = split(text, path)
-                per, others = Counter(found), 0
-                for token, n in per.items():
-                    pieces = known.get(token)
-                    if pieces is None:
-                        tokens.append(token)
-                        numbers.append(n)
-                        others += 1
-                    else:
-                        total += n * pieces
+            for start, texts in pretokens.slices(batch.column("text")):
+                totals, found = _per_text(texts, path, known)
                 # What is already summed travels as so many one-piece marks; no pre-token looks like one.
-                tokens.append(f"\x00{at % _SALTS}")
-                numbers.append(total)
-                rows += [at] * (others + 1)
-                sizes += [len(text.encode())] * (others + 1)
-            keys = batch.select(["doc_id", "text_key"]).take(pa.array(rows, pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [*keys.columns, pa.array(sizes, pa.int64()), pa.array(tokens, pa.string()), pa.array(numbers, pa.int64())],
-                ["doc_id", "text_key", "n_bytes", "token", "n"])
+                rows = [*range(len(totals)), *(row for row, _ in found)]
+                tokens = [*(f"\x00{k % _SALTS}" for k in range(len(totals))), *(token for _, token in found)]
+                at = pa.array(rows, pa.int64())
+                sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()).take(at)
+                keys = batch.slice(start, len(texts)).select(["doc_id", "text_key"]).take(at)
+                yield pa.RecordBatch.from_arrays(
+                    [*keys.columns, sizes, pa.array(tokens, pa.string()), pa.array([*totals, *found.values()], pa.int64())],
+                    ["doc_id", "text_key", "n_bytes", "token", "n"])
     return count
 
 

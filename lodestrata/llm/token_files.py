@@ -17,7 +17,6 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +35,6 @@ END_ID = 1
 MANIFEST = "part int, ids_path string, docs_path string, docs bigint, tokens bigint"
 
 
-def encoded(text: str | None, path: str, end_id: int) -> np.ndarray:
-    """The ids of one text and the end id."""
-    if text and pretokens.is_plain(text):
-        ids = chain.from_iterable(map(pretokens.pieces(path).__getitem__, pretokens.word_tokens(text)))
-    else:
-        ids = pretokens.tokenizer(path).encode(text or "", add_special_tokens=False).ids
-    return np.fromiter(chain(ids, (end_id,)), np.uint32)
-
-
 def _file(uri: str):
     filesystem, path = pyarrow.fs.FileSystem.from_uri(uri)
     return filesystem, path
@@ -91,6 +81,7 @@ def _writer(folder: str, path: str, length: int, rows: int, end_id: int):
         kind = pa.uint16() if pretokens.tokenizer(path).get_vocab_size() <= 1 << 16 else pa.uint32()
         filesystem, base = _file(folder)
         sequences = listing = None
+        end = np.array([end_id], np.uint32)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -100,10 +91,11 @@ def _writer(folder: str, path: str, length: int, rows: int, end_id: int):
                 sequences = _Sequences(ids_sink, length, rows, kind)
                 listing = pa.ipc.new_file(docs_sink, pa.schema([("doc_id", batch.schema.field("doc_id").type), ("n_tokens", pa.int64())]))
             counts = []
-            for text in batch.column("text"):
-                ids = encoded(text.as_py(), path, end_id)
-                sequences.add(ids)
-                counts.append(len(ids))
+            for _, texts in pretokens.slices(batch.column("text")):
+                for ids in pretokens.encode_words(texts, path):
+                    sequences.add(ids)
+                    sequences.add(end)
+                    counts.append(len(ids) + 1)
             listing.write_batch(pa.record_batch([batch.column("doc_id"), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"]))
             docs, tokens = docs + len(counts), tokens + sum(counts)
         if sequences is not None:
