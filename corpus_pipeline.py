@@ -6,18 +6,43 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import quality_rules
+from lodestrata.llm import decontaminate, mixing, pretokens, quality_rules, simhash, token_files
+from lodestrata.llm.queries import MIX, REACH
 from lodestrata.session import apply_conf, checkpoint_dir
 
 
 def good_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that meet every quality rule."""
-    apply_conf(spark)
     return quality_rules.keep_good(docs)
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, the one with the smallest doc_id."""
+    return simhash.keep_one(docs)
+
+
+def unseen_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the fitted mixture says; at a highest rate of 1 none is repeated."""
+    return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), MIX, reach=REACH)
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all documents, and what they say of each: start, tokens, checksum."""
+    manifest = token_files.write_tokens(docs, checkpoint_dir(spark), pretokens.tokenizer_path("word_bpe_49k.json"))
+    return token_files.read_tokens(spark, manifest, docs.schema["doc_id"].dataType.simpleString())
+
+
 STAGES = [
     ("quality rules", good_only),
+    ("SimHash near-dedup", one_of_each),
+    ("benchmark decontamination", unseen_only),
+    ("mixing sources to target weights", to_weights),
+    ("token-ID / binary output", to_tokens),
 ]
 
 # Fingerprints, the fitted mixture and the token files are beyond SQL.

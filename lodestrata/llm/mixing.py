@@ -34,8 +34,9 @@ from lodestrata.llm.components import reliable
 DOMAINS = ("clean", "low", "toxic")
 FEATURES = 1 << 16
 PER_DOMAIN = 1500
-ROUNDS = 25
+ROUNDS = 40
 _STEPS = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.8])
+_BEGINNINGS = (5,)
 _PARTS = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 
 
@@ -44,7 +45,7 @@ def domain(quality: Column, toxic: Column) -> Column:
 
 
 def features(text: str | None) -> np.ndarray:
-    """Hashed words that occur, and coarse shares of capitals, symbols and repeats."""
+    """Hashed words and word beginnings that occur, and coarse shares of capitals, symbols and repeats."""
     parts = _PARTS.findall(text or "")
     if not parts:
         return np.zeros(0, np.int64)
@@ -57,7 +58,7 @@ def features(text: str | None) -> np.ndarray:
         "lines": len(set(text.split("\n"))) / (text.count("\n") + 1),
     }
     named = [f"{k}\x00{int(np.searchsorted(_STEPS, v, 'right'))}" for k, v in shares.items()]
-    named.append(f"size\x00{n.bit_length()}")
+    named += {f"{w[:k]}\x00" for w in kinds for k in _BEGINNINGS if len(w) >= k}
     return np.unique(np.fromiter((zlib.crc32(w.encode()) % FEATURES for w in [*kinds, *named]), np.int64))
 
 
@@ -84,7 +85,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, per_domain: int = PER_DOMAIN
     if not rows:
         return None
     vectors = [(np.array(r["at"]), np.ones(len(r["at"]))) for r in rows]
-    return sparse_model.fit(vectors, [r.domain for r in rows], FEATURES, epochs=4, alpha=0.1, l1=1.0, l2=0.1)
+    return sparse_model.fit(vectors, [r.domain for r in rows], FEATURES, epochs=10, alpha=1.0, l1=3.0, l2=0.02)
 
 
 def _posterior(model: sparse_model.Model | None, text: str | None, anchor: str) -> list[float]:
