@@ -1,7 +1,7 @@
 """Token counts: the pieces of each distinct pre-token are counted once and joined back.
 
 First pass: pre-tokens of all texts, summed per task and then per pre-token, and the number of
-pieces of each. The most frequent of them, a fixed number, go to every task as a table; the
+pieces of each. The most frequent of them, a bounded number, go to every task as a table; the
 second pass adds those up per document and sends only the others through an equi-join. Ids of
 documents are never made.
 
@@ -25,8 +25,8 @@ from lodestrata.llm import pretokens
 from lodestrata.llm.common import Shared, columns
 from lodestrata.llm.components import reliable
 
-# Pre-tokens whose counts every task holds, and the longest of them in bytes: at most 4 MB.
-COMMON, COMMON_BYTES = 1 << 16, 64
+# Pre-tokens whose counts every task holds, and the longest of them in bytes: at most 16 MB.
+COMMON, COMMON_BYTES = 1 << 18, 64
 _HELD = 200_000
 _SALTS = 64
 
@@ -132,12 +132,31 @@ def pretoken_pieces(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return seen.groupBy("token").agg(F.sum("n").alias("n")).mapInArrow(_pieces(tokenizer_path), "token string, n bigint, pieces bigint")
 
 
+def common_pieces(table: DataFrame) -> dict[str, int]:
+    """The most frequent pre-tokens and their pieces, COMMON at most.
+
+    The lowest frequency that still fits is read off a histogram, so that no task sends more
+    than it has of them.
+    """
+    short = table.filter(F.octet_length("token") <= COMMON_BYTES).withColumn("level", F.floor(F.log2("n") * 16).cast("int"))
+    sizes = sorted(((r.level, r.c) for r in short.groupBy("level").agg(F.count("*").alias("c")).collect()), reverse=True)
+    total, least = 0, None
+    for level, count in sizes:
+        total += count
+        if total > COMMON:
+            break
+        least = level
+    if least is None:
+        return {}
+    found = short.filter(F.col("level") >= least).select("token", "pieces").toArrow()
+    return dict(zip(found.column("token").to_pylist(), found.column("pieces").to_pylist()))
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> DataFrame:
     """Per row: doc_id, n_bytes (UTF-8), n_tokens and whether they are over the limit."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     table = reliable(pretoken_pieces(docs, tokenizer_path))
-    short = table.filter(F.octet_length("token") <= COMMON_BYTES)
-    common = {r.token: r.pieces for r in short.orderBy(F.desc("n"), "token").limit(COMMON).collect()}
+    common = common_pieces(table)
     marks = spark.range(_SALTS).select(F.concat(F.lit("\x00"), F.col("id").cast("string")).alias("token"), F.lit(1).cast("long").alias("pieces"))
     keyed = columns(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text"))
     parts = keyed.mapInArrow(_documents(tokenizer_path, Shared(spark, common)),
