@@ -8,6 +8,8 @@ on the data alone, so a lost executor changes nothing.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,13 @@ def step_block(step: Column, width: int = 100_000) -> Column:
     return F.floor(step / width).cast("long")
 
 
+def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null, as it does in a window's partitions."""
+    named = right.select(*[F.col(c).alias(f"_key_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    return left.join(named, on, how).drop(*[f"_key_{k}" for k in keys])
+
+
 def previous_row(
     df: DataFrame, keys: list[str], order: list[str], values: list[str], block: Column, prefix: str = "prev_"
 ) -> DataFrame:
@@ -33,7 +42,7 @@ def previous_row(
     carry = last.select(
         *keys, "_block", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_block")).alias("_carry")
     )
-    out = rows.withColumn("_lag", F.lag(fields).over(inside)).join(carry, [*keys, "_block"], "left")
+    out = match(rows.withColumn("_lag", F.lag(fields).over(inside)), carry, [*keys, "_block"], "left")
     found = F.coalesce("_lag", "_carry")
     for v in values:
         out = out.withColumn(prefix + v, found[v])
@@ -83,7 +92,7 @@ def running(
         *keys, "_block", *[over(n, k, f"_t_{n}", earlier).alias(f"_c_{n}") for n, _, k in specs]
     )
     out = rows.select("*", *[over(n, k, f"_v_{n}", inside).alias(f"_w_{n}") for n, _, k in specs])
-    out = out.join(carry, [*keys, "_block"], "left")
+    out = match(out, carry, [*keys, "_block"], "left")
     for name, _, kind in specs:
         here, before = F.col(f"_w_{name}"), F.col(f"_c_{name}")
         if kind == "sum":
@@ -143,7 +152,7 @@ def exact_quantiles(
         # below the last bucket level the values themselves are the cells
         cell = F.col("_v") if level == levels else F.floor(F.col("_v") / (bucket_width / fan ** level))
         rows = rows.withColumn(name, cell)
-        inside = rows if wanted is None else rows.join(wanted.select(*keys, *path).distinct(), [*keys, *path], "left_semi")
+        inside = rows if wanted is None else match(rows, wanted.select(*keys, *path).distinct(), [*keys, *path], "left_semi")
         every = Window.partitionBy(*keys, *path)
         before = every.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
         counts = inside.groupBy(*keys, *path, name).agg(F.count("*").alias("_n")).withColumn(
@@ -154,7 +163,7 @@ def exact_quantiles(
             hits = hits.withColumn("_r", F.col("prob") * (F.col("_total") - 1)).withColumn(
                 "_rank", F.explode(F.array_distinct(F.array(F.floor("_r"), F.ceil("_r")))))
         else:
-            hits = wanted.join(counts, [*keys, *path])
+            hits = match(wanted, counts, [*keys, *path])
         path = [*path, name]
         wanted = hits.filter(
             (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrata.functions.blocks import match
 from lodestrata.functions.text import word_tokens
 
 DEFAULT_DIMENSION = 384
@@ -101,10 +102,10 @@ def embed_distinct(chunks: DataFrame, model: EmbeddingModel | None = None, text:
 
     Copies are merged map-side (a plain DISTINCT, which hashes and does not sort the texts)
     before the model runs. The join back is from many chunks to
-    one vector per text; a text owning a third of the chunks is split by the adaptive skew
+    one vector per text, null texts among them; a text owning a third of the chunks is split by the adaptive skew
     join, since the vector side has a single row for it.
     """
     key = F.sha2(F.col(text), 256).alias("_text_key")
     keyed = chunks.select("*", key)
     vectors = embed_chunks(chunks.select(text).distinct().select(text, key), model, text).drop(text)
-    return keyed.join(vectors, "_text_key").drop("_text_key")
+    return match(keyed, vectors, ["_text_key"], "left").drop("_text_key")

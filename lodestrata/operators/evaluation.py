@@ -71,24 +71,25 @@ def merge_scores(ragas: DataFrame, deepeval: DataFrame, keys: list[str] = ["run"
     return named(ragas, "ragas").unionByName(named(deepeval, "deepeval"))
 
 
-def overall_score(means: DataFrame, keys: list[str] = ["run"],
-                  frameworks: tuple[str, ...] = ("ragas", "deepeval")) -> DataFrame:
-    """Mean over the metrics of both frameworks; passed if both sides did, a missing side counting as passed.
-
-    Takes the metric means with their ``framework`` column and reads them once.
-    ``frameworks`` names the sides that ran: one that ran without any metric passes as
-    ``ragas`` and fails as ``deepeval``. ``overall_score_oriented`` turns metrics around
-    where low is good before averaging.
+def overall_score(means: DataFrame, keys: list[str] = ["run"], ran: DataFrame | None = None) -> DataFrame:
+    """Mean over the metrics of both frameworks; passed if both sides did, a side that never ran counting as passed.
+
+    Takes the metric means with their ``framework`` column and reads them once. ``ran(keys,
+    framework)`` adds sides that ran, whether or not they left a metric: without one, ``ragas``
+    passes, ``deepeval`` fails and the score of a run with no metric at all is 0.
+    ``overall_score_oriented`` turns metrics around where low is good before averaging.
     """
+    means = means.select(*keys, "framework", "metric", "score", "passed")
+    if ran is not None:
+        means = means.unionByName(ran.select(*keys, "framework").distinct(), allowMissingColumns=True)
+    has = F.col("metric").isNotNull()
     oriented = F.when(F.col("metric").isin(*LOW_IS_GOOD), 1 - F.col("score")).otherwise(F.col("score"))
-    side = lambda name, test: F.bool_and(F.when(F.col("framework") == name, test))
-    passed = F.lit(True)
-    if "ragas" in frameworks:
-        passed = passed & F.coalesce(side("ragas", F.col("score") > RAGAS_PASS), F.lit(True))
-    if "deepeval" in frameworks:
-        passed = passed & F.coalesce(side("deepeval", F.col("passed")), F.lit(False))
-    return means.filter(F.col("framework").isin(*frameworks)).groupBy(*keys).agg(
-        F.avg("score").alias("overall_score"), F.avg(oriented).alias("overall_score_oriented"), passed.alias("passed"))
+    side = lambda name, test: F.bool_and(F.when((F.col("framework") == name) & has, test))
+    idle = ~F.bool_or(F.col("framework") == "deepeval")
+    passed = F.coalesce(side("ragas", F.col("score") > RAGAS_PASS), F.lit(True)) & F.coalesce(side("deepeval", F.col("passed")), idle)
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    return means.filter(F.col("framework").isin("ragas", "deepeval")).groupBy(*keys).agg(
+        mean("score").alias("overall_score"), mean(oriented).alias("overall_score_oriented"), passed.alias("passed"))
 
 
 def quality_gate(results: DataFrame, min_score: float = GATE_MIN_SCORE, require_all_passed: bool = True) -> DataFrame:
@@ -118,13 +119,13 @@ def threshold_join(values: DataFrame, limits: DataFrame, keys: list[str], name:
                    value: str = "value") -> DataFrame:
     """Breached limits per key as a list of reasons.
 
-    ``limits(metric, upper)`` has one row per metric name. Reasons are as many as metrics,
-    so the list per key stays short.
+    ``limits(metric, upper)`` has one row per metric name; a metric without one breaches
+    nothing. Reasons are as many as metrics, so the list per key stays short.
     """
-    checked = values.join(limits, name)
+    checked = values.join(limits, name, "left")
     reason = F.format_string("%s %.2f > %.2f", F.col(name), F.col(value), F.col("upper"))
     return checked.groupBy(*keys).agg(
-        F.bool_or(F.col(value) > F.col("upper")).alias("breached"),
+        F.coalesce(F.bool_or(F.col(value) > F.col("upper")), F.lit(False)).alias("breached"),
         F.array_join(F.sort_array(F.collect_set(F.when(F.col(value) > F.col("upper"), reason))), "; ").alias("reasons"),
     )
 

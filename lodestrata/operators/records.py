@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions.blocks import match
 from lodestrata.functions.text import doc_id, is_blank, strip
 
 
@@ -51,14 +52,21 @@ def delete_ids(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return table.join(ids.select(key).distinct(), key, "left_anti")
 
 
-def new_rows(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+def one_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: the least by a digest of all its columns, so that a repeated job picks the same."""
+    row = F.struct(*rows.columns)
+    return rows.groupBy(*[F.col(k).alias(f"_by_{k}") for k in keys]).agg(
+        F.min_by(row, F.sha2(F.to_json(row), 256)).alias("_row")).select("_row.*")
+
+
+def new_rows(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """The rows whose key is not in the table; one row per key."""
-    return rows.dropDuplicates([key]).join(table.select(key).distinct(), key, "left_anti")
+    return match(one_per_key(rows, keys), table.select(*keys).distinct(), keys, "left_anti")
 
 
 def merge_new(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """The table plus the rows whose key is new."""
-    return table.unionByName(new_rows(table, rows, key).select(*table.columns))
+    return table.unionByName(new_rows(table, rows, [key]).select(*table.columns))
 
 
 def skip_existing(docs: DataFrame, processed: DataFrame, source: str = "source", key: str = "doc_key") -> DataFrame:

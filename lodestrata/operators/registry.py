@@ -46,19 +46,19 @@ def lineage_gaps(stages: DataFrame, artifacts: DataFrame) -> DataFrame:
         artifacts.select(F.col("artifact").alias("input")), "input", "left_anti")
 
 
-def ancestors(edges: DataFrame, max_depth: int = 50) -> DataFrame:
+def ancestors(edges: DataFrame) -> DataFrame:
     """Every (artifact, ancestor, distance) over ``edges(child, parent)``.
 
-    One join per level until nothing is new. Each level is checkpointed, so a late level
-    does not drag the whole history along. An artifact reached twice keeps its shortest
-    distance, which also ends cycles.
+    One join per level until nothing is new, however deep that is. Each level is checkpointed,
+    so a late level does not drag the whole history along. An artifact reached twice keeps its
+    shortest distance, which also ends cycles.
     """
     checkpoint_dir(edges.sparkSession)
     step = edges.select(F.col("child").alias("_via"), F.col("parent").alias("_up")).distinct()
-    frontier = step.select(F.col("_via").alias("artifact"), F.col("_up").alias("ancestor"), F.lit(1).alias("distance"))
-    found = frontier.checkpoint()
-    frontier = found
-    for distance in range(2, max_depth + 1):
+    found = step.select(F.col("_via").alias("artifact"), F.col("_up").alias("ancestor"), F.lit(1).alias("distance")).checkpoint()
+    frontier, distance = found, 1
+    while not frontier.isEmpty():
+        distance += 1
         frontier = (
             frontier.join(step, F.col("ancestor") == F.col("_via"))
             .select("artifact", F.col("_up").alias("ancestor")).distinct()
@@ -66,8 +66,6 @@ def ancestors(edges: DataFrame, max_depth: int = 50) -> DataFrame:
             .withColumn("distance", F.lit(distance))
             .checkpoint()
         )
-        if frontier.isEmpty():
-            break
         found = found.unionByName(frontier)
     return found
 

@@ -17,6 +17,10 @@ from lodestrata.functions.vectors import as_double, cosine_similarity, l2_normal
 SCORE_DIGITS = 9
 # Largest query matrix (rows x dimension x 8 bytes) that is handed to every task.
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+# Largest block of scores (rows x queries x 8 bytes) that a task holds at once.
+SCORE_BLOCK_BYTES = 32 * 1024 * 1024
+# Fewest and most cells of an index; the table of their centres goes to every task.
+CELLS = (16, 4096)
 
 
 def vector_search(
@@ -33,7 +37,12 @@ def vector_search(
         rows = rows.filter(F.expr(condition) if isinstance(condition, str) else condition)
     target = F.array(*[F.lit(float(x)) for x in query])
     scored = rows.withColumn("score", F.round(cosine_similarity(F.col(vector), target), SCORE_DIGITS))
-    return scored.filter("score is not null").orderBy(F.desc("score"), F.asc(key)).limit(k)
+    return scored.filter(_scored()).orderBy(F.desc("score"), F.asc(key)).limit(k)
+
+
+def _scored() -> Column:
+    """A row without direction (null, zero or NaN vector) has no score and is no hit, on every path."""
+    return F.col("score").isNotNull() & ~F.isnan("score")
 
 
 def _query_matrix(queries: DataFrame, query_key: str, vector: str, limit_bytes: int):
@@ -82,19 +91,21 @@ def vector_search_batch(
         for batch in batches:
             if not len(batch) or not len(ids):
                 continue
-            scores = np.round(_unit(_stack(batch[vector])) @ unit.T, SCORE_DIGITS)
             keys = batch[key].to_numpy()
             order = np.argsort(keys, kind="stable")
+            rows_unit = _unit(_stack(batch[vector]))[order]
+            tile = max(1, SCORE_BLOCK_BYTES // (8 * len(batch)))
             parts = [held]
-            for q in range(len(ids)):
-                column = scores[order, q]
-                top = np.argsort(-column, kind="stable")[:k]
-                top = top[~np.isnan(column[top])]
-                rows = order[top]
-                part = batch.iloc[rows][[key]].copy()
-                part["score"] = scores[rows, q]
-                part[query_key] = ids[q]
-                parts.append(part)
+            for first in range(0, len(ids), tile):
+                scores = np.round(rows_unit @ unit[first:first + tile].T, SCORE_DIGITS)
+                for q in range(scores.shape[1]):
+                    column = scores[:, q]
+                    top = np.argsort(-column, kind="stable")[:k]
+                    top = top[~np.isnan(column[top])]
+                    part = batch.iloc[order[top]][[key]].copy()
+                    part["score"] = column[top]
+                    part[query_key] = ids[first + q]
+                    parts.append(part)
             joined = pd.concat([p for p in parts if len(p)]) if any(len(p) for p in parts) else held
             if len(joined):
                 joined = joined.sort_values([query_key, "score", key], ascending=[True, False, True])
@@ -125,25 +136,23 @@ class CellIndex:
 
 
 def build_cells(
-    vectors: DataFrame, n_cells: int = 16, vector: str = "vector", key: str = "id", seed: int = 7,
-    train_rows: int = 200_000, rows_per_part: int = 100_000,
+    vectors: DataFrame, n_cells: int | None = None, vector: str = "vector", key: str = "id", seed: int = 7,
+    rows_per_part: int = 100_000,
 ) -> CellIndex:
     """Assign every vector to its nearest k-means centre.
 
-    Centres are fitted on at most about ``train_rows`` vectors; that only shapes the cells,
-    every vector is assigned. A cell above ``rows_per_part`` is split into parts by a hash
+    Centres are fitted on all vectors; their number is the root of the number of vectors
+    within the bounds of ``CELLS`` unless it is given. A cell above ``rows_per_part`` is split into parts by a hash
     of the key, so one crowded cell is many tasks. Write ``rows`` partitioned by ``cell`` to
     keep the index; a probe of few cells then prunes the other folders.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    unit = vectors.withColumn("_unit", l2_normalize(F.col(vector))).filter(norm(F.col(vector)) > 0)
-    total = unit.count()
-    sample = unit if total <= train_rows else unit.filter(
-        F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * train_rows / total))
+    unit = vectors.withColumn("_unit", l2_normalize(F.col(vector))).filter(_has_direction(F.col(vector)))
+    n_cells = n_cells or int(min(max(unit.count() ** 0.5, CELLS[0]), CELLS[1]))
     model = KMeans(k=n_cells, seed=seed, maxIter=10, featuresCol="_f").fit(
-        sample.select(array_to_vector("_unit").alias("_f")))
+        unit.select(array_to_vector("_unit").alias("_f")))
     centres = np.array(model.clusterCenters())
     shared = vectors.sparkSession.sparkContext.broadcast(centres)
 
@@ -160,18 +169,23 @@ def build_cells(
     slim = unit.select(key, "_unit")
     rows = slim.mapInPandas(assign, T.StructType(
         [*slim.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType())]))
+    # the assignment is read for the sizes and by every search; keep it instead of making it again
+    checkpoint_dir(vectors.sparkSession)
+    rows = rows.checkpoint()
     sizes = rows.groupBy("cell").agg(F.count("*").alias("n"))
     parts = sizes.select("cell", F.greatest(F.lit(1), F.ceil(F.col("n") / rows_per_part)).cast("int").alias("parts"))
-    # one row per cell: as small as the centre table
+    # one row per cell, CELLS[1] at most unless the caller asks for more
     rows = rows.join(F.broadcast(parts), "cell").withColumn(
         "part", F.pmod(F.xxhash64(key), F.col("parts").cast("long")).cast("int"))
-    # every search reads the assigned rows; keep them instead of assigning them again
-    checkpoint_dir(vectors.sparkSession)
-    rows = rows.drop("parts").checkpoint()
+    rows = rows.drop("parts")
     cells = rows.groupBy("cell", "part").agg(F.max("gap").alias("radius"), F.count("*").alias("n"))
     return CellIndex(rows, centres, cells, key)
 
 
+def _has_direction(vector: Column) -> Column:
+    return (norm(vector) > 0) & ~F.isnan(norm(vector))
+
+
 def _probes(index: CellIndex, queries: DataFrame, query_key: str, vector: str) -> DataFrame:
     """(query, cell, distance to the centre, nearness rank of the cell) for every cell."""
     shared = queries.sparkSession.sparkContext.broadcast(index.centres)
@@ -189,7 +203,7 @@ def _probes(index: CellIndex, queries: DataFrame, query_key: str, vector: str) -
             yield out.assign(cell=np.tile(np.arange(len(c)), len(m)).astype("int32"),
                              far=far.ravel(), near=near.ravel().astype("int32"))
 
-    unit = queries.select(query_key, l2_normalize(F.col(vector)).alias("_target"))
+    unit = queries.filter(_has_direction(F.col(vector))).select(query_key, l2_normalize(F.col(vector)).alias("_target"))
     return unit.mapInPandas(distances, T.StructType([
         *unit.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType()),
         T.StructField("near", T.IntegerType())]))
@@ -217,7 +231,7 @@ def search_cells(
         # a top-k per (query, cell, part) first: the final ranking gets few rows per query
         local = Window.partitionBy(query_key, "cell", "part").orderBy(F.desc("score"), F.asc(key))
         return (
-            joined.select(query_key, "cell", "part", key, score.alias("score"))
+            joined.select(query_key, "cell", "part", key, score.alias("score")).filter(_scored())
             .withColumn("_r", F.row_number().over(local)).filter(F.col("_r") <= k)
             .select(query_key, key, "score")
         )

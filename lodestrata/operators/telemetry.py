@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions.blocks import exact_quantiles, previous_row, time_block
+from lodestrata.functions.blocks import exact_quantiles, previous_row, running, step_block, time_block
 
 # Histogram bounds in seconds.
 LATENCY_BOUNDS = (0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
@@ -32,31 +32,38 @@ def token_counters(requests: DataFrame) -> DataFrame:
     return sums.unpivot(["model"], ["prompt", "completion"], "type", "tokens")
 
 
+def _started() -> Column:
+    return F.unix_micros(F.col("ts").cast("timestamp"))
+
+
+def _ended() -> Column:
+    return _started() + F.round(F.col("latency") * 1_000_000).cast("long")
+
+
 def server_stats(requests: DataFrame) -> DataFrame:
-    """Totals of a server over its request rows."""
+    """Totals of a server over its request rows, and the requests still active when the last one started."""
+    newest = requests.agg(F.max(_started())).first()[0]
     return requests.agg(
         F.count("*").alias("total_requests"),
         F.sum("prompt_tokens").alias("prompt_tokens"),
         F.sum("completion_tokens").alias("generated_tokens"),
         F.count_if(F.col("status") != "200").alias("errors"),
+        F.count_if(_ended() > F.lit(newest)).alias("active"),
     )
 
 
-def peak_active(requests: DataFrame, keys: list[str], seconds: int = 60) -> DataFrame:
-    """Largest number of running requests at a bucket end, from starts (+1) and ends (-1).
+def peak_active(requests: DataFrame, keys: list[str], block_seconds: int = 3600) -> DataFrame:
+    """Largest number of requests running at once, from starts (+1) and ends (-1).
 
-    Changes are summed per time bucket before they are ordered, so the ordered part has one
-    row per bucket.
+    An end counts before a start at the same instant. Changes are summed per instant and then
+    run in time blocks per key, so a busy key is many tasks.
     """
-    ts = F.unix_micros(F.col("ts").cast("timestamp"))
-    span = seconds * 1_000_000
-    ends = ts + F.round(F.col("latency") * 1_000_000).cast("long")
     marks = requests.select(*keys, F.explode(F.array(
-        F.struct(F.floor(ts / span).alias("bucket"), F.lit(1).alias("change")),
-        F.struct(F.floor(ends / span).alias("bucket"), F.lit(-1).alias("change")))).alias("m"))
-    steps = marks.groupBy(*keys, F.col("m.bucket").alias("bucket")).agg(F.sum("m.change").alias("change"))
-    order = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumn("active", F.sum("change").over(order)).groupBy(*keys).agg(F.max("active").alias("peak"))
+        F.struct(_started().alias("at"), F.lit(1).alias("change")),
+        F.struct(_ended().alias("at"), F.lit(-1).alias("change")))).alias("m"))
+    steps = marks.groupBy(*keys, F.col("m.at").alias("at")).agg(F.sum("m.change").alias("change"))
+    active = running(steps, keys, ["at"], step_block(F.col("at"), block_seconds * 1_000_000), sums={"active": F.col("change")})
+    return active.groupBy(*keys).agg(F.max("active").alias("peak"))
 
 
 def latency_histogram(requests: DataFrame, keys: list, bounds=LATENCY_BOUNDS, value: str = "latency") -> DataFrame:

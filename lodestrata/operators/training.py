@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.functions.blocks import running, step_block
+from lodestrata.functions.blocks import match, running, step_block
 from lodestrata.functions.text import word_tokens
 
 # Fixed values.
@@ -155,7 +155,7 @@ def last_metric_before_save(logs: DataFrame, metric: str, keys: list[str] = ["ru
 
 def resume_checkpoint(checkpoints: DataFrame, failures: DataFrame, keys: list[str] = ["run_id"]) -> DataFrame:
     """The last checkpoint before each run's failed step (by number); one failure per run."""
-    joined = checkpoints.join(failures, keys).filter(F.col("step") < F.col("failed_step"))
+    joined = match(checkpoints, failures, keys).filter(F.col("step") < F.col("failed_step"))
     return joined.groupBy(*keys, "failed_step").agg(
         F.max("step").alias("resume_step"), F.max_by("path", "step").alias("resume_path"))
 
@@ -191,7 +191,8 @@ def early_stopping_state(evals: DataFrame, state: DataFrame | None, patience: in
         *keys, F.col(order).cast("long").alias("_at"), (F.col(metric).cast("double") * sign).alias("_m"),
         F.lit(None).cast("long").alias("_misses"))
     if state is not None:
-        rows = rows.join(state.filter("stopped").select(*keys), keys, "left_anti").unionByName(
+        late = rows.groupBy(*keys).agg(F.count("*").alias("_late"))
+        rows = match(rows, state.filter("stopped").select(*keys), keys, "left_anti").unionByName(
             state.filter("not stopped").select(
                 *keys, F.col("last_step").alias("_at"), (F.col("best") * sign).alias("_m"),
                 F.col("misses").alias("_misses")))
@@ -217,7 +218,7 @@ def early_stopping_state(evals: DataFrame, state: DataFrame | None, patience: in
     number = F.when(base, -F.col("_misses")).otherwise(
         F.col("_before") + F.sum((~base).cast("long")).over(so_far))
     records = (
-        rows.join(blocks, block_keys).withColumn("_n", number).withColumn("_best", low)
+        match(rows, blocks, block_keys).withColumn("_n", number).withColumn("_best", low)
         .filter(F.col("_best").isNull() | (F.col("_m") < F.col("_best"))))
     if threshold == 0.0:
         found = _first_long_gap(records, keys, inside, patience)
@@ -226,23 +227,26 @@ def early_stopping_state(evals: DataFrame, state: DataFrame | None, patience: in
 
     # the step of evaluation number _stop_n: only its block is read again
     at = (F.col("_stop_n") > F.col("_before")) & (F.col("_stop_n") <= F.col("_before") + F.col("_c"))
-    target = blocks.select(*block_keys, "_before", "_c").join(
-        found.filter(F.col("_stop_n").isNotNull()).select(*keys, "_stop_n"), keys).filter(at)
+    target = match(blocks.select(*block_keys, "_before", "_c"),
+                   found.filter(F.col("_stop_n").isNotNull()).select(*keys, "_stop_n"), keys).filter(at)
     stops = (
-        rows.filter(~base).select(*block_keys, "_at").join(target, block_keys)
+        match(rows.filter(~base).select(*block_keys, "_at"), target, block_keys)
         .withColumn("_i", F.row_number().over(inside))
         .filter(F.col("_before") + F.col("_i") == F.col("_stop_n"))
         .select(*keys, F.col("_at").alias("stop_step")))
-    out = found.join(stops, keys, "left").select(
+    out = match(found, stops, keys, "left").select(
         *keys, "evaluations", (F.col("_b") * sign).alias("best"),
         (F.col("evaluations") - F.col("_last_n")).alias("misses"), "last_step", "stop_step",
         F.col("_stop_n").isNotNull().alias("stopped"))
     if state is None:
         return out
     before = state.select(*keys, F.col("evaluations").alias("_before"))
-    moved = out.join(before, keys, "left").withColumn(
+    moved = match(out, before, keys, "left").withColumn(
         "evaluations", F.col("evaluations") + F.coalesce("_before", F.lit(0))).drop("_before")
-    return moved.unionByName(state.filter("stopped"))
+    # a stopped run is not judged again, but its evaluations are counted on as in one batch
+    ended = match(state.filter("stopped"), late, keys, "left").withColumn(
+        "evaluations", F.col("evaluations") + F.coalesce("_late", F.lit(0))).drop("_late")
+    return moved.unionByName(ended)
 
 
 def _first_long_gap(records: DataFrame, keys: list[str], inside, patience: int) -> DataFrame:

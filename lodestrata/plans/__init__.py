@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 import importlib.util
 
-FAMILIES = ("corpus", "similarity", "quality", "books", "fleet", "live")
+FAMILIES = ("corpus", "similarity", "quality", "books", "fleet", "live", "stored")
 
 
 def _load():

@@ -9,6 +9,9 @@ from lodestrata.plans import inputs
 from lodestrata.plans.catalog import query
 from lodestrata.plans.inputs import CHECKPOINTS_SQL, TRAINING_LOGS_SQL, rounded
 from lodestrata.sources.artifacts import load_train_eval_split
+from lodestrata.sources.artifacts import load_training_data as load_training_rows
+from lodestrata.sources.sinks import write_training_jsonl
+from lodestrata.streaming.run import new_folder
 
 
 @query("first_n", "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 100")
@@ -21,10 +24,12 @@ def eval_first_n(t):
     return training.eval_first_n(t.documents.select("doc_id", "lang"), 100, ["doc_id"])
 
 
-@query("load_training_data", "SELECT doc_id, text FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 200")
+@query("load_training_data", "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 200")
 def load_training_data(t):
-    rows = training.require_columns(t.documents, ["text"]).filter("lang = 'en'").select("doc_id", "text")
-    return training.first_n(rows, 200, ["doc_id"])
+    """All documents as a training file; the first rows of it are the feature."""
+    rows, folder = t.documents.select("doc_id", "text"), new_folder(t.spark)
+    write_training_jsonl(rows, folder)
+    return load_training_rows(t.spark, folder, rows.schema, "text", ["doc_id"], 200)
 
 
 @query("load_train_eval_split", """

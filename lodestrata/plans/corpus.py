@@ -76,9 +76,7 @@ def chunk_summary(t):
         F.count("*").alias("distinct_ids"))
 
 
-@query("chunk_semantic", rf"""
-WITH RECURSIVE
-paras AS (
+SEMANTIC_CTES = rf"""paras AS (
   SELECT doc_id, pi, {strip_sql('para')} AS para
   FROM (SELECT doc_id, unnest(string_split(body, E'\n\n')) AS para,
                generate_subscripts(string_split(body, E'\n\n'), 1) AS pi
@@ -109,7 +107,10 @@ done AS (
   SELECT doc_id, k - 1 AS chunk_index, outtext AS text, outstart AS start_char FROM walk WHERE outtext IS NOT NULL
   UNION ALL
   SELECT doc_id, k, cur, start FROM walk
-  WHERE (doc_id, i) IN (SELECT doc_id, max(i) FROM pieces GROUP BY doc_id) AND length(cur) >= {OVERLAP})
+  WHERE (doc_id, i) IN (SELECT doc_id, max(i) FROM pieces GROUP BY doc_id) AND length(cur) >= {OVERLAP})"""
+
+
+@query("chunk_semantic", f"""WITH RECURSIVE {SEMANTIC_CTES}
 SELECT doc_id, chunk_index, start_char, start_char + length(text) AS end_char, text FROM done""")
 def chunk_semantic(t):
     """Lines stand for paragraphs, so both paragraph and sentence cuts occur."""
@@ -140,22 +141,24 @@ def chunk_char_window(t):
     return _windows(t)
 
 
-@query("chunker_dispatch", FIXED_CHUNKS_SQL + f""", windows AS (
+@query("chunker_dispatch", FIXED_CHUNKS_SQL + f""", {SEMANTIC_CTES}, windows AS (
   SELECT doc_id, text FROM (
     SELECT doc_id, substr(text, s + 1, {SIZE}) AS text
     FROM (SELECT doc_id, text, unnest(range(0, length(text), {SIZE - OVERLAP})) AS s FROM documents))
   WHERE {NOT_BLANK_SQL})
 SELECT 'fixed' AS strategy, count(*) AS chunks, sum(length(text))::BIGINT AS chars FROM made
+UNION ALL SELECT 'semantic', count(*), sum(length(text))::BIGINT FROM done
 UNION ALL SELECT 'window', count(*), sum(length(text))::BIGINT FROM windows""")
 def chunker_dispatch(t):
-    """The strategy name picks the chunker."""
+    """The strategy name picks the chunker; for the semantic one lines stand for paragraphs."""
     docs = records.drop_empty_documents(inputs.documents(t))
+    body = {"semantic": F.replace("text", F.lit("\n"), F.lit("\n\n"))}
     parts = [
-        chunking.explode_chunks(docs, chunking.chunker(s, SIZE, OVERLAP)(F.col("text")), "doc_id")
+        chunking.explode_chunks(docs, chunking.chunker(s, SIZE, OVERLAP)(body.get(s, F.col("text"))), "doc_id")
         .agg(F.count("*").alias("chunks"), F.sum(F.length("text")).cast("long").alias("chars"))
         .select(F.lit(s).alias("strategy"), "chunks", "chars")
-        for s in ("fixed", "window")]
-    return parts[0].unionByName(parts[1])
+        for s in ("fixed", "semantic", "window")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("record_id", WINDOW_CHUNKS_SQL + """
@@ -199,12 +202,15 @@ def normalize_whitespace(t):
 
 
 @query("drop_empty_documents", rf"""
-SELECT doc_id, part FROM (SELECT doc_id, 'line' AS part, regexp_extract(text, '\n(.*)$', 1) AS text FROM documents)
+SELECT doc_id, part FROM (
+  SELECT doc_id, 'line' AS part, regexp_extract(text, '\n(.*)$', 1) AS text FROM documents
+  UNION ALL SELECT doc_id, 'text', text FROM documents)
 WHERE {NOT_BLANK_SQL}""")
 def drop_empty_documents(t):
-    """The last line of each document; it is empty for documents of one line."""
-    last = t.documents.select("doc_id", F.lit("line").alias("part"), F.regexp_extract("text", r"\n(.*)\z", 1).alias("text"))
-    return records.drop_empty_documents(last).select("doc_id", "part")
+    """Whole documents, and the last line of each, which is empty for documents of one line."""
+    line = t.documents.select("doc_id", F.lit("line").alias("part"), F.regexp_extract("text", r"\n(.*)\z", 1).alias("text"))
+    whole = t.documents.select("doc_id", F.lit("text").alias("part"), "text")
+    return records.drop_empty_documents(line.unionByName(whole)).select("doc_id", "part")
 
 
 ELEMENTS_SQL = rf"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestrata.operators import alerts, evaluation, serving, telemetry
+from lodestrata.operators import alerts, evaluation, serving, signals, telemetry
 from lodestrata.plans import inputs
 from lodestrata.plans.catalog import query
 from lodestrata.plans.inputs import REQUESTS_SQL, rounded
@@ -46,16 +46,18 @@ def token_counters(t):
 
 @query("server_stats", REQ + """
 SELECT count(*) AS total_requests, sum(prompt_tokens)::BIGINT AS prompt_tokens,
-       sum(completion_tokens)::BIGINT AS generated_tokens, count(*) FILTER (status <> '200') AS errors FROM requests""")
+       sum(completion_tokens)::BIGINT AS generated_tokens, count(*) FILTER (status <> '200') AS errors,
+       count(*) FILTER (us + round(latency * 3600 * 1000000)::BIGINT > (SELECT max(us) FROM requests)) AS active FROM requests""")
 def server_stats(t):
-    return telemetry.server_stats(inputs.requests(t))
+    """Latency read as hours, so that some requests are active at the end."""
+    return telemetry.server_stats(inputs.requests(t).withColumn("latency", F.col("latency") * 3600))
 
 
 @query("peak_active", REQ + """
-, marks AS (SELECT model, us // 60000000 AS bucket, 1 AS change FROM requests
-          UNION ALL SELECT model, (us + round(latency * 60 * 1000000)::BIGINT) // 60000000, -1 FROM requests),
-steps AS (SELECT model, bucket, sum(change) AS change FROM marks GROUP BY ALL),
-run AS (SELECT model, sum(change) OVER (PARTITION BY model ORDER BY bucket) AS active FROM steps)
+, marks AS (SELECT model, us AS tick, 1 AS change FROM requests
+          UNION ALL SELECT model, us + round(latency * 60 * 1000000)::BIGINT, -1 FROM requests),
+steps AS (SELECT model, tick, sum(change) AS change FROM marks GROUP BY ALL),
+run AS (SELECT model, sum(change) OVER (PARTITION BY model ORDER BY tick) AS active FROM steps)
 SELECT model, max(active)::BIGINT AS peak FROM run GROUP BY model""")
 def peak_active(t):
     """Latency read as minutes, so that requests overlap."""
@@ -324,46 +326,127 @@ def rate_limit_check(t):
 # -- alerts --------------------------------------------------------------------------
 
 
-SIGNALS_SQL = """
-hours AS (SELECT *, (us // 3600000000) * 3600 AS hr FROM requests),
+# Events as a fleet's telemetry: time runs twenty times as fast, so that a minute holds several rows.
+FLEET_SQL = """
+WITH fleet AS (
+  SELECT event_id, epoch_us(ts) // 20 AS us, (epoch_us(ts) // 20) // 60000000 * 60 AS mi, user_id, 'model-' || (user_id % 5) AS model,
+         event_type, value FROM events),
+requests AS (SELECT *, CASE event_type WHEN 'error' THEN '500' ELSE '200' END AS status, value / 40 AS latency FROM fleet)"""
+
+
+def _fleet(t):
+    us = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 20).cast("long")
+    return t.events.select(
+        "event_id", F.timestamp_micros(us).alias("ts"), "user_id", F.concat(F.lit("model-"), (F.col("user_id") % 5).cast("string")).alias("model"),
+        "event_type", "value", F.when(F.col("event_type") == "error", "500").otherwise("200").alias("status"), (F.col("value") / 40).alias("latency"))
+
+
+COMPONENTS = ("mlflow_up", "workflow_up", "milvus_up", "litellm_up")
+RANGES = {"model_load_failures_10m": 10, "training_failures_5m": 5, "training_loss_increase_1h": 60, "run_failures_10m": 10, "s3_errors_5m": 5}
+
+SIGNALS_SQL = f"""
+, mins AS (SELECT model AS series, unnest(range(mi, mi + 300, 60)) AS tick, latency, status FROM requests),
+cum AS (SELECT series, tick, le, count(*) FILTER (latency <= le) AS c FROM mins, {{bounds}} GROUP BY ALL),
+cw AS (SELECT *, max(c) OVER (PARTITION BY series, tick) * 0.99 AS rank, coalesce(lag(le) OVER o, 0) AS low,
+              coalesce(lag(c) OVER o, 0) AS below FROM cum WINDOW o AS (PARTITION BY series, tick ORDER BY le)),
+cf AS (SELECT *, row_number() OVER (PARTITION BY series, tick ORDER BY le) AS n FROM cw WHERE c >= rank),
+gauges AS (
+  SELECT 'inference_up' AS signal, model AS series, us, mi, (event_type <> 'error')::DOUBLE AS value FROM fleet
+  UNION ALL SELECT ['mlflow_up', 'workflow_up', 'milvus_up', 'litellm_up'][user_id % 4 + 1], 'main', us, mi,
+                   (event_type IN ('view', 'click'))::DOUBLE FROM fleet
+  UNION ALL SELECT 'gpu_utilization', model, us, mi, value / 20 FROM fleet
+  UNION ALL SELECT 'gpu_memory_share', model, us, mi, value / 15 FROM fleet
+  UNION ALL SELECT 'gpu_temperature', model, us, mi, value * 4 FROM fleet
+  UNION ALL SELECT 'ray_missing_nodes', model, us, mi, floor(value / 10) FROM fleet
+  UNION ALL SELECT 'run_seconds', model, us, mi, value * 4000 FROM fleet
+  UNION ALL SELECT 'volume_share', model, us, mi, value / 10 FROM fleet),
+newest AS (SELECT signal, series, mi, arg_max(value, us) AS value FROM gauges GROUP BY ALL),
+held AS (SELECT signal, series, mi, unnest(range(mi, mi + 300, 60)) AS tick, value FROM newest),
+grown AS (
+  SELECT user_id % 5 AS k, model, mi, CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END AS growth
+  FROM (SELECT *, lag(value) OVER (PARTITION BY model ORDER BY us, event_id) AS prev FROM fleet)),
+ranges AS (SELECT * FROM (VALUES {", ".join(f"('{{k}}', {{v}})".format(k=k, v=v) for k, v in RANGES.items())}) r(signal, minutes)),
+jobs AS (SELECT 'user-' || user_id AS series, us, event_id, mi, (event_type <> 'error')::INT AS value FROM fleet),
+moved AS (SELECT *, coalesce(value <> lag(value) OVER (PARTITION BY series ORDER BY us, event_id), false) AS moved FROM jobs),
+jmin AS (SELECT series, mi, count(*) FILTER (moved) AS changes, arg_max(value, (us, event_id)) AS value FROM moved GROUP BY ALL),
+jheld AS (SELECT series, mi, unnest(range(mi, mi + 3600, 60)) AS tick, changes, value FROM jmin),
+grid AS (SELECT DISTINCT model AS series, unnest(range(mi, mi + 300, 60)) AS tick FROM fleet),
+saves AS (SELECT DISTINCT model AS series, mi AS tick FROM fleet WHERE value > 150),
 signals AS (
-  SELECT 'latency_p99_5m' AS signal, model AS series, hr, quantile_cont(latency, 0.99) AS value FROM hours GROUP BY ALL
-  UNION ALL SELECT 'error_ratio_5m', model, hr, count(*) FILTER (status = '500') / count(*) FROM hours GROUP BY ALL
-  UNION ALL SELECT 'inference_up', model, hr, arg_max(CASE WHEN status = '500' THEN 0 ELSE 1 END, us) FROM hours GROUP BY ALL
-  UNION ALL SELECT 'gpu_temperature', model, hr, max(latency * 100) FROM hours GROUP BY ALL)"""
+  SELECT 'error_ratio_5m' AS signal, series, tick, count(*) FILTER (status = '500') / count(*) AS value FROM mins GROUP BY series, tick
+  UNION ALL SELECT 'latency_p99_5m', series, tick, CASE WHEN le = 'inf'::DOUBLE THEN 10 ELSE low + (le - low) * (rank - below) / (c - below) END
+            FROM cf WHERE n = 1
+  UNION ALL SELECT signal, series, tick, arg_max(value, mi) FROM held GROUP BY signal, series, tick
+  UNION ALL SELECT signal, model, tick, sum(growth) FROM (
+      SELECT signal, model, unnest(range(mi, mi + minutes * 60, 60)) AS tick, growth FROM grown, ranges) GROUP BY ALL
+  UNION ALL SELECT 'training_unchanged_1h', series, tick, (sum(changes) = 0 AND arg_max(value, mi) = 1)::DOUBLE FROM jheld GROUP BY series, tick
+  UNION ALL SELECT 'seconds_since_checkpoint', g.series, g.tick, (g.tick - s.tick)::DOUBLE FROM grid g ASOF JOIN saves s ON g.series = s.series AND g.tick >= s.tick)""".replace(
+    "{bounds}", "(SELECT unnest([0.1, 0.25, 0.5, 1, 2.5, 5, 10, 'inf'::DOUBLE]) AS le)")
 
 
 def _signals(t):
-    """Hourly signals per model, one row per series and hour."""
-    rows = inputs.requests(t).withColumn("at", (F.floor(F.unix_timestamp("ts") / HOUR) * HOUR).cast("long"))
-    keys = ["model", "at"]
-    p99 = telemetry.latency_quantiles(rows, keys, [0.99], levels=1).select(
-        F.lit("latency_p99_5m").alias("signal"), F.col("model").alias("series"), "at", "value")
-    wide = rows.groupBy(*keys).agg(
-        (F.count_if(F.col("status") == "500") / F.count("*")).alias("error_ratio_5m"),
-        F.max_by((F.col("status") != "500").cast("double"), "ts").alias("inference_up"),
-        F.max(F.col("latency") * 100).alias("gpu_temperature"))
-    rest = wide.unpivot(keys, ["error_ratio_5m", "inference_up", "gpu_temperature"], "signal", "value")
-    return p99.unionByName(rest.select("signal", F.col("model").alias("series"), "at", "value"))
-
-
-@query("alert_rules", REQ + f", {SIGNALS_SQL}" + """
-, rules AS (SELECT * FROM (VALUES
-   ('InferenceHighLatency', 'latency_p99_5m', 2, 'warning'), ('InferenceCriticalLatency', 'latency_p99_5m', 5, 'critical'),
-   ('InferenceHighErrorRate', 'error_ratio_5m', 0.01, 'warning'), ('InferenceCriticalErrorRate', 'error_ratio_5m', 0.05, 'critical'),
-   ('InferenceServiceDown', 'inference_up', 0, 'critical'), ('GPUTemperatureHigh', 'gpu_temperature', 80, 'warning')
- ) r(rule, signal, upper, severity)),
-hit AS (SELECT rule, severity, series, hr FROM signals JOIN rules USING (signal)
-        WHERE CASE WHEN rule = 'InferenceServiceDown' THEN value = upper ELSE value > upper END),
-isl AS (SELECT *, hr - 3600 * row_number() OVER (PARTITION BY rule, series ORDER BY hr) AS g FROM hit)
-SELECT rule, severity, series, min(hr) AS started_at, min(hr) + 3600 AS fired_at, max(hr) AS last_true_at
-FROM isl GROUP BY rule, severity, series, g HAVING max(hr) > min(hr)""")
+    """All signals of the rule table on a one-minute grid."""
+    rows = _fleet(t)
+    v, model = F.col("value"), F.col("model")
+    up = lambda *kinds: F.col("event_type").isin(*kinds).cast("double")
+    gauge = lambda signal, series, value: F.struct(signal.alias("signal"), series.alias("series"), value.cast("double").alias("value"))
+    of_model = {"gpu_utilization": v / 20, "gpu_memory_share": v / 15, "gpu_temperature": v * 4, "ray_missing_nodes": F.floor(v / 10),
+                "run_seconds": v * 4000, "volume_share": v / 10, "inference_up": (F.col("event_type") != "error").cast("double")}
+    samples = rows.select("ts", F.inline(F.array(
+        gauge(F.get(F.array(*map(F.lit, COMPONENTS)), (F.col("user_id") % 4).cast("int")), F.lit("main"), up("view", "click")),
+        *[gauge(F.lit(k), model, value) for k, value in of_model.items()])))
+    counters = rows.select("ts", "event_id", "value", model.alias("series"), F.explode(F.array(*map(F.lit, RANGES))).alias("signal"))
+    jobs = rows.select("ts", "event_id", F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("series"),
+                       (F.col("event_type") != "error").cast("int").alias("value"))
+    at = signals.minute(F.col("ts"))
+    grid = rows.select(model.alias("series"), signals.reached(at, signals.LOOKBACK).alias("at")).distinct()
+    saves = rows.filter("value > 150").select(model.alias("series"), at.alias("at")).distinct()
+    since = alerts.staleness(saves, ["series"], grid).filter("value is not null").select(
+        F.lit("seconds_since_checkpoint").alias("signal"), "series", "at", F.col("value").cast("double").alias("value"))
+    parts = [signals.request_signals(rows), signals.gauge_signals(samples), signals.increase_signals(counters, RANGES, ["ts", "event_id"]),
+             signals.unchanged_signal(jobs, "training_unchanged_1h", order=["ts", "event_id"]), since]
+    made = parts[0]
+    for part in parts[1:]:
+        made = made.unionByName(part)
+    return made
+
+
+RULES_SQL = ", rules AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{r.name}', '{r.signal}', '{r.op}', {float(r.limit)}, {r.for_seconds}, '{r.severity}')" for r in alerts.RULES
+) + """) r(rule, signal, op, upper, hold, severity)),
+hit AS (SELECT rule, severity, hold, series, tick FROM signals JOIN rules USING (signal) WHERE CASE op WHEN '==' THEN value = upper ELSE value > upper END),
+isl AS (SELECT *, tick - 60 * row_number() OVER (PARTITION BY rule, series ORDER BY tick) AS g FROM hit),
+fired AS (
+  SELECT rule, severity, series, min(tick) AS started_at, min(tick) + hold AS fired_at, max(tick) AS last_true_at
+  FROM isl GROUP BY rule, severity, hold, series, g HAVING max(tick) >= min(tick) + hold)"""
+
+
+@query("alert_signals", FLEET_SQL + SIGNALS_SQL + """
+SELECT signal, count(*) AS steps, count(DISTINCT series) AS series, round(avg(value) + 1e-10, 4) AS mean, round(max(value) + 1e-10, 4) AS most
+FROM signals GROUP BY signal""")
+def alert_signals(t):
+    per_series = _signals(t).groupBy("signal", "series").agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.max("value").alias("most"))
+    return per_series.groupBy("signal").agg(
+        F.sum("n").alias("steps"), F.count("*").alias("series"), rounded(F.sum("s") / F.sum("n"), 4).alias("mean"),
+        rounded(F.max("most"), 4).alias("most"))
+
+
+@query("alert_rules", FLEET_SQL + SIGNALS_SQL + RULES_SQL + "SELECT * FROM fired")
 def alert_rules(t):
-    """Every rule lasts up to an hour, so on an hourly grid it fires at the second true step."""
-    made = alerts.alert_intervals(_signals(t), alerts.rule_table(t.spark), HOUR)
+    made = alerts.alert_intervals(_signals(t), alerts.rule_table(t.spark), signals.MINUTE)
     return made.select("rule", "severity", "series", "started_at", "fired_at", "last_true_at")
 
 
+@query("alert_coverage", FLEET_SQL + SIGNALS_SQL + RULES_SQL + """
+SELECT rule, signal, coalesce(s.n, 0) AS steps, coalesce(f.n, 0) AS firings FROM rules
+LEFT JOIN (SELECT signal, count(*) AS n FROM signals GROUP BY signal) s USING (signal)
+LEFT JOIN (SELECT rule, count(*) AS n FROM fired GROUP BY rule) f USING (rule)""")
+def alert_coverage(t):
+    """Every rule with its steps and firings; one without a signal would show 0 steps."""
+    made, rules = _signals(t), alerts.rule_table(t.spark)
+    return signals.rule_activity(made, alerts.alert_intervals(made, rules, signals.MINUTE), rules)
+
+
 @query("checkpoint_staleness", REQ + """
 , grid AS (SELECT DISTINCT model, us // 3600000000 * 3600 AS at FROM requests),
 seen AS (SELECT DISTINCT model, us // 3600000000 * 3600 AS at FROM requests WHERE latency > 1)

@@ -72,7 +72,7 @@ def ingest(spark: SparkSession, config: IngestConfig) -> IngestResult:
     loaded, stored = Observation(), Observation()
     docs = docs.observe(loaded, F.count(F.lit(1)).alias("documents_loaded"))
     if config.skip_existing:
-        done = table.read().select(F.md5(F.col("metadata")["source"]).alias("doc_key")).distinct()
+        done = table.read().select(F.md5("source").alias("doc_key")).distinct()
         docs = skip_existing(docs, done)
     rows = vector_records(docs, config).observe(
         stored, F.count(F.lit(1)).alias("vectors_stored"), F.count_if(F.col("chunk_index") == 0).alias("documents_chunked"))
@@ -81,8 +81,7 @@ def ingest(spark: SparkSession, config: IngestConfig) -> IngestResult:
 
 
 def evaluate(scores: DataFrame, min_score: float = evaluation.GATE_MIN_SCORE, require_all_passed: bool = True,
-             frameworks: tuple[str, ...] = ("ragas", "deepeval")) -> DataFrame:
-    """Case scores to one gated row per run: two aggregations and a projection."""
+             ran: DataFrame | None = None) -> DataFrame:
+    """Case scores to one gated row per run: two aggregations and a projection; ``ran`` as in ``overall_score``."""
     means = evaluation.metric_means(scores, ["run", "framework"])
-    return evaluation.quality_gate(
-        evaluation.overall_score(means, frameworks=frameworks), min_score, require_all_passed)
+    return evaluation.quality_gate(evaluation.overall_score(means, ran=ran), min_score, require_all_passed)

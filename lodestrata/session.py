@@ -55,7 +55,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         folder = named
-    elif spark.sparkContext.master.startswith("local"):
+    elif spark.sparkContext.master.split("[")[0] == "local":
         folder = os.path.join(tempfile.gettempdir(), "lodestrata-checkpoints")
     else:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")

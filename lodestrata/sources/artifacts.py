@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrata import schemas
@@ -20,13 +21,16 @@ def load_eval_data(
     spark: SparkSession, path: str, data_format: str, schema: T.StructType = schemas.RAG_SAMPLE,
     num_samples: int = 0, seed: int = 42, key: str | None = None,
 ) -> DataFrame:
-    """Evaluation rows from json, jsonl, csv or parquet, optionally sampled by a seed."""
+    """Evaluation rows from json, jsonl, csv or parquet, optionally sampled by a seed.
+
+    The sample is by a key column, or by all columns together.
+    """
     if data_format == "json":
         df = spark.read.schema(schema).option("multiLine", "true").json(path)
     elif data_format == "jsonl":
         df = spark.read.schema(schema).json(path)
     elif data_format == "csv":
-        df = spark.read.schema(schema).option("header", "true").option("escape", '"').csv(path)
+        df = _csv(spark, path, schema)
     elif data_format == "parquet":
         df = spark.read.schema(schema).parquet(path)
     else:
@@ -34,10 +38,20 @@ def load_eval_data(
     if num_samples > 0:
         from lodestrata.operators.training import seeded_sample
 
-        return seeded_sample(df, num_samples, key or schema.fieldNames()[0], seed)
+        if key:
+            return seeded_sample(df, num_samples, key, seed)
+        return seeded_sample(df.withColumn("_row", F.to_json(F.struct("*"))), num_samples, "_row", seed).drop("_row")
     return df
 
 
+def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Columns of a csv file by the schema; nested ones are written as JSON."""
+    nested = lambda f: isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
+    flat = T.StructType([T.StructField(f.name, T.StringType() if nested(f) else f.dataType) for f in schema])
+    rows = spark.read.schema(flat).option("header", "true").option("escape", '"').option("multiLine", "true").csv(path)
+    return rows.select(*[F.from_json(f.name, f.dataType).alias(f.name) if nested(f) else F.col(f.name) for f in schema])
+
+
 def load_training_data(
     spark: SparkSession, path: str, schema: T.StructType, text_column: str, order: list[str],
     max_samples: int | None = None,

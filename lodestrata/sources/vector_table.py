@@ -33,9 +33,14 @@ class VectorTable:
         whole = [int(n.split("=")[1]) for n, p in names if n.startswith("version=") and fs.exists(done(p, "_SUCCESS"))]
         return max(whole, default=-1)
 
+    @staticmethod
+    def _shaped(rows: DataFrame) -> DataFrame:
+        """The table's columns; those that the rows lack are null."""
+        return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                             for f in schemas.VECTOR_RECORD])
+
     def _write(self, rows: DataFrame) -> None:
-        names = schemas.VECTOR_RECORD.fieldNames()
-        rows.select(*names).write.mode("overwrite").parquet(f"{self.path}/version={self._version() + 1}")
+        self._shaped(rows).write.mode("overwrite").parquet(f"{self.path}/version={self._version() + 1}")
 
     def create(self) -> "VectorTable":
         """Create the collection unless it is there."""
@@ -47,14 +52,17 @@ class VectorTable:
         return self.spark.read.schema(schemas.VECTOR_RECORD).parquet(f"{self.path}/version={self._version()}")
 
     def insert(self, rows: DataFrame, unique: bool = False) -> None:
-        """Plain append keeps duplicates; ``unique`` keeps one row per id and skips ids already there.
+        """Plain append keeps duplicates; ``unique`` leaves out records that are there already.
 
-        Both append files; the unique form reads the id column of the table and nothing else.
+        Records are the same if their text, source and chunk number are: an id is a short digest
+        of the text, and equal texts of two sources, or two texts that share an id, both stay.
         """
+        rows = self._shaped(rows)
         if unique:
-            rows = new_rows(self.read(), rows, "id")
-        rows.select(*schemas.VECTOR_RECORD.fieldNames()).write.mode("append").parquet(
-            f"{self.path}/version={self._version()}")
+            same = ["_digest", "source", "chunk_index"]
+            digest = F.sha2("text", 256).alias("_digest")
+            rows = new_rows(self.read().select("source", "chunk_index", digest), rows.select("*", digest), same).drop("_digest")
+        rows.write.mode("append").parquet(f"{self.path}/version={self._version()}")
 
     def delete(self, ids: DataFrame) -> int:
         """Drop the listed ids; returns how many were asked for."""

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.chunking import explode_chunks
-from lodestrata.functions.text import record_id
-from lodestrata.operators.records import drop_empty_documents, skip_existing
+from lodestrata.functions.text import doc_id, record_id
+from lodestrata.operators.records import drop_empty_documents, one_per_key, skip_existing
 from lodestrata.operators.training import early_stopping_state
 
 
@@ -50,21 +50,33 @@ def stopping_state(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/state/batch={_last_batch(spark, f'{folder}/state')}")
 
 
+# Folders of the seen-sources table; a micro-batch reads those of its own sources only.
+SEEN_BUCKETS = 256
+
+
 def stream_ingest(docs: DataFrame, folder: str, chunks: Column, available_now: bool = True):
-    """Chunk documents as they land and append records; a source seen before is skipped."""
+    """Chunk documents as they land and append records; a source seen before is skipped.
+
+    Sources are kept as bare keys in folders by key hash, those without any chunk included, so
+    a micro-batch looks up its sources in a small table and never reads the records again.
+    """
+    bucket = F.pmod(F.xxhash64("doc_key"), F.lit(SEEN_BUCKETS)).cast("int")
+
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        keyed = drop_empty_documents(batch)
-        last = _last_batch(spark, f"{folder}/records", number)
-        if last < 0:
+        rows = batch.persist()
+        touched = [r[0] for r in rows.select(doc_id(F.col("source")).alias("doc_key")).select(bucket).distinct().collect()]
+        if _last_batch(spark, f"{folder}/seen", number) < 0:
             done = spark.createDataFrame([], "doc_key string")
         else:
-            done = spark.read.schema("doc_key string, batch int").parquet(f"{folder}/records").filter(
-                F.col("batch") < number).select("doc_key").distinct()
-        fresh = skip_existing(keyed.dropDuplicates(["source"]), done)
-        rows = explode_chunks(fresh, chunks, "source", "doc_key").withColumn(
+            done = spark.read.schema("doc_key string, batch int, bucket int").parquet(f"{folder}/seen").filter(
+                (F.col("batch") < number) & F.col("bucket").isin(touched)).select("doc_key")
+        fresh = skip_existing(one_per_key(rows, ["source"]), done)
+        made = explode_chunks(drop_empty_documents(fresh), chunks, "source", "doc_key").withColumn(
             "id", record_id(F.col("text"), F.col("chunk_index")))
-        rows.write.mode("overwrite").parquet(f"{folder}/records/batch={number}")
+        made.write.mode("overwrite").parquet(f"{folder}/records/batch={number}")
+        fresh.select("doc_key", bucket.alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/seen/batch={number}")
+        rows.unpersist()
 
     return _start(docs, folder, step, available_now)
 

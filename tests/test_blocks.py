@@ -63,3 +63,15 @@ def test_exact_quantiles(spark):
         assert got.keys() == want.keys()
         for key in want:
             assert got[key] == pytest.approx(want[key])
+
+
+def test_null_key_is_a_group(spark):
+    rows = [(None if i % 2 else "a", i, float(i % 7)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, step long, v double")
+    got = blocks.previous_row(df, ["k"], ["step"], ["v"], blocks.step_block(F.col("step"), 5)).collect()
+    assert all(r["prev_v"] == (None if r["step"] < 2 else float((r["step"] - 2) % 7)) for r in got) and len(got) == 40
+    sums = blocks.running(df, ["k"], ["step"], blocks.step_block(F.col("step"), 5), sums={"s": F.col("v")}).collect()
+    assert {(r["k"], r["step"]): r["s"] for r in sums} == {
+        (k, s): sum(v2 for k2, s2, v2 in rows if k2 == k and s2 <= s) for k, s, _ in rows}
+    medians = {r["k"]: r["value"] for r in blocks.exact_quantiles(df, ["k"], "v", [0.5], 2.0).collect()}
+    assert medians == {k: float(np.quantile([v for k2, _, v in rows if k2 == k], 0.5)) for k in (None, "a")}

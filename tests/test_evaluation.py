@@ -40,9 +40,12 @@ def test_overall_and_gate(spark, means):
     assert ("a", "deepeval_toxicity") in rows(merged, "run", "metric")
     both = means.withColumn("framework", F.lit("ragas")).unionByName(tox.withColumn("framework", F.lit("deepeval")))
     out = evaluation.overall_score(both)
-    assert rows(out, "run", "passed") == [("a", False), ("b", False)]  # b ran without any deepeval metric
-    out = evaluation.overall_score(both.filter("run = 'a'")).unionByName(
-        evaluation.overall_score(both.filter("run = 'b'"), frameworks=("ragas",)))
+    assert rows(out, "run", "passed") == [("a", False), ("b", True)]  # b never ran the second side
+    ran = spark.createDataFrame([("b", "deepeval"), ("c", "ragas"), ("d", "deepeval"), ("e", "ragas"), ("e", "deepeval")], "run string, framework string")
+    assert rows(evaluation.overall_score(both, ran=ran), "run", "overall_score", "passed")[1:] == [
+        ("b", pytest.approx(0.8), False), ("c", 0.0, True), ("d", 0.0, False), ("e", 0.0, False)]
+    only = evaluation.overall_score(both.filter("framework = 'deepeval'"))
+    assert rows(only, "run", "passed") == [("a", True)]
     got = {r["run"]: r for r in out.collect()}
     assert got["a"]["overall_score"] == pytest.approx(1.3 / 3)
     assert got["a"]["overall_score_oriented"] == pytest.approx(2.1 / 3)
@@ -54,11 +57,11 @@ def test_overall_and_gate(spark, means):
 
 
 def test_threshold_join(spark):
-    values = spark.createDataFrame([("s", "error_rate", 0.15), ("s", "p99", 2500.0), ("t", "error_rate", 0.01)],
+    values = spark.createDataFrame([("s", "error_rate", 0.15), ("s", "p99", 2500.0), ("t", "error_rate", 0.01), ("u", "other", 9.0)],
                                    "k string, metric string, value double")
     limits = spark.createDataFrame([("error_rate", 0.05), ("p99", 2000.0)], "metric string, upper double")
     got = {r["k"]: (r["breached"], r["reasons"]) for r in evaluation.threshold_join(values, limits, ["k"]).collect()}
-    assert got == {"s": (True, "error_rate 0.15 > 0.05; p99 2500.00 > 2000.00"), "t": (False, "")}
+    assert got == {"s": (True, "error_rate 0.15 > 0.05; p99 2500.00 > 2000.00"), "t": (False, ""), "u": (False, "")}
 
 
 def test_ab(spark):

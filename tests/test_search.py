@@ -61,6 +61,16 @@ def test_large_query_set_takes_the_cells(data):
     assert ranked(search.vector_search_batch(vec, ask, 8, max_broadcast_bytes=0)) == want
 
 
+def test_rows_without_direction_are_no_hits_on_either_path(spark):
+    nan = float("nan")
+    vec = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, None), (5, [0.6, 0.8])], "id long, vector array<double>")
+    ask = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [nan, 0.0]), (3, None)], "query_id int, vector array<double>")
+    small = search.vector_search_batch(vec, ask.filter("query_id < 3"), 4)
+    large = search.vector_search_batch(vec, ask, 4, max_broadcast_bytes=0)
+    assert ranked(small) == ranked(large) == {1: [1, 5]}
+    assert [r["id"] for r in search.vector_search(vec, [1.0, 0.0], 4).collect()] == [1, 5]
+
+
 def test_cells_exact_with_split_cells_and_few_rows(data):
     m, q, vec, ask = data
     index = search.build_cells(vec, n_cells=5, rows_per_part=40)
@@ -88,9 +98,8 @@ def test_embedding(spark):
     assert all(len(r["embedding"]) == 16 and r["model"] == "hashing-16" for r in rows.values())
     assert np.linalg.norm(rows[0]["embedding"]) == pytest.approx(1, abs=1e-6)
     assert rows[0]["embedding"] == rows[3]["embedding"] and not any(rows[1]["embedding"]) and not any(rows[2]["embedding"])
-    filled = df.filter("text is not null")
-    once = {r["i"]: r["embedding"] for r in embedding.embed_distinct(filled, embedding.hashing_model(16)).collect()}
-    assert once == {i: r["embedding"] for i, r in rows.items() if i != 2}
+    once = {r["i"]: r["embedding"] for r in embedding.embed_distinct(df, embedding.hashing_model(16)).collect()}
+    assert once == {i: r["embedding"] for i, r in rows.items()}
 
 
 def test_own_model_sees_its_batch_size(spark):

@@ -71,6 +71,9 @@ def test_eval_data_formats(spark, tmp_path):
         assert artifacts.load_eval_data(spark, str(tmp_path / path), fmt).count() == 20
     plain = artifacts.load_eval_data(spark, str(tmp_path / "c"), "csv", df.select("question", "answer").schema)
     assert plain.count() == 20
+    df.select("question", "answer", F.to_json("contexts").alias("contexts"), "ground_truth").write.option("header", True).option(
+        "escape", '"').csv(str(tmp_path / "n"))
+    assert sorted(artifacts.load_eval_data(spark, str(tmp_path / "n"), "csv").collect()) == sorted(df.collect())
     pick = lambda parts: {r["question"] for r in artifacts.load_eval_data(
         spark, str(tmp_path / "p"), "parquet", num_samples=5).repartition(parts).collect()}
     assert pick(1) == pick(7) and len(pick(1)) == 5
@@ -103,19 +106,21 @@ def test_sinks(spark, tmp_path):
 
 def test_vector_table(spark, tmp_path):
     table = VectorTable(spark, str(tmp_path / "v")).create()
-    rows = spark.createDataFrame([("a", [1.0, 0.0], "t", {"c": "x"}), ("b", [0.0, 1.0], "u", None)], schemas.VECTOR_RECORD)
+    rows = spark.createDataFrame([("a", [1.0, 0.0], "t", {"c": "x"}, "s", 0), ("b", [0.0, 1.0], "u", None, "s", 1)], schemas.VECTOR_RECORD)
     table.insert(rows)
     table.insert(rows)
     assert table.count() == 4
     assert table.create().count() == 4
-    more = spark.createDataFrame([("b", [0.0, 1.0], "u", None), ("c", [1.0, 1.0], "w", None), ("c", [1.0, 1.0], "w", None)],
-                                 schemas.VECTOR_RECORD)
+    same = ("c", [1.0, 1.0], "w", None, "s", 2)
+    more = spark.createDataFrame([("b", [0.0, 1.0], "u", None, "s", 1), same, same, ("c", [1.0, 1.0], "w", None, "other", 2),
+                                  ("c", [1.0, 1.0], "another text of the same id", None, "s", 2)], schemas.VECTOR_RECORD)
     table.insert(more, unique=True)
-    assert sorted(r["id"] for r in table.read().collect()) == ["a", "a", "b", "b", "c"]
+    table.insert(more, unique=True)
+    assert sorted(r["id"] for r in table.read().collect()) == ["a", "a", "b", "b", "c", "c", "c"]
     assert table.delete(spark.createDataFrame([("a",), ("zz",)], "id string")) == 2
-    assert sorted(r["id"] for r in table.read().collect()) == ["b", "b", "c"]
+    assert sorted(r["id"] for r in table.read().collect()) == ["b", "b", "c", "c", "c"]
     table.compact(1)
-    assert table.count() == 3
+    assert table.count() == 5
     assert table.read().filter(F.col("metadata").isNotNull()).isEmpty()
 
 

@@ -74,7 +74,7 @@ def test_early_stopping(spark, patience, threshold, greater):
 
 def test_early_stopping_in_batches_equals_one_batch(spark):
     draw = random.Random(1)
-    rows = [(f"r{i % 5}", i, round(50 - i * 0.05 + draw.choice([0, 1, 3, -2]), 2)) for i in range(300)]
+    rows = [(f"r{i % 5}" if i % 5 else None, i, round(50 - i * 0.05 + draw.choice([0, 1, 3, -2]), 2)) for i in range(300)]
     schema = "run_id string, step long, metric double"
     for patience, threshold in ((6, 0.0), (8, 0.5)):
         whole = training.early_stopping(spark.createDataFrame(rows, schema), patience, threshold, block_width=50)
@@ -82,7 +82,7 @@ def test_early_stopping_in_batches_equals_one_batch(spark):
         for part in (rows[:4], rows[4:90], rows[90:200], rows[200:]):
             made = training.early_stopping_state(spark.createDataFrame(part, schema), state, patience, threshold, block_width=50)
             state = spark.createDataFrame(made.collect(), made.schema)
-        fields = ["run_id", "best", "stop_step", "stopped"]
+        fields = ["run_id", "evaluations", "best", "stop_step", "stopped"]
         assert sorted(map(str, state.select(fields).collect())) == sorted(map(str, whole.select(fields).collect()))
 
 
@@ -147,6 +147,8 @@ def test_lineage(spark):
     got = {(r["artifact"], r["ancestor"]): r["distance"] for r in registry.ancestors(edges).collect()}
     assert got["d", "a"] == 1 and got["d", "b"] == 2 and got["c", "a"] == 2
     assert got["x", "y"] == 1 and got["x", "x"] == 2
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "child int, parent int").coalesce(1)
+    assert registry.ancestors(chain).count() == 60 * 61 // 2
 
 
 def test_throughput(spark):
