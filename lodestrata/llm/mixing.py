@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrata.llm import sparse_model
 from lodestrata.llm.common import Shared, columns, empty_as, pieces
@@ -182,7 +183,7 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], anchor:
             made = [_posterior(fitted, t.as_py(), anchor) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64()))], ["row", "p"])
 
-    scored = packed.mapInArrow(score, packed.schema.add("p", "array<double>"))
+    scored = packed.mapInArrow(score, T.StructType([packed.schema["row"], T.StructField("p", T.ArrayType(T.DoubleType()))]))
     copies = _copies(rate(F.col("p"), misses, most), F.col("row.doc_id"), F.xxhash64("row.text"))
     times = scored.select("row", copies.alias("copies")).filter("copies > 0")
     return times.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
