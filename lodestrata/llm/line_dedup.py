@@ -1,12 +1,13 @@
 """Line dedup across documents: exact copies and lines one character edit away, earliest kept.
 
-Lines are taken by digest first. A line can only have a neighbour if another line shares its
-first or its second half, so a grouped count of half keys rules most lines out before any
-variant is made. The rest emit their deletion neighbourhood: the hash of the line itself and of
-the line without each of its characters, with the place of the deletion. Lines with one variant
-at one place differ by one substitution, and a line that is itself the variant of another
-differs by one insertion; so every line is compared with the earliest of its group and with the
-line that equals its variant, never with all others, and the edit distance is verified.
+Lines are taken by digest first. Lines one edit apart agree outside a short stretch, so two passes
+rule out lines without a possible partner: grouped counts of half keys over all lines, then of
+zone keys, all of a line but one of at least eight stretches of at most 64 characters, over the
+rest. What is left emits the deletion neighbourhood of its shared zones: the stretch as it is and
+without each of its characters, with the place of the deletion. Lines with one variant at one
+place differ by one substitution, and a line that is itself the variant of another differs by one
+insertion; so every line is compared with the earliest of its group and with the line that
+equals its variant, never with all others, and the edit distance is verified.
 
 Built-in expressions and joins only.
 
@@ -22,10 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import columns, let, running_total
+from lodestrata.llm.common import columns
 from lodestrata.llm.components import reliable
 
-_MASK = (1 << 40) - 1
+ZONES, ZONE = 8, 64
 
 
 def _half_keys(line: Column) -> Column:
@@ -50,45 +51,49 @@ def _occurrences(docs: DataFrame) -> DataFrame:
         "doc_id", "line_no", F.unhex(F.md5("line")).alias("digest"), _half_keys(F.col("line")).alias("halves"))
 
 
-def variants(line: Column) -> Column:
-    """(place, a, b, size) of the line as it is, at place 0, and without its character at each place from 1.
+def _zones(line: Column) -> Column:
+    """(k1, k2, middle) of a line for each zone: keys of all before and after it, and the zone itself.
 
-    ``a`` and ``b`` are sums of hashes of (character, position) over the variant's characters.
+    Lengths are counted for the shorter of two lines, q characters, which is this one or one
+    character shorter; zone number and q are part of the keys.
     """
-    def sums(chars: Column) -> Column:
-        def hashed(seed: int, shift: int) -> Column:
-            return F.transform(chars, lambda c, i: F.xxhash64(F.lit(seed), c, i + shift).bitwiseAND(F.lit(_MASK)))
+    n = F.length(line)
+
+    def of(q: Column) -> Column:
+        zones = F.greatest(F.lit(ZONES), F.ceil(q / ZONE).cast("int"))
+
+        def zone(j: Column) -> Column:
+            before = F.floor(j.cast("long") * q / zones).cast("int")
+            after = F.floor((zones - 1 - j).cast("long") * q / zones).cast("int")
+            rest = (j, q, F.left(line, before), F.right(line, after))
+            return F.struct(F.xxhash64(F.lit(1), *rest).alias("k1"), F.xxhash64(F.lit(2), *rest).alias("k2"),
+                            F.substring(line, before + 1, n - before - after).alias("middle"))
 
-        def total(values: Column) -> Column:
-            return F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + x)
+        return F.transform(F.sequence(F.lit(0), zones - 1), zone)
 
-        def without(before: Column, moved: Column, moved_before: Column) -> Column:
-            """Sum without each character: those before it in place, those after it one to the left."""
-            return let(total(moved), lambda whole: F.transform(
-                before, lambda s, i: s + whole - F.get(moved_before, i) - F.get(moved, i)))
+    return F.concat(of(n), of(n - 1))
 
-        def one(seed: int) -> Column:
-            return let(hashed(seed, 0), lambda here: let(hashed(seed, -1), lambda moved: let(
-                running_total(moved, 64), lambda moved_before: F.struct(
-                    total(here).alias("whole"), without(running_total(here, 64), moved, moved_before).alias("cut")))))
 
-        def joined(a: Column, b: Column) -> Column:
-            n = F.size(chars)
-            as_is = F.struct(F.lit(0).alias("place"), a["whole"].alias("a"), b["whole"].alias("b"), n.alias("size"))
-            cuts = F.transform(a["cut"], lambda s, i: F.struct(
-                (i + 1).alias("place"), s.alias("a"), F.get(b["cut"], i).alias("b"), (n - 1).alias("size")))
-            return F.concat(F.array(as_is), cuts)
+def _neighbourhood(text: Column) -> Column:
+    """(place, variant) of the text as it is, at place 0, and without its character at each place from 1."""
+    n = F.length(text)
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    cuts = F.transform(places, lambda i: F.struct(
+        i.alias("place"), F.concat(F.left(text, i - 1), F.right(text, n - i)).alias("variant")))
+    return F.concat(F.array(F.struct(F.lit(0).alias("place"), text.alias("variant"))), cuts)
 
-        return let(one(1), lambda a: let(one(2), lambda b: joined(a, b)))
 
-    return let(F.split(line, ""), sums)
+def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys occur more than once."""
+    often = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").select(*keys)
+    return rows.join(often, keys, "left_semi")
 
 
 def _near(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """Digests of distinct lines that have an earlier line within one edit."""
-    keyed = lines.select("digest", "first", F.explode("halves").alias("half"))
-    shared = keyed.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    candidates = keyed.join(shared, "half", "left_semi").groupBy("digest").agg(F.first("first").alias("first"))
+    name = F.xxhash64("digest").alias("name")
+    possible = _shared(lines.select(name, F.explode("halves").alias("half")), ["half"]).select("name").distinct()
+    candidates = lines.select("digest", "first", name).join(possible, "name", "left_semi")
     # The texts of the candidates, from where each stands first.
     places = candidates.groupBy(F.col("first.doc_id").alias("doc_id")).agg(
         F.map_from_entries(F.collect_list(F.struct("first.line_no", "digest"))).alias("wanted"))
@@ -96,14 +101,14 @@ def _near(docs: DataFrame, lines: DataFrame) -> DataFrame:
     found = left.join(right, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))).select(
         F.col("d.doc_id").alias("doc_id"), "wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     texts = found.select("doc_id", "line_no", "line", F.col("wanted")[F.col("line_no")].alias("digest")).filter(
-        (F.col("digest") == F.unhex(F.md5("line")))).groupBy("digest").agg(
+        F.col("digest") == F.unhex(F.md5("line"))).groupBy("digest").agg(
         F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("line").alias("line"))
     texts = reliable(texts)
 
-    emitted = texts.select("digest", "first", F.explode(variants(F.col("line"))).alias("v")).select(
-        "digest", "first", "v.place", "v.a", "v.b", "v.size")
-    emitted = reliable(emitted)
-    group = ["a", "b", "size"]
+    zones = texts.select("digest", "first", F.explode(_zones(F.col("line"))).alias("z")).select("digest", "first", "z.*")
+    emitted = reliable(_shared(zones, ["k1", "k2"]).select(
+        "digest", "first", "k1", "k2", F.inline(_neighbourhood(F.col("middle")))))
+    group = ["k1", "k2", "variant"]
     # One substitution apart: same variant, same place; the earliest stands for the group.
     head = emitted.filter("place > 0").groupBy(*group, "place").agg(
         F.min(F.struct("first", "digest")).alias("head"), F.count("*").alias("n")).filter("n > 1").select(*group, "place", "head")
