@@ -35,7 +35,7 @@ from lodestrata.llm.components import reliable
 DOMAINS = ("clean", "low", "toxic")
 FEATURES = 1 << 16
 PER_DOMAIN = 1500
-ROUNDS = 40
+ROUNDS, KEEP_EVERY = 40, 6
 _STEPS = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.8])
 _BEGINNINGS = (5,)
 _PARTS = re.compile(r"[^\W_]+|[^\w\s]+|_+")
@@ -117,9 +117,9 @@ def _tokens(text: Column) -> Column:
     return F.size(F.filter(pieces(empty_as(text)), lambda w: w != "")).cast("long")
 
 
-def rate(p: Column, misses: list[list[float]], most: float) -> Column:
-    """The rate of a posterior after the steps against the past misses."""
-    start = F.lit(min(1.0, most))
+def rate(p: Column, misses: list[list[float]], most: float, start: Column | None = None) -> Column:
+    """The rate of a posterior after the steps against the past misses, from 1 or another start."""
+    start = F.lit(min(1.0, most)) if start is None else start
     if not misses:
         return start
     past = F.array(*[F.array(*[F.lit(float(x)) for x in m]) for m in misses])
@@ -134,17 +134,21 @@ def fit_rates(scored: DataFrame, weights: dict[str, float], anchor: str = "clean
     Targets are ``weights`` of a total at which the anchor domain would need ``reach`` times its
     tokens; a reach over 1 holds its documents at the maximum.
     """
-    def totals(r: Column) -> list[float]:
-        row = scored.agg(*[F.coalesce(F.sum(F.col("tokens") * r * F.get("p", F.lit(k))), F.lit(0.0)) for k in range(len(DOMAINS))]).first()
+    def totals(rows: DataFrame, r: Column) -> list[float]:
+        row = rows.agg(*[F.coalesce(F.sum(F.col("tokens") * r * F.get("p", F.lit(k))), F.lit(0.0)) for k in range(len(DOMAINS))]).first()
         return [float(x) for x in row]
 
-    has = totals(F.lit(1.0))
+    has = totals(scored, F.lit(1.0))
     whole = reach * has[DOMAINS.index(anchor)] / weights[anchor]
     target = [weights.get(d, 0.0) * whole for d in DOMAINS]
     misses: list[list[float]] = []
-    before = None
+    before, kept = None, 0
+    moved = scored.select("tokens", "p", rate(F.col("p"), [], most).alias("r"))
     for _ in range(rounds):
-        now = totals(rate(F.col("p"), misses, most))
+        if len(misses) - kept == KEEP_EVERY:  # else each round would take all steps since the first again
+            moved = reliable(moved.withColumn("r", rate(F.col("p"), misses[kept:], most, F.col("r"))))
+            kept = len(misses)
+        now = totals(moved, rate(F.col("p"), misses[kept:], most, F.col("r")))
         if before is not None and max(abs(a - b) for a, b in zip(now, before)) <= 1e-6 * max(1.0, sum(has)):
             break
         misses.append([(n - t) / h if h else 0.0 for n, t, h in zip(now, target, has)])
