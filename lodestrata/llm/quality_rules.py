@@ -122,32 +122,60 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
+def _counts(m: Column) -> dict[str, Column]:
+    """The counts of a measured text by name."""
+    of = m["w"]["of"]
+    return {"n_words": of["n_words"], "n_stop": of["n_stop"], "n_repeat_words": of["n_repeat_words"], "word_chars": m["w"]["word_chars"],
+            "n_lines": m["lines"]["n"], "n_dup_lines": m["lines"]["dup"], **{c: m[c] for c in ("n_symbols", "n_upper", "n_letters")}}
+
+
+def _ratios(n: dict[str, Column]) -> dict[str, Column]:
+    return {
+        "mean_word": _ratio(n["word_chars"], n["n_words"]),
+        "symbol_ratio": _ratio(n["n_symbols"], n["n_words"]),
+        "shout_ratio": _ratio(n["n_upper"], n["n_letters"]),
+        "stop_ratio": _ratio(n["n_stop"], n["n_words"]),
+        "dup_line_ratio": _ratio(n["n_dup_lines"], n["n_lines"]),
+        "bare_ratio": _ratio(n["word_chars"] - n["n_letters"], n["word_chars"]),
+    }
+
+
+def _base_failed(n: dict[str, Column], min_words: int, max_repeat_percent: int) -> Column:
+    return (n["n_words"] < min_words) | (100 * n["n_repeat_words"] > max_repeat_percent * n["n_words"])
+
+
+def _broken(rule: Rule, ratios: dict[str, Column]) -> Column:
+    low = F.lit(False) if rule.low is None else ratios[rule.measure] < rule.low
+    return low | (F.lit(False) if rule.high is None else ratios[rule.measure] > rule.high)
+
+
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: int = 20,
             max_repeat_percent: int = 30) -> DataFrame:
     """Per document: counts, ratios, ``base_failed``, the ``failed`` rule names and ``kept``."""
-    m = columns(docs, "doc_id", "text").select("doc_id", measures(F.col("text")).alias("m"))
-    places = {"word_chars": "w.word_chars", "n_words": "w.of.n_words", "n_stop": "w.of.n_stop", "n_repeat_words": "w.of.n_repeat_words",
-              "n_lines": "lines.n", "n_dup_lines": "lines.dup"} | {c: c for c in ("n_symbols", "n_upper", "n_letters")}
-    counted = m.select("doc_id", *[F.col(f"m.{place}").alias(name) for name, place in places.items()])
-    rated = counted.select(
-        "*",
-        ((F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))).alias("base_failed"),
-        _ratio(F.col("word_chars"), F.col("n_words")).alias("mean_word"),
-        _ratio(F.col("n_symbols"), F.col("n_words")).alias("symbol_ratio"),
-        _ratio(F.col("n_upper"), F.col("n_letters")).alias("shout_ratio"),
-        _ratio(F.col("n_stop"), F.col("n_words")).alias("stop_ratio"),
-        _ratio(F.col("n_dup_lines"), F.col("n_lines")).alias("dup_line_ratio"),
-        _ratio(F.col("word_chars") - F.col("n_letters"), F.col("word_chars")).alias("bare_ratio"),
-    )
-    broken = [F.when(F.lit(False) if r.low is None else F.col(r.measure) < r.low, F.lit(r.measure)).when(
-        F.lit(False) if r.high is None else F.col(r.measure) > r.high, F.lit(r.measure)) for r in rules]
+    measured = columns(docs, "doc_id", "text").select("doc_id", measures(F.col("text")).alias("m"))
+    counted = measured.select("doc_id", *[c.alias(name) for name, c in _counts(F.col("m")).items()])
+    n = {name: F.col(name) for name in counted.columns}
+    rated = counted.select("*", _base_failed(n, min_words, max_repeat_percent).alias("base_failed"),
+                           *[c.alias(name) for name, c in _ratios(n).items()])
+    ratios = {name: F.col(name) for name in rated.columns}
+    broken = [F.when(_broken(r, ratios), F.lit(r.measure)) for r in rules]
     failed = F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
     judged = rated.select("*", failed.alias("failed"))
     return judged.select("*", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"))
 
 
+def is_good(text: Column, rules: tuple[Rule, ...] = RULES, min_words: int = 20, max_repeat_percent: int = 30) -> Column:
+    """Whether the rules keep a text, as one predicate that measures it once wherever it is pushed to."""
+    def verdict(m: Column) -> Column:
+        n = _counts(m)
+        ratios = _ratios(n)
+        good = ~_base_failed(n, min_words, max_repeat_percent)
+        for rule in rules:
+            good = good & ~_broken(rule, ratios)
+        return good
+    return let(measures(text), verdict)
+
+
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows that the rules keep, with all their columns; map-only."""
-    packed = docs.select(F.struct("*").alias("row"), F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text"))
-    judged = quality(packed.select(F.struct("doc_id", "row").alias("doc_id"), "text"), **options)
-    return judged.filter("kept").select("doc_id.row.*")
+    return docs.filter(is_good(F.col("`text`"), **options))
