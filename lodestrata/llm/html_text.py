@@ -1,11 +1,12 @@
 """Main text of web pages by composite text density.
 
 A page is read into a tree; parts that their tag, role or class names as boilerplate are cut.
-Every node gets its composite density: characters per tag, weighed by how few of the characters
-and tags are links. The subtree whose children's densities sum highest is the content; on the
-way to it from the body, sibling subtrees at least as dense as the thinnest node of that way, and
-headings and paragraphs beside it, belong to the content too. A page that marks its article is
-searched inside the article only and its article is kept whole.
+Every node of every page gets its composite density: characters per tag, weighed by how few of
+the characters and tags are links. The subtree whose children's densities sum highest is the
+content; on the way to it from the body, sibling subtrees at least as dense as the thinnest node
+of that way, and headings and paragraphs beside it, belong to the content too. Marks of the page
+are a prior: an article around the densest subtree is kept whole, a main element around it is
+where the way starts, and other articles belong to the content unless links are most of their text.
 
 Defined results: a null, empty or textless page gives an empty text; unclosed and misnested tags
 are closed as browsers do for paragraphs, list items and table cells; a page without a body is
@@ -27,12 +28,13 @@ from lodestrata.llm.common import columns
 # Element names by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CUT = frozenset(
-    "applet audio aside button canvas datalist dialog embed fieldset footer form frame frameset head iframe input label "
-    "legend map math menu meter nav noframes noscript object optgroup option output progress script select style svg template "
+    "annotation annotation-xml applet audio aside button canvas datalist dialog embed fieldset footer frame frameset head iframe "
+    "input label legend map menu meter nav noframes noscript object optgroup option output progress script select style svg template "
     "textarea title video".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rb rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split())
+    "strike strong sub sup time tt u var wbr math menclose mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms "
+    "mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXTUAL = HEADINGS | frozenset("p blockquote pre ul ol dl table figure".split())
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
@@ -52,6 +54,8 @@ NAMES = frozenset(
     "notice notices notification overlay pager pagination popup promo promoted promotion recommended related reply replies "
     "respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+# How far a part is trusted that was not cut for its name: one named outright, one with a longer name, a form.
+OUTRIGHT, PARTLY, FORM = 0.1, 0.5, 1.0
 _TOKEN = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -62,7 +66,8 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.cut = ["#page"], [-1], [False]
-        self.articles: list[int] = []
+        # Whether a name, role or form calls a node boilerplate, and how far it is trusted then.
+        self.named, self.trust = [False], [1.0]
         self.chunks: list[tuple[int, int, str]] = []
         self.open, self.block = [0], 0
 
@@ -73,7 +78,10 @@ class _Tree(HTMLParser):
         node, parent = len(self.tags), self.open[-1]
         self.tags.append(tag)
         self.parents.append(parent)
-        self.cut.append(self.cut[parent] or self._is_boilerplate(tag, attrs))
+        self.cut.append(self.cut[parent] or self._is_cut(tag, attrs))
+        trust = None if self.cut[node] else self._trust(tag, attrs)
+        self.named.append(trust is not None)
+        self.trust.append(1.0 if trust is None else trust)
         if tag == "br":
             self.chunks.append((node, self.block, " "))
         if tag not in VOID:
@@ -113,7 +121,8 @@ class _Tree(HTMLParser):
     def _in_article(self):
         return any(self.tags[n] in ("article", "main") for n in self.open)
 
-    def _is_boilerplate(self, tag, attrs):
+    def _is_cut(self, tag, attrs):
+        """Parts that no content is in: by tag, or not shown."""
         if tag in CUT:
             return True
         if tag in ("html", "body", "article", "main"):
@@ -121,26 +130,69 @@ class _Tree(HTMLParser):
         # The header of an article holds its title; that of a page does not.
         if tag == "header":
             return not self._in_article()
+        return any(key == "hidden" or (key == "style" and value and re.search(r"display\s*:\s*none", value)) for key, value in attrs)
+
+    def _trust(self, tag, attrs):
+        """None for a part that nothing names as boilerplate."""
+        if tag in ("html", "body", "article", "main", "header"):
+            return None
+        found = [FORM] if tag == "form" else []
         for key, value in attrs:
-            if key == "hidden" or (key == "aria-hidden" and value == "true"):
-                return True
-            if key == "role" and value in ROLES:
-                return True
+            if (key == "aria-hidden" and value == "true") or (key == "role" and value in ROLES):
+                found.append(OUTRIGHT if key == "role" else PARTLY)
             if key in ("class", "id") and value and tag not in HEADINGS:
                 names = set(_TOKEN.findall(_CAMEL.sub(" ", value).lower())) & NAMES
                 if names - {"header"} or (names and not self._in_article()):
-                    return True
-            if key == "style" and value and re.search(r"display\s*:\s*none", value):
-                return True
-        return False
+                    found.append(OUTRIGHT if set(value.lower().split()) & names else PARTLY)
+        return min(found, default=None)
+
+
+def _ancestors(tree: _Tree, node: int) -> Iterator[int]:
+    """The node and all that hold it, up to the page."""
+    while node >= 0:
+        yield node
+        node = tree.parents[node]
+
+
+def _under(tree: _Tree, roots) -> list[bool]:
+    held = [False] * len(tree.tags)
+    for n in range(len(held)):
+        held[n] = n in roots or (n > 0 and held[tree.parents[n]])
+    return held
 
 
-def _densities(tree: _Tree, top: int) -> tuple[list[float], list[float]]:
-    """Composite density of each node and the sum of its children's; ``top`` stands for the body."""
+def _weigh(tree: _Tree, names_cut: bool) -> tuple[list[bool], list[float]]:
+    """Which nodes are cut, and the weight of each: that of the least trusted name around it.
+
+    A name or form cuts a subtree.
+    """
+    size = len(tree.tags)
+    held, marked = [0] * size, [False] * size
+    for node, _, text in tree.chunks:
+        held[node] += len(text.strip())
+    for n in range(size - 1, 0, -1):
+        p = tree.parents[n]
+        held[p] += held[n]
+        marked[p] |= marked[n] or (held[n] > 0 and tree.tags[n] in ("article", "main"))
+    cut, weight = list(tree.cut), list(tree.trust)
+    for n in range(1, size):
+        p = tree.parents[n]
+        named = tree.named[n]
+        cut[n] = cut[n] or cut[p] or named
+        weight[n] = min(weight[n], weight[p])
+    return cut, weight
+
+
+def _densities(tree: _Tree, top: int, cut: list[bool], weight: list[float]) -> tuple[list[float], list[float], list[bool]]:
+    """Composite density of each node, the sum of its children's, and whether it has text of which links are at most half.
+
+    ``top`` stands for the body.
+    """
     size = len(tree.tags)
     chars, link_chars, tags, link_tags = [0] * size, [0] * size, [0] * size, [0] * size
     for node, _, text in tree.chunks:
-        chars[node] += len(text) - text.count(" ")
+        if not cut[node]:
+            chars[node] += len(text) - text.count(" ")
     linked = [False] * size
     for n in range(1, size):
         linked[n] = linked[tree.parents[n]] or tree.tags[n] == "a"
@@ -148,7 +200,7 @@ def _densities(tree: _Tree, top: int) -> tuple[list[float], list[float]]:
             link_chars[n] = chars[n]
     for n in range(size - 1, 0, -1):
         p = tree.parents[n]
-        if not tree.cut[n]:
+        if not cut[n]:
             chars[p] += chars[n]
             link_chars[p] += link_chars[n]
             tags[p] += tags[n] + 1
@@ -156,52 +208,57 @@ def _densities(tree: _Tree, top: int) -> tuple[list[float], list[float]]:
     share = link_chars[top] / max(1, chars[top])
     density, sums = [0.0] * size, [0.0] * size
     for n in range(size - 1, -1, -1):
-        if chars[n] and not tree.cut[n]:
+        if chars[n] and not cut[n]:
             base = math.log(chars[n] / max(1, chars[n] - link_chars[n]) * link_chars[n] + share * chars[n] + math.e)
             odds = chars[n] / max(1, link_chars[n]) * max(1, tags[n]) / max(1, link_tags[n])
-            density[n] = chars[n] / max(1, tags[n]) * math.log(max(odds, 1.0)) / math.log(max(base, 1.5))
+            density[n] = weight[n] * chars[n] / max(1, tags[n]) * math.log(max(odds, 1.0)) / math.log(max(base, 1.5))
             if tree.parents[n] >= 0:
                 sums[tree.parents[n]] += density[n]
-    return density, sums
+    return density, sums, [0 < chars[n] >= 2 * link_chars[n] and not cut[n] for n in range(size)]
 
 
-def _content(tree: _Tree) -> set[int] | None:
-    """The roots of the content; None for the whole page."""
+def _content(tree: _Tree, names_cut: bool) -> list[bool]:
+    """For each node, whether its own text is content."""
     size = len(tree.tags)
-    marked = [n for n in range(size) if tree.tags[n] == "article" and not tree.cut[n]] or [
-        n for n in range(size) if tree.tags[n] == "main" and not tree.cut[n]]
-    if marked:
-        held = dict.fromkeys(marked, 0)
-        for node, _, text in tree.chunks:
-            while node > 0:
-                if node in held:
-                    held[node] += len(text.strip())
-                node = tree.parents[node]
-        best = max(marked, key=lambda n: (held[n], -n))
-        if held[best]:
-            return {best}
     top = next((n for n in range(size) if tree.tags[n] == "body"), 0)
-    density, sums = _densities(tree, top)
-    inside = [False] * size
-    for n in range(size):
-        inside[n] = n == top or (tree.parents[n] >= 0 and inside[tree.parents[n]])
-    best = max((n for n in range(size) if inside[n] and not tree.cut[n]), key=lambda n: (sums[n], -n), default=top)
+    cut, weight = _weigh(tree, names_cut)
+    density, sums, prose = _densities(tree, top, cut, weight)
+    inside = _under(tree, {top})
+    best = max((n for n in range(size) if inside[n] and not cut[n]), key=lambda n: (sums[n], -n), default=top)
     if sums[best] == 0:
-        return {top}
-    way, node = [best], best
-    while node != top:
-        node = tree.parents[node]
-        way.append(node)
+        return [inside[n] and not cut[n] for n in range(size)]
+    # Marks are a prior: an article around the best node is one unit, and a main around it starts the way.
+    body = top
+    for n in _ancestors(tree, best):
+        if tree.tags[n] == "article":
+            best = n
+        elif tree.tags[n] == "main":
+            top = n
+    way = list(_ancestors(tree, best))
+    way = way[:way.index(top) + 1] if top in way else way[:1]
     threshold, on_way = min(density[n] for n in way), set(way)
-    chosen = {best}
-    for n in range(size):
+    inside = _under(tree, {top})
+    chosen, in_article = {best}, [False] * size
+    for n in range(1, size):
         parent = tree.parents[n]
-        if parent in on_way and parent != best and n not in on_way and not tree.cut[n]:
-            if density[n] and (density[n] >= threshold or tree.tags[n] in HEADINGS or (parent != top and tree.tags[n] in TEXTUAL)):
-                chosen.add(n)
-    if top in on_way and best != top:
-        chosen.discard(top)
-    return chosen
+        in_article[n] = in_article[parent] or tree.tags[parent] == "article"
+        if cut[n] or not inside[n] or not (density[n] or prose[n]) or n in on_way:
+            continue
+        beside = parent in on_way and parent != best and (
+            density[n] >= threshold > 0 or tree.tags[n] in HEADINGS or (parent != body and tree.tags[n] in TEXTUAL))
+        # Every article is a candidate; one under a boilerplate name has to reach the threshold.
+        if beside or (tree.tags[n] == "article" and not in_article[n] and prose[n] and (weight[n] == 1 or density[n] >= threshold)):
+            chosen.add(n)
+    kept = [False] * size
+    for n in range(size):
+        held = n in chosen or (n > 0 and kept[tree.parents[n]])
+        # A named part below the content that was too large to cut stays if it is dense enough as weighed.
+        thin = names_cut and tree.named[n] and weight[n] < 1 and density[n] < threshold and n not in on_way
+        kept[n] = held and not cut[n] and not thin
+    # Bare text of a main beside its content.
+    for n in on_way - {best, body}:
+        kept[n] = kept[n] or tree.tags[top] == "main"
+    return kept
 
 
 def main_text(html: str | None) -> str:
@@ -211,13 +268,13 @@ def main_text(html: str | None) -> str:
     tree = _Tree()
     tree.feed(html)
     tree.close()
-    roots = _content(tree)
-    kept = [False] * len(tree.tags)
-    for n in range(len(kept)):
-        kept[n] = n in roots or (n > 0 and kept[tree.parents[n]])
+    return _text(tree, _content(tree, True)) or _text(tree, _content(tree, False))
+
+
+def _text(tree: _Tree, kept: list[bool]) -> str:
     blocks: dict[int, list[str]] = {}
     for node, block, text in tree.chunks:
-        if kept[node] and not tree.cut[node]:
+        if kept[node]:
             blocks.setdefault(block, []).append(text)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(line for line in lines if line)

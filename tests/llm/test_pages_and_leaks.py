@@ -36,6 +36,27 @@ def test_density_formula_prefers_text_to_links():
     assert html_text.main_text(page).startswith("plain words") and "link" not in html_text.main_text(page)
 
 
+STORY = "Some words of a running text that goes on for a while and tells a story. "
+
+
+def test_pages_by_density(spark, folder):
+    def page(body):
+        return html_text.main_text("<body><nav>menu</nav>" + body + "<footer>foot</footer></body>").split("\n")
+
+    a, b = (STORY * 5).strip(), (STORY * 2).strip()
+    # Several articles: each is content, also the shorter one.
+    assert page(f"<article><h1>A</h1><p>{a}</p><p>{b}</p></article><article><h1>B</h1><p>{b}</p></article>") == ["A", a, b, "B", b]
+    # An article that is only a teaser of links is no content, the dense text beside it is.
+    teaser = "<article><h3><a href=x>Teaser of another story</a></h3><p>Short. <a href=x>Read more of it here</a></p></article>"
+    assert page(f"{teaser}<div><p>{a}</p><p>{b}</p></div>") == [a, b]
+    # Title and intro in main beside the article.
+    assert page(f"<main>Bare<h1>T</h1><p>Intro words.</p><article><p>{a}</p><p>{b}</p></article></main>") == ["Bare", "T", "Intro words.", a, b]
+    # Without its mark the content of every given page is found by density alone.
+    for row in spark.read.parquet(f"{folder}/pages.parquet").collect():
+        plain = row.html.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert html_text.main_text(plain) == html_text.main_text(row.html)
+
+
 def test_page_edges(spark):
     pages = [(1, None, None), (2, "u", ""), (3, "u", "<p>a<p>b<div>c<br>d</div>"), (4, "u", "<div>" * 5000 + "deep" + "</div>" * 5000),
              (5, "u", "words " * 100_000), (6, "u", "<script>x"), (6, "u", "<script>x"), (None, None, "<nav>menu</nav><p>t &lt;b&gt;</p>")]
