@@ -1,6 +1,8 @@
 """Main text of web pages by composite text density.
 
-A page is read into a tree; parts that their tag, role or class names as boilerplate are cut.
+A page is read into a tree; parts that their tag names as boilerplate are cut, and so are small
+parts that a role, class or form names so: a part that holds an article, a main element or most of
+the page's text is only weighed down by its name, and where nothing is left names cut nothing.
 Every node of every page gets its composite density: characters per tag, weighed by how few of
 the characters and tags are links. The subtree whose children's densities sum highest is the
 content; on the way to it from the body, sibling subtrees at least as dense as the thinnest node
@@ -164,7 +166,8 @@ def _under(tree: _Tree, roots) -> list[bool]:
 def _weigh(tree: _Tree, names_cut: bool) -> tuple[list[bool], list[float]]:
     """Which nodes are cut, and the weight of each: that of the least trusted name around it.
 
-    A name or form cuts a subtree.
+    A name or form cuts a subtree, but not one that holds an article, a main element or most of the
+    page's text; such a subtree is only weighed down.
     """
     size = len(tree.tags)
     held, marked = [0] * size, [False] * size
@@ -177,7 +180,7 @@ def _weigh(tree: _Tree, names_cut: bool) -> tuple[list[bool], list[float]]:
     cut, weight = list(tree.cut), list(tree.trust)
     for n in range(1, size):
         p = tree.parents[n]
-        named = tree.named[n]
+        named = tree.named[n] and names_cut and not marked[n] and 2 * held[n] <= held[0]
         cut[n] = cut[n] or cut[p] or named
         weight[n] = min(weight[n], weight[p])
     return cut, weight

@@ -57,6 +57,21 @@ def test_pages_by_density(spark, folder):
         assert html_text.main_text(plain) == html_text.main_text(row.html)
 
 
+def test_names_do_not_cut_content():
+    for name in ("layout sidebar-right", "no-sidebar", "has-nav", "cookie-accepted", "legal-news"):
+        for inner in ("<article>{}</article>", "{}"):
+            body = inner.format(f"<h1>T</h1><p>{STORY}</p><p>{STORY}</p>")
+            page = f"<body><div class='{name}'>{body}<div class=sidebar>links of a sidebar</div></div></body>"
+            assert html_text.main_text(page).split("\n") == ["T", STORY.strip(), STORY.strip()]
+    assert html_text.main_text(f"<body><form><div><p>{STORY}</p><p>{STORY}</p><input></div></form></body>") == f"{STORY}\n{STORY.strip()}".replace(" \n", "\n")
+    assert html_text.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold here.</p></article>") == "Let x=2 hold here."
+    # Nothing but named parts: names cut nothing.
+    assert html_text.main_text("<div class=menu>one text</div><div class=popup>two texts</div><div class=share>three</div>") != ""
+    # A large part under a boilerplate name weighs little.
+    comments = "<div class=comments>" + "<p>I like this so much. I do.</p>" * 20 + "</div>"
+    assert html_text.main_text(f"<body><div><p>{STORY}</p><p>{STORY}</p></div>{comments}</body>").split("\n") == [STORY.strip()] * 2
+
+
 def test_page_edges(spark):
     pages = [(1, None, None), (2, "u", ""), (3, "u", "<p>a<p>b<div>c<br>d</div>"), (4, "u", "<div>" * 5000 + "deep" + "</div>" * 5000),
              (5, "u", "words " * 100_000), (6, "u", "<script>x"), (6, "u", "<script>x"), (None, None, "<nav>menu</nav><p>t &lt;b&gt;</p>")]
