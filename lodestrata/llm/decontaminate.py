@@ -4,17 +4,19 @@ Texts and benchmark items are sequences of lower-cased words. A CGK walk reads a
 random bits: it emits the word it stands on and moves on or stays, as the bit for this step and
 word says; sequences a few edits apart then agree on most emitted words. Each repetition has its
 own bits and keeps a sample of the emitted words as key. Walks start at every word of a text and
-at every word of an item, so that a shared key aligns an item-sized window of the text with the
-item at that offset. Windows are verified by the edit distance of the item to the best matching
-stretch of words.
+at every word of an item, its end padded with unknown words, so that a shared key aligns an
+item-sized window of the text with the item at that offset. Windows are verified by the edit
+distance of the item to the best matching stretch of words.
 
 The benchmark is sent to the tasks in blocks of bounded size; each block passes over all texts.
 
-Recall: a key is missed only if every repetition meets an edit in every stretch between edits, so
-verbatim items are always found; the chance for edited ones is tested against brute force.
+Recall: items shorter than twice the steps of a walk are found without chance: cut in one more piece
+than they may have edits, one piece stands in the text as it is, so shared pieces are their keys. An
+item with walks is missed only if every repetition meets an edit from every start; the number of
+repetitions is the least at which the shortest such item with all the edits it may have, placed at
+their worst, is found with the target chance, as tried on a fixed sample of such items.
 
-Defined results: a null or wordless text or item matches nothing; items too short for a walk are
-verified in every text that has enough of their words; several matches of one item in one row
+Defined results: a null or wordless text or item matches nothing; several matches of one item in one row
 give the best, the first among equals; repeated rows and repeated items are all reported; an
 empty table on either side gives no leaks; extra columns are ignored by ``leaks`` and kept by
 ``without_leaks``.
@@ -23,9 +25,9 @@ empty table on either side gives no leaks; extra columns are ignored by ``leaks`
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,11 @@ from lodestrata.llm.common import Shared, columns, empty_as
 _WORDS = re.compile(r"[^\W_]+")
 STEPS = 10
 SAMPLED = 7
-REPEATS = 4
 SIMILARITY = 0.8
+# The chance to find an item of the least size with walks that has as many edits as it may, evenly spread.
+RECALL = 0.999
+WALKED = 2 * STEPS
+_TRIALS, _MOST_REPEATS = 4000, 64
 BLOCK_WORDS = 200_000
 _CHUNK = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -134,36 +139,23 @@ class Index:
                 ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in found], np.int32)
                 self.items.append(Item(item_id, ids, similarity))
         self.walks = [Walk.make(k, len(self.number) + 1) for k in range(repeats)]
-        self.tables = [self._table(walk) for walk in self.walks]
-        # Items too short for a walk: word -> items, and how many different words a match must share.
-        self.short: dict[int, list[int]] = {}
-        self.need: dict[int, int] = {}
+        self.tables = [_table(((k, *_walks(walk, item)) for k, item in enumerate(self.items) if item.size >= WALKED)) for walk in self.walks]
+        # Pieces of the shorter items by their number of words.
+        short: dict[int, list] = {}
         for k, item in enumerate(self.items):
-            if item.size < STEPS:
-                self.need[k] = max(1, len(item.masks) - item.limit)
-                for word in item.masks:
-                    self.short.setdefault(word, []).append(k)
-
-    def _table(self, walk: Walk):
-        """Sorted keys with the item and offset of each, and a bit table that rules most keys out."""
-        keys, which, offsets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k, item in enumerate(self.items):
-            places, key = walk.keys(item.ids, np.arange(item.size - STEPS + 1))
-            keys.append(key)
-            which.append(np.full(len(key), k))
-            offsets.append(places)
-        keys, which, offsets = np.concatenate(keys), np.concatenate(which), np.concatenate(offsets)
-        order = np.argsort(keys, kind="stable")
-        maybe = np.zeros(1 << 20, bool)
-        maybe[_low_bits(keys)] = True
-        return keys[order], which[order], offsets[order], maybe
+            if item.size < WALKED:
+                words = item.size // (item.limit + 1)
+                short.setdefault(words, []).append((k, *_runs(item.ids, np.arange(0, item.size - words + 1, words)[:item.limit + 1], words)))
+        self.pieces = {words: _table(rows) for words, rows in sorted(short.items())}
 
     def candidates(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text position, start of the window aligned there, and item, for every shared key."""
         starts = np.flatnonzero(ids)
         places, begins, which = [[np.zeros(0, np.int64)] for _ in range(3)]
-        for walk, (keys, item, offset, maybe) in zip(self.walks, self.tables):
-            at, key = walk.keys(ids, starts)
+        walked = [(walk.keys, table) for walk, table in zip(self.walks, self.tables) if len(table[0])]
+        cut = [(partial(_runs, words=words), table) for words, table in self.pieces.items()]
+        for make, (keys, item, offset, maybe) in walked + cut:
+            at, key = make(ids, starts)
             hit = maybe[_low_bits(key)]
             at, key = at[hit], key[hit]
             low = np.searchsorted(keys, key, "left")
@@ -176,22 +168,78 @@ class Index:
         return np.concatenate(places), np.concatenate(begins), np.concatenate(which)
 
     def best(self, ids: np.ndarray, windows) -> dict[int, tuple[int, int]]:
-        """Item -> (distance, start) of its best window in one text, where that is within its limit."""
+        """Item -> (distance, start) of its best window in one text, where that is within its limit.
+
+        The windows are sorted; those of an item that overlap are searched as one.
+        """
         found: dict[int, tuple[int, int]] = {}
+        spans: list[list[int]] = []
         for k, begin in windows:
+            item = self.items[k]
+            low, high = max(0, begin - item.limit), begin + item.size + item.limit
+            if spans and spans[-1][0] == k and low <= spans[-1][2]:
+                spans[-1][2] = high
+            else:
+                spans.append([k, low, high])
+        for k, low, high in spans:
             item = self.items[k]
             if k in found and found[k][0] == 0:
                 continue
-            low = max(0, begin - item.limit)
-            match = item.match(ids[low:max(low, begin + item.size + item.limit)].tolist())
+            match = item.match(ids[low:max(low, high)].tolist())
             if match:
                 here = (match[0], max(0, low + match[1] - item.size))
                 found[k] = min(found.get(k, here), here)
         return found
 
-    def short_items(self, ids: np.ndarray) -> list[int]:
-        shared = Counter(k for w in np.unique(ids).tolist() for k in self.short.get(w, ())) if self.short else {}
-        return [k for k, n in shared.items() if n >= self.need[k]]
+
+def _walks(walk: Walk, item: Item) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and keys of the walks from every word of an item, past its end unknown words."""
+    return walk.keys(np.append(item.ids, np.zeros(STEPS + 1, np.int32)), np.arange(item.size))
+
+
+def _runs(ids: np.ndarray, starts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and keys of the runs of so many words that are all known (not 0)."""
+    key = np.zeros(len(starts), np.uint64)
+    for step in range(words):
+        word = ids[starts + step]
+        known = np.flatnonzero(word)
+        if len(known) < len(word):
+            starts, key, word = starts[known], key[known], word[known]
+        key = _mix(key + word.astype(np.uint64))
+    return starts, key
+
+
+def _table(rows):
+    """Sorted keys with the item and offset of each, and a bit table that rules most keys out."""
+    keys, which, offsets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, places, key in rows:
+        keys.append(key)
+        which.append(np.full(len(key), k))
+        offsets.append(places)
+    keys, which, offsets = np.concatenate(keys), np.concatenate(which), np.concatenate(offsets)
+    order = np.argsort(keys, kind="stable")
+    maybe = np.zeros(1 << 20, bool)
+    maybe[_low_bits(keys)] = True
+    return keys[order], which[order], offsets[order], maybe
+
+
+@cache
+def repeats_for(recall: float = RECALL, similarity: float = SIMILARITY, size: int = WALKED) -> int:
+    """The least number of repetitions that finds an item of this size with all the edits it may have with the given chance."""
+    limit, missed = int(size * (1 - similarity) + 1e-9), np.ones(_TRIALS, bool)
+    # Every trial has its own words, so that one walk meets all of them with independent bits.
+    items = np.zeros((_TRIALS, size + STEPS + 1), np.int32)
+    items[:, :size] = np.arange(1, _TRIALS * size + 1).reshape(_TRIALS, size)
+    texts = items.copy()
+    texts[:, (np.arange(limit) + 1) * size // (limit + 1)] = 0  # spread evenly, edits leave the shortest stretches
+    starts = (np.arange(_TRIALS)[:, None] * items.shape[1] + np.arange(size)).ravel()
+    for repeats in range(1, _MOST_REPEATS + 1):
+        walk = Walk.make(repeats - 1, _TRIALS * size + 1)
+        (at, key), (place, other) = walk.keys(items.ravel(), starts), walk.keys(texts.ravel(), starts)
+        missed[np.intersect1d(at[np.isin(key, other)], place) // items.shape[1]] = False
+        if missed.mean() <= 1 - recall:
+            break
+    return repeats
 
 
 def _low_bits(keys: np.ndarray) -> np.ndarray:
@@ -211,10 +259,6 @@ def _search(index: Index, texts: Iterator[str | None]) -> Iterator[tuple[int, in
             windows.setdefault(o, set()).add((k, s))
         for o, (row, ids) in enumerate(held):
             found = index.best(ids, sorted(windows.get(o, ())))
-            for k in index.short_items(ids):
-                match = index.items[k].match(ids.tolist())
-                if match:
-                    found[k] = (match[0], max(0, match[1] - index.items[k].size))
             for k, (distance, begin) in sorted(found.items()):
                 yield row, k, distance, begin
 
@@ -230,9 +274,10 @@ def _search(index: Index, texts: Iterator[str | None]) -> Iterator[tuple[int, in
         yield from flush(held)
 
 
-def _blocks(benchmark: DataFrame, similarity: float, repeats: int, block_words: int):
+def _blocks(benchmark: DataFrame, similarity: float, repeats: int | None, block_words: int):
     """Broadcast indexes of the benchmark, each of about block_words words."""
     items = columns(benchmark, "item_id", "text")
+    repeats = repeats_for(similarity=similarity) if repeats is None else repeats
     half = F.sum((F.length(empty_as(F.col("text"))) + 1) / 2)  # no text has more words than this
     blocks = max(1, int(-(-(items.agg(half).first()[0] or 0) // block_words)))
     for b in range(blocks):
@@ -241,7 +286,7 @@ def _blocks(benchmark: DataFrame, similarity: float, repeats: int, block_words:
         yield Shared(benchmark.sparkSession, index)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, repeats: int = REPEATS,
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, repeats: int | None = None,
           block_words: int = BLOCK_WORDS) -> DataFrame:
     """``(doc_id, item_id, start_word, item_words, distance)`` for every item found in a text."""
     item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
@@ -268,7 +313,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     return made
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, repeats: int = REPEATS,
+def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, repeats: int | None = None,
                   block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows in whose text no item is found, with all their columns; no shuffle."""
     place = [f.name for f in docs.schema].index("text")

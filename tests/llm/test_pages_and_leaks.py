@@ -121,6 +121,23 @@ def test_leaks_against_brute_force(spark, folder):
     assert len(set(got) - set(want)) == 0 and len(set(want) & set(got)) >= 0.98 * len(want)
 
 
+def test_leaks_of_short_items_at_their_limit(spark):
+    rnd, items, rows = random.Random(5), [], []
+    for size in (6, 9, 10, 11, 12, 13, 14, 15, 19, 20, 25):
+        for _ in range(60):
+            k, words = len(items), [f"w{rnd.randrange(3000)}" for _ in range(size)]
+            items.append((k, " ".join(words)))
+            for p in sorted(rnd.sample(range(size), size // 5), reverse=True):
+                kind = rnd.random()
+                words[p:p + 1] = ["new"] if kind < 0.5 else [] if kind < 0.75 else ["new", words[p]]
+            rows.append((k, " ".join(["before"] * 5 + words + ["after"] * 5)))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r.doc_id for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect() if r.doc_id == r.item_id}
+    short = {k for k, text in items if len(text.split()) < decontaminate.WALKED}
+    assert short <= got and len(got) >= 0.995 * len(items)
+    assert decontaminate.repeats_for(0.999) > decontaminate.repeats_for(0.9) >= 1
+
+
 def test_leak_edges(spark):
     bench = spark.createDataFrame(
         [(1, "alpha beta gamma delta"), (2, None), (3, ""), (4, "One, two! three four five six seven eight nine ten eleven twelve.")], "item_id bigint, text string")
