@@ -11,10 +11,10 @@ equals its variant, never with all others, and the edit distance is verified.
 
 Built-in expressions and joins only.
 
-Defined results: order is (doc_id, line number), null doc_ids first; a null text has no line;
+Defined results: order is (doc_id, line number, hash of the text), null doc_ids first; a null text has no line;
 blank lines stay; a line is dropped if an equal line or one within the bound stands earlier
-anywhere, whether or not that one is dropped itself; rows with one doc_id are read as one
-document; an empty table gives an empty table; extra columns are ignored by ``dropped_lines`` and
+anywhere, whether or not that one is dropped itself; rows with one doc_id, or
+none, are told apart by their texts, and those with one text too are treated alike; an empty table gives an empty table; extra columns are ignored by ``dropped_lines`` and
 ``line_report`` and kept by ``dedup``.
 """
 
@@ -29,6 +29,19 @@ from lodestrata.llm.components import reliable
 ZONES, ZONE = 8, 64
 
 
+def _text_key() -> Column:
+    return F.xxhash64("text").alias("text_key")
+
+
+def _place() -> Column:
+    """Where a line stands, in the order of lines."""
+    return F.struct("doc_id", "line_no", "text_key")
+
+
+def _same_row(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_key") == F.col(f"{b}.text_key"))
+
+
 def _half_keys(line: Column) -> Column:
     """Keys of the halves that a line shares with any line one edit away.
 
@@ -45,10 +58,10 @@ def _half_keys(line: Column) -> Column:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """Every line with a word: doc_id, line number from 0, digest, half keys."""
-    lines = columns(docs, "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """Every line with a word: doc_id, key of the text, line number from 0, digest, half keys."""
+    lines = columns(docs, "doc_id", "text").select("doc_id", _text_key(), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select(
-        "doc_id", "line_no", F.unhex(F.md5("line")).alias("digest"), _half_keys(F.col("line")).alias("halves"))
+        "doc_id", "text_key", "line_no", F.unhex(F.md5("line")).alias("digest"), _half_keys(F.col("line")).alias("halves"))
 
 
 def _zones(line: Column) -> Column:
@@ -94,15 +107,16 @@ def _near(docs: DataFrame, lines: DataFrame) -> DataFrame:
     name = F.xxhash64("digest").alias("name")
     possible = _shared(lines.select(name, F.explode("halves").alias("half")), ["half"]).select("name").distinct()
     candidates = lines.select("digest", "first", name).join(possible, "name", "left_semi")
-    # The texts of the candidates, from where each stands first.
-    places = candidates.groupBy(F.col("first.doc_id").alias("doc_id")).agg(
+    # The texts of the candidates, from where each stands first; a row is known by its doc_id and text.
+    places = candidates.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key")).agg(
         F.map_from_entries(F.collect_list(F.struct("first.line_no", "digest"))).alias("wanted"))
-    left, right = columns(docs, "doc_id", "text").alias("d"), places.alias("p")
-    found = left.join(right, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))).select(
-        F.col("d.doc_id").alias("doc_id"), "wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    texts = found.select("doc_id", "line_no", "line", F.col("wanted")[F.col("line_no")].alias("digest")).filter(
+    left, right = columns(docs, "doc_id", "text").select("doc_id", _text_key(), "text").alias("d"), places.alias("p")
+    found = left.join(right, _same_row("d", "p")).select(
+        F.col("d.doc_id").alias("doc_id"), F.col("d.text_key").alias("text_key"), "wanted",
+        F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    texts = found.select("doc_id", "text_key", "line_no", "line", F.col("wanted")[F.col("line_no")].alias("digest")).filter(
         F.col("digest") == F.unhex(F.md5("line"))).groupBy("digest").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("line").alias("line"))
+        F.min(_place()).alias("first"), F.first("line").alias("line"))
     texts = reliable(texts)
 
     zones = texts.select("digest", "first", F.explode(_zones(F.col("line"))).alias("z")).select("digest", "first", "z.*")
@@ -128,28 +142,27 @@ def _near(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """``(doc_id, line_no, near)`` of every line that has an earlier equal line or near one."""
+    """``(doc_id, text_key, line_no, near)`` of every line that has an earlier equal line or near one."""
     occurrences = _occurrences(docs)
     lines = reliable(occurrences.groupBy("digest").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves")))
+        F.min(_place()).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves")))
     near = _near(docs, lines)
     judged = lines.join(near.withColumn("near", F.lit(True)), "digest", "left").filter((F.col("n") > 1) | F.col("near"))
     judged = reliable(judged.select("digest", "first", F.coalesce("near", F.lit(False)).alias("near")))
-    here = F.struct("doc_id", "line_no")
-    return occurrences.select("doc_id", "line_no", "digest").join(judged, "digest").filter(
-        F.col("near") | (here > F.col("first"))).select("doc_id", "line_no", "near").distinct()
+    return occurrences.select("doc_id", "text_key", "line_no", "digest").join(judged, "digest").filter(
+        F.col("near") | (_place() > F.col("first"))).select("doc_id", "text_key", "line_no", "near").distinct()
 
 
-def _per_document(docs: DataFrame) -> DataFrame:
-    return dropped_lines(docs).groupBy("doc_id").agg(
+def _per_row(docs: DataFrame) -> DataFrame:
+    return dropped_lines(docs).groupBy("doc_id", "text_key").agg(
         F.sort_array(F.collect_list("line_no")).alias("dropped"), F.count_if("near").alias("n_near"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_lines, n_dropped, n_near and the numbers of the dropped lines."""
-    rows = columns(docs, "doc_id", "text").select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
-    drops = _per_document(docs)
-    joined = rows.alias("r").join(drops.alias("p"), F.col("r.doc_id").eqNullSafe(F.col("p.doc_id")), "left")
+    rows = columns(docs, "doc_id", "text").select(
+        "doc_id", _text_key(), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
+    joined = rows.alias("r").join(_per_row(docs).alias("p"), _same_row("r", "p"), "left")
     return joined.select(
         F.col("r.doc_id").alias("doc_id"), F.greatest("n_lines", F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
@@ -158,9 +171,8 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents without their dropped lines; other columns stay."""
-    drops = _per_document(docs).select(F.col("doc_id").alias("key"), "dropped")
-    packed = docs.select(F.struct("*").alias("row"), F.col("`doc_id`").alias("id"))
-    joined = packed.join(drops, F.col("id").eqNullSafe(F.col("key")), "left")
+    packed = docs.select(F.struct("*").alias("row"), F.col("`doc_id`").alias("doc_id"), F.xxhash64("`text`").alias("text_key"))
+    joined = packed.alias("d").join(_per_row(docs).alias("p"), _same_row("d", "p"), "left")
     kept = F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter(
         F.split("row.text", "\n"), lambda line, i: ~F.array_contains("dropped", i)), "\n"))
     names = [f.name for f in docs.schema]

@@ -147,5 +147,19 @@ def test_line_dedup(spark):
     assert line_dedup.dedup(docs).columns == docs.columns
 
 
+def test_line_dedup_of_rows_with_one_id(spark):
+    one, two = "a fairly long line of words", "another line of quite other words"
+    rows = [(None, f"{one}\nonly here"), (None, f"{two}\nunique in its row\n{one}"), (7, "the first of seven\nstays\nsomething"),
+            (7, "a second text of seven\nthe first of seven\nnot the same"), (8, f"{one}s\n{two}s\nthe first of sevens\na second text of sevens\nnew")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r.doc_id or 0), r.n_lines, r.n_dropped, r.n_near, r.dropped) for r in line_dedup.line_report(docs).collect())
+    assert got == [(0, 2, 0, 0, ""), (0, 3, 1, 0, "2"), (7, 3, 0, 0, ""), (7, 3, 1, 0, "1"), (8, 5, 4, 4, "0,1,2,3")]
+    kept = sorted(r.text for r in line_dedup.dedup(docs).collect())
+    assert kept == sorted([rows[0][1], f"{two}\nunique in its row", rows[2][1], "a second text of seven\nnot the same", "new"])
+    # Lines at one place of two rows without id: one of them stands first.
+    same = spark.createDataFrame([(None, "one line\nx y z"), (None, "one line\np q r")], "doc_id bigint, text string")
+    assert sorted(r.dropped for r in line_dedup.line_report(same).collect()) == ["", "0"]
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.line_report(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
