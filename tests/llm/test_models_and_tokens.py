@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lodestrata.llm import language_id, mixing, pretokens, sparse_model, token_counts, token_files
+from lodestrata.llm import language_id, mixing, pretokens, queries, sparse_model, token_counts, token_files
 from lodestrata.session import checkpoint_dir
 
 EDGE = [
@@ -163,6 +163,17 @@ def test_mixing(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in rows for _ in range(r.copies))
 
 
+def test_registered_mixture_meets_its_targets(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = mixing.rates(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"),
+                        queries.MIX, reach=queries.REACH).collect()
+    has, got = ({d: sum(r.tokens * r[f"p_{d}"] * (r.rate if rated else 1) for r in rows) for d in mixing.DOMAINS} for rated in (False, True))
+    whole = queries.REACH * has["clean"] / queries.MIX["clean"]
+    for d in mixing.DOMAINS:
+        assert abs(got[d] - queries.MIX[d] * whole) <= 0.01 * whole, d
+        assert queries.MIX[d] == 0 or abs(got[d] / (queries.MIX[d] * whole) - 1) <= 0.02, d
+
+
 def test_mixing_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "some words"), (3, "some words"), (None, "x")], "doc_id bigint, text string")
     none = spark.createDataFrame([(1, None, None), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
