@@ -70,15 +70,17 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, per_domain: int = PER_DOMAIN) -> sparse_model.Model | None:
-    """The domain classifier, from about ``per_domain`` labelled rows of each domain."""
+    """The domain classifier, from about ``per_domain`` labelled documents of each domain."""
     named = columns(labels, "doc_id", "quality", "toxic").select("doc_id", domain(F.col("quality"), F.col("toxic")).alias("domain"))
     named = named.filter(F.col("domain").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = {r.domain: r.n for r in named.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    # Counted where they are documents: earlier stages may have dropped most of a domain.
+    present = reliable(columns(docs, "doc_id").join(named.distinct(), "doc_id"))
+    sizes = {r.domain: r.n for r in present.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     million = 1_000_000
     share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(million, -(-per_domain * million // n)))])
-    sample = named.filter(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < share[F.col("domain")])
+    sample = present.filter(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < share[F.col("domain")]).distinct()
     # The sample's size is bounded by its parameter, so it may be sent to every task.
     rows = columns(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("domain", "text").mapInArrow(
         _feature_rows, "domain string, at array<int>").collect()

@@ -174,6 +174,15 @@ def test_registered_mixture_meets_its_targets(spark):
         assert queries.MIX[d] == 0 or abs(got[d] / (queries.MIX[d] * whole) - 1) <= 0.02, d
 
 
+def test_sample_counts_documents_not_labels(spark, monkeypatch):
+    docs = spark.range(600).selectExpr("id AS doc_id", "concat('word', id, ' and more') AS text")
+    labels = spark.range(20_000).selectExpr("id AS doc_id", "CAST(id < 300 AS int) AS quality", "0 AS toxic")
+    seen = []
+    monkeypatch.setattr(mixing.sparse_model, "fit", lambda rows, names, *_, **__: seen.extend(names))
+    mixing.fit_domains(docs, labels, per_domain=200)
+    assert abs(seen.count("clean") - 200) < 45 and abs(seen.count("low") - 200) < 45
+
+
 def test_mixing_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "some words"), (3, "some words"), (None, "x")], "doc_id bigint, text string")
     none = spark.createDataFrame([(1, None, None), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
