@@ -18,72 +18,124 @@ table; extra columns are ignored by ``rates`` and kept by ``mixed``.
 
 from __future__ import annotations
 
-import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.llm import sparse_model
-from lodestrata.llm.common import Shared, columns, empty_as, pieces
+from lodestrata.llm import pretokens, sparse_model
+from lodestrata.llm.common import Shared, columns
 from lodestrata.llm.components import reliable
+from lodestrata.llm.samples import labelled_texts
+from lodestrata.session import checkpoint_dir
 
 DOMAINS = ("clean", "low", "toxic")
 FEATURES = 1 << 16
 PER_DOMAIN = 1500
 ROUNDS, KEEP_EVERY = 40, 6
+BEGINNING = 5
 _STEPS = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.8])
-_BEGINNINGS = (5,)
-_PARTS = re.compile(r"[^\W_]+|[^\w\s]+|_+")
+_PART = r"([\pL\pN]+|_+|[^\pL\pN_\s\pZ]+)"
+_SHARES = ("capitals", "symbols", "different", "lines")
 
 
 def domain(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, "toxic").when(quality == 1, "clean").when(quality == 0, "low")
 
 
-def features(text: str | None) -> np.ndarray:
-    """Hashed words and word beginnings that occur, and coarse shares of capitals, symbols and repeats."""
-    parts = _PARTS.findall(text or "")
-    if not parts:
-        return np.zeros(0, np.int64)
-    kinds = set(map(str.lower, parts))
-    n, letters = len(parts), max(1, sum(map(len, parts)))
-    shares = {
-        "capitals": sum(len(p) for p in parts if p.isupper() and len(p) > 1) / letters,
-        "symbols": sum(not (p[0].isalnum()) for p in parts) / n,
-        "different": len(kinds) / n,
-        "lines": len(set(text.split("\n"))) / (text.count("\n") + 1),
-    }
-    named = [f"{k}\x00{int(np.searchsorted(_STEPS, v, 'right'))}" for k, v in shares.items()]
-    named += {f"{w[:k]}\x00" for w in kinds for k in _BEGINNINGS if len(w) >= k}
-    return np.unique(np.fromiter((zlib.crc32(w.encode()) % FEATURES for w in [*kinds, *named]), np.int64))
+def _hashed(names: pa.Array) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, names.cast(pa.binary()).to_pylist()), np.int64, len(names)) % FEATURES
+
+
+def _different(keys: np.ndarray) -> np.ndarray:
+    """The keys in order, each once."""
+    keys = np.sort(keys)
+    return keys[np.diff(keys, prepend=-1) > 0]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, .. for each start, as many as its size."""
+    after = np.cumsum(sizes)
+    return np.repeat(starts - (after - sizes), sizes) + np.arange(after[-1] if len(after) else 0)
+
+
+def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    running = np.concatenate([[0], np.cumsum(values)])
+    return running[ends[1:]] - running[ends[:-1]]
+
+
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text its tokens, and the end of its features among all; the features.
+
+    Features are hashed words and word beginnings that occur, and coarse shares of capitals,
+    symbols, different words and different lines. A text is cut at white space; Arrow numbers the
+    distinct pieces, and each of them is taken apart once.
+    """
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded, ends = lists.flatten().dictionary_encode(), lists.offsets.to_numpy().astype(np.int64)
+    numbers, ends = coded.indices.to_numpy(), ends - ends[0]
+    cut = pc.split_pattern(pc.replace_substring_regex(coded.dictionary, _PART, "\\1\x00"), "\x00")
+    parts, bounds = pc.utf8_trim_whitespace(cut.flatten()), cut.offsets.to_numpy().astype(np.int64)
+    real = pc.not_equal(parts, "").to_numpy(zero_copy_only=False)
+    bounds = np.concatenate([[0], np.cumsum(real)])[bounds - bounds[0]]
+    parts = parts.filter(pa.array(real))
+    kinds = pc.utf8_lower(parts).dictionary_encode()
+    kind, names = kinds.indices.to_numpy().astype(np.int64), kinds.dictionary
+    long_name = pc.greater_equal(pc.utf8_length(names), BEGINNING)
+    word = _hashed(names)
+    beginning = np.where(long_name, _hashed(pc.binary_join_element_wise(pc.utf8_slice_codeunits(names, 0, BEGINNING), "\x00", "")), word)
+
+    def total(values) -> np.ndarray:
+        """Sums per text of a number per part."""
+        return _sums(_sums(np.asarray(values, np.int64), bounds)[numbers], ends)
+
+    length = pc.utf8_length(parts).to_numpy()
+    upper = pc.utf8_is_upper(parts).to_numpy(zero_copy_only=False) & (length > 1)
+    symbol = ~pc.utf8_is_alnum(pc.utf8_slice_codeunits(parts, 0, 1)).to_numpy(zero_copy_only=False)
+    n = total(np.ones(len(parts)))
+    each = np.diff(bounds)[numbers]
+    rows = np.repeat(np.repeat(np.arange(len(texts)), np.diff(ends)), each)
+    pairs = _different((rows << 32) | kind[_ranges(bounds[:-1][numbers], each)])
+    at, of = pairs >> 32, pairs & 0xFFFFFFFF
+    some, n1 = np.flatnonzero(n), np.maximum(n, 1)
+    lines = np.ones(len(texts))
+    for k in some.tolist():
+        text = texts[k].as_py()
+        lines[k] = len(set(text.split("\n"))) / (text.count("\n") + 1)
+    shares = [total(np.where(upper, length, 0)) / np.maximum(total(length), 1), total(symbol) / n1, np.bincount(at, minlength=len(texts)) / n1, lines]
+    steps = [_hashed(pa.array([f"{name}\x00{k}" for k in range(len(_STEPS) + 1)]))[np.searchsorted(_STEPS, share, "right")][some]
+             for name, share in zip(_SHARES, shares)]
+    keys = _different(np.concatenate([(at << 16) | word[of], (at << 16) | beginning[of], *((some << 16) | x for x in steps)]))
+    tokens = _sums(pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False).astype(np.int64)[numbers], ends)
+    return tokens, np.cumsum(np.bincount(keys >> 16, minlength=len(texts))), keys & 0xFFFF
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = pa.array([features(t.as_py()).tolist() for t in batch.column("text")], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column("domain"), made], ["domain", "at"])
+        for start, texts in pretokens.slices(batch.column("text")):
+            _, ends, found = features(texts)
+            made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(found, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("kind").slice(start, len(texts)), made], ["domain", "at"])
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, per_domain: int = PER_DOMAIN) -> sparse_model.Model | None:
-    """The domain classifier, from about ``per_domain`` labelled documents of each domain."""
-    named = columns(labels, "doc_id", "quality", "toxic").select("doc_id", domain(F.col("quality"), F.col("toxic")).alias("domain"))
-    named = named.filter(F.col("domain").isNotNull() & F.col("doc_id").isNotNull())
-    # Counted where they are documents: earlier stages may have dropped most of a domain.
-    present = reliable(columns(docs, "doc_id").join(named.distinct(), "doc_id"))
-    sizes = {r.domain: r.n for r in present.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    """The domain classifier, from about ``per_domain`` labelled documents of each domain.
+
+    Documents are counted where they are, not in the labels: earlier stages may have dropped most of a domain.
+    """
+    named = columns(labels, "doc_id", "quality", "toxic").select("doc_id", domain(F.col("quality"), F.col("toxic")).alias("kind"))
+    named = named.filter(F.col("kind").isNotNull() & F.col("doc_id").isNotNull()).distinct()
+    present = columns(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_key")).join(named, "doc_id")
+    sample, sizes = labelled_texts(docs, present, per_domain)
     if not sizes:
         return None
-    million = 1_000_000
-    share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(million, -(-per_domain * million // n)))])
-    sample = present.filter(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < share[F.col("domain")]).distinct()
-    # The sample's size is bounded by its parameter, so it may be sent to every task.
-    rows = columns(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("domain", "text").mapInArrow(
-        _feature_rows, "domain string, at array<int>").collect()
+    rows = sample.mapInArrow(_feature_rows, "domain string, at array<int>").collect()
     rows = sorted((r for r in rows if r["at"]), key=lambda r: (r.domain, r["at"]))
     if not rows:
         return None
@@ -91,32 +143,46 @@ def fit_domains(docs: DataFrame, labels: DataFrame, per_domain: int = PER_DOMAIN
     return sparse_model.fit(vectors, [r.domain for r in rows], FEATURES, epochs=10, alpha=1.0, l1=3.0, l2=0.02)
 
 
-def _posterior(model: sparse_model.Model | None, text: str | None, anchor: str) -> list[float]:
+def _scores(model: sparse_model.Model | None, texts: pa.Array, anchor: str) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and posterior over DOMAINS of each text."""
+    tokens, ends, found = features(texts)
+    p = np.zeros((len(texts), len(DOMAINS)))
     if model is None:
-        return [float(d == anchor) for d in DOMAINS]
-    at = features(text)
-    p = dict(zip(model.classes, model.posterior(at, np.ones(len(at))).tolist()))
-    return [p.get(d, 0.0) for d in DOMAINS]
-
-
-def posteriors(docs: DataFrame, model: Shared, anchor: str) -> DataFrame:
-    """Per row: doc_id, a hash of the text, tokens (words) and the posterior over DOMAINS."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
+        p[:, DOMAINS.index(anchor)] = 1.0
+        return tokens, p
+    sums = np.zeros((len(texts), len(model.classes)))
+    starts = np.concatenate([[0], ends[:-1]])
+    some = np.flatnonzero(ends > starts)
+    if len(some):
+        sums[some] = np.add.reduceat(model.weights[found].astype(float), starts[some])
+    made = sparse_model.softmax((sums + model.bias) / model.temperature)
+    for k, d in enumerate(model.classes):
+        p[:, DOMAINS.index(d)] = made[:, k]
+    return tokens, p
+
+
+def _scored(rows: DataFrame, model: Shared, anchor: str) -> DataFrame:
+    """The rows with tokens (words) and the posterior ``p`` over DOMAINS of their text, a column or in the struct ``row``."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = model.value
         for batch in batches:
-            made = [_posterior(fitted, t.as_py(), anchor) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(made, pa.list_(pa.float64()))],
-                ["doc_id", "text_key", "tokens", "p"])
+            whole = batch.column("text") if "text" in batch.schema.names else batch.column("row").field("text")
+            for start, texts in pretokens.slices(whole):
+                tokens, p = _scores(fitted, texts, anchor)
+                ends = pa.array(np.arange(len(texts) + 1) * len(DOMAINS), pa.int32())
+                made = [pa.array(tokens, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(p.ravel(), pa.float64()))]
+                part = batch.slice(start, len(texts)).select(kept)
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*kept, "tokens", "p"])
 
-    rows = columns(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_key"), _tokens(F.col("text")).alias("tokens"), "text")
-    return rows.mapInArrow(score, f"doc_id {kind}, text_key bigint, tokens bigint, p array<double>")
+    kept = [n for n in rows.columns if n != "text"]
+    schema = [*(rows.schema[n] for n in kept), T.StructField("tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))]
+    return rows.mapInArrow(score, T.StructType(schema))
 
 
-def _tokens(text: Column) -> Column:
-    return F.size(F.filter(pieces(empty_as(text)), lambda w: w != "")).cast("long")
+def posteriors(docs: DataFrame, model: Shared, anchor: str) -> DataFrame:
+    """Per row: doc_id, a hash of the text, tokens (words) and the posterior over DOMAINS."""
+    keyed = columns(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return _scored(keyed, model, anchor)
 
 
 def rate(p: Column, misses: list[list[float]], most: float, start: Column | None = None) -> Column:
@@ -177,19 +243,16 @@ def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], anchor:
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], anchor: str = "clean", reach: float = 1.1,
           most: float = 1.0) -> DataFrame:
-    """The documents, each as often as its rate says, with all their columns; no shuffle of texts."""
-    model = Shared(docs.sparkSession, fit_domains(docs, labels))
-    misses = fit_rates(reliable(posteriors(docs, model, anchor)), weights, anchor, reach, most)
-    packed = docs.select(F.struct("*").alias("row"))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = model.value
-        for batch in batches:
-            texts = batch.column(0).field("text")
-            made = [_posterior(fitted, t.as_py(), anchor) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64()))], ["row", "p"])
+    """The documents, each as often as its rate says, with all their columns; no shuffle of texts.
 
-    scored = packed.mapInArrow(score, T.StructType([packed.schema["row"], T.StructField("p", T.ArrayType(T.DoubleType()))]))
-    copies = _copies(rate(F.col("p"), misses, most), F.col("row.doc_id"), F.xxhash64("row.text"))
+    Texts are scored once: the rows are written with their posteriors to the shared folder, the fit
+    reads the posteriors of that table alone and the result its rows.
+    """
+    spark = docs.sparkSession
+    model = Shared(spark, fit_domains(docs, labels))
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/mixed-{uuid.uuid4().hex}"
+    _scored(docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("text_key")), model, anchor).write.parquet(folder)
+    scored = spark.read.parquet(folder)
+    copies = _copies(rate(F.col("p"), fit_rates(scored, weights, anchor, reach, most), most), F.col("row.doc_id"), F.col("text_key"))
     times = scored.select("row", copies.alias("copies")).filter("copies > 0")
     return times.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

@@ -5,11 +5,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lodestrata.llm import language_id, mixing, pretokens, queries, sparse_model, token_counts, token_files
+from lodestrata.llm import language_id, mixing, pretokens, queries, samples, sparse_model, token_counts, token_files
 from lodestrata.session import checkpoint_dir
 
 EDGE = [
@@ -183,6 +185,47 @@ def test_sample_counts_documents_not_labels(spark, monkeypatch):
     assert abs(seen.count("clean") - 200) < 45 and abs(seen.count("low") - 200) < 45
 
 
+def plain_features(text):
+    """What the vectorised features of a text are, one part after another."""
+    parts, found = regex.findall(r"[\p{L}\p{N}]+|_+|[^\p{L}\p{N}_\s]+", text or ""), set()
+    if not parts:
+        return 0, []
+    kinds, n = {p.lower() for p in parts}, len(parts)
+    lines = text.split("\n")
+    shares = {"capitals": sum(len(p) for p in parts if p.isupper() and len(p) > 1) / sum(map(len, parts)),
+              "symbols": sum(not p[0].isalnum() for p in parts) / n, "different": len(kinds) / n, "lines": len(set(lines)) / len(lines)}
+    names = [*kinds, *(k[:5] + "\x00" for k in kinds if len(k) >= 5), *(f"{k}\x00{int(np.searchsorted(mixing._STEPS, v, 'right'))}" for k, v in shares.items())]
+    return len(regex.findall(r"[^\x20\x09-\x0D]+", text)), sorted({zlib.crc32(name.encode()) % mixing.FEATURES for name in names})
+
+
+def test_features_of_texts():
+    texts = [r.text for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").select(["text"]).to_pandas().itertuples()]
+    texts += [None, "", " \n ", "ÄÖ ßx, a_b__c x--y\u00a0zz 12ab3! ABC\nABC\nABC", "one " * 200_000 + "TWO,three", "x" * 300_000, "a\n\nb\n"]
+    tokens, ends, found = mixing.features(pa.array(texts, pa.string()))
+    starts = [0, *ends[:-1]]
+    for k, text in enumerate(texts):
+        n, want = plain_features(text)
+        assert (tokens[k], found[starts[k]:ends[k]].tolist()) == (n, want), text and text[:80]
+    model = sparse_model.Model(["clean", "toxic"], np.random.default_rng(0).normal(size=(mixing.FEATURES, 2)).astype(np.float32), np.array([0.3, -0.2]), 1.7)
+    _, p = mixing._scores(model, pa.array(texts, pa.string()), "clean")
+    for k in range(len(texts)):
+        at = found[starts[k]:ends[k]]
+        assert np.allclose(p[k, [0, 2]], model.posterior(at, np.ones(len(at))), atol=1e-5) and p[k, 1] == 0
+
+
+def test_samples_are_bounded(spark):
+    """A doc_id or a document that a third of the rows repeat neither swells nor empties the sample."""
+    docs = spark.range(9000).selectExpr("IF(id % 3 = 0, 7, id) AS doc_id", "IF(id % 2 = 0, 'same text', concat('text ', id)) AS text")
+    kinds = docs.selectExpr("doc_id", "xxhash64(text) AS text_key", "IF(doc_id = 7, 'a', 'b') AS kind")
+    sample, sizes = samples.labelled_texts(docs, kinds, 300)
+    rows = sample.collect()
+    assert sizes == {"a": 1501, "b": 6000}
+    for kind in "ab":
+        assert abs(sum(r.kind == kind for r in rows) - 300) < 90
+    assert len(rows) <= 1200 and sum(r.text == "same text" and r.kind == "a" for r in rows) <= 1
+    assert samples.labelled_texts(docs, kinds.limit(0), 300)[0].count() == 0
+
+
 def test_mixing_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "some words"), (3, "some words"), (None, "x")], "doc_id bigint, text string")
     none = spark.createDataFrame([(1, None, None), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
