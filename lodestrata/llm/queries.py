@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestrata.llm import (
-    decontaminate, html_text, language_id, line_dedup, mixing, pii, pretokens, quality_rules, simhash, token_counts, token_files,
+    alignment, decontaminate, html_text, language_id, line_dedup, mixing, pii, pretokens, quality_rules, simhash, token_counts, token_files,
+    toxicity, whitening,
 )
 from lodestrata.session import apply_conf, checkpoint_dir
 
@@ -146,3 +148,20 @@ REACH = 0.8
 @query("op10_domain_mixing")
 def op10(read):
     return mixing.rates(read("documents"), read("labels"), MIX, reach=REACH)
+
+
+@query("op11_embedding_whitening")
+def op11(read):
+    return whitening.whiten(read("embeddings"))
+
+
+@query("op12_token_alignment")
+def op12(read):
+    return alignment.alignments(read("documents"), pretokens.tokenizer_path("byte_bpe_50k.json"), pretokens.tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op13_toxicity")
+def op13(read):
+    scored = toxicity.score(read("documents"), read("labels"))
+    spans = F.array_join(F.transform("offending", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return scored.select("doc_id", "held_out", "score", "predicted", spans.alias("offending"))
