@@ -22,9 +22,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ from lodestrata.llm.components import reliable
 
 # Pairs whose counts every task holds: at most 9 MB.
 COMMON = 1 << 19
-_SLICE, _HELD = 8 << 20, 1 << 20
+_SLICE, _HELD, _CALL = 3 << 20, 1 << 19, 8192
 # White space of any kind; a cut stands before a space or line end after anything else.
 _SPACES = r"\s\x0b\x1c-\x1f\x85\pZ"
 _SHIFT = 20
@@ -101,6 +103,8 @@ class Vocabularies:
     """Both tokenizers with the bytes of each token."""
 
     def __init__(self, a_path: str, b_path: str):
+        # Tasks are the unit of parallel work; threads of the library's own only take turns on their cores.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
@@ -119,6 +123,9 @@ class Vocabularies:
         plain = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size()) if not self.b.is_byte(k)]
         self.cuts = not any(map(over.search, plain)) and self.b_bytes[self.space] == b" " and _splits_like_bytes(a_path)
 
+    def encode_a(self, pieces: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
+
     def encode_b(self, pieces: list[str]) -> list[list[int]]:
         """Tokens of each piece as it stands within a text that begins with a space."""
         made = self.b.encode([p[1:] if p[0] == " " else p for p in pieces], num_threads=1)
@@ -174,9 +181,14 @@ def _pieces(texts: pa.Array, cuts: bool) -> tuple[np.ndarray, np.ndarray, pa.Arr
     return coded.indices.to_numpy(), ends - ends[0], coded.dictionary
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((x for ids in lists for x in ids), np.int64, int(sizes.sum())), sizes
+def _encoded(pieces: list[str], encode) -> tuple[list[int], np.ndarray]:
+    """All ids end to end and the number of each piece; some pieces a call, as the libraries' results are large."""
+    ids, sizes = [], []
+    for k in range(0, len(pieces), _CALL):
+        made = encode(pieces[k:k + _CALL])
+        sizes += map(len, made)
+        ids += chain.from_iterable(made)
+    return ids, np.array(sizes, np.int64)
 
 
 def _sum_by(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -194,13 +206,14 @@ def align(texts: pa.Array, voc: Vocabularies) -> Aligned:
     numbers, ends, names = _pieces(texts, voc.cuts)
     known = names.to_pylist()
     filled = [p or " " for p in known]
-    a_ids, a_count = _flat([x.ids for x in voc.a.encode_batch_fast(filled, add_special_tokens=False)])
-    b_ids, b_count = _flat(voc.encode_b(filled))
+    a_list, a_count = _encoded(filled, voc.encode_a)
+    b_list, b_count = _encoded(filled, voc.encode_b)
+    a_ids, b_ids = np.array(a_list, np.int64), np.array(b_list, np.int64)
     size = pc.binary_length(pa.array(filled, pa.string())).to_numpy().astype(np.int64)
     a_size, b_size = voc.a_sizes[a_ids], voc.b_sizes[b_ids]
     whole = "".join(filled).encode()
     good = (_sum_by(a_size, a_count) == size) & (_sum_by(b_size, b_count) == size)
-    if not good.all() or b"".join(map(voc.a_bytes.__getitem__, a_ids)) != whole or b"".join(map(voc.b_bytes.__getitem__, b_ids)) != whole:
+    if not good.all() or b"".join(map(voc.a_bytes.__getitem__, a_list)) != whole or b"".join(map(voc.b_bytes.__getitem__, b_list)) != whole:
         good &= _given_back(filled, a_ids, a_count, voc.a_bytes) & _given_back(filled, b_ids, b_count, voc.b_bytes)
         keep_a, keep_b = np.repeat(good, a_count), np.repeat(good, b_count)
         a_ids, a_size, b_ids, b_size = a_ids[keep_a], a_size[keep_a], b_ids[keep_b], b_size[keep_b]
