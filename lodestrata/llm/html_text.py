@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -60,18 +61,27 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 OUTRIGHT, PARTLY, FORM = 0.1, 0.5, 1.0
 _TOKEN = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+# A class or id word that is of readers' comments: it begins so, as "has-comments" or "no-comments" do not.
+_THREAD = re.compile(r"(?:^|\s)(?:comment|disqus|replies|respond)")
 
 
 class _Tree(HTMLParser):
-    """Nodes in page order as parallel lists; text chunks with their node and block number."""
+    """Nodes in page order as parallel lists; text chunks with their node and block number.
+
+    Open elements are found by tag and never searched for, so broken and deep pages take linear time.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.cut = ["#page"], [-1], [False]
-        # Whether a name, role or form calls a node boilerplate, and how far it is trusted then.
-        self.named, self.trust = [False], [1.0]
+        # Whether a name, role or form calls a node boilerplate, how far it is trusted then, and whether its name is of readers' comments.
+        self.named, self.trust, self.thread = [False], [1.0], [False]
         self.chunks: list[tuple[int, int, str]] = []
         self.open, self.block = [0], 0
+        # Depths of the open elements: of each tag, and of those that are not inline.
+        self.depths: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.endless: set[str] = set()  # comments and sections that have no end from here on
 
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE:
@@ -84,44 +94,83 @@ class _Tree(HTMLParser):
         trust = None if self.cut[node] else self._trust(tag, attrs)
         self.named.append(trust is not None)
         self.trust.append(1.0 if trust is None else trust)
+        self.thread.append(tag not in ("html", "body", "main") and any(
+            key in ("class", "id") and value and _THREAD.search(value.lower()) for key, value in attrs))
         if tag == "br":
             self.chunks.append((node, self.block, " "))
         if tag not in VOID:
+            self.depths.setdefault(tag, []).append(len(self.open))
+            if tag not in INLINE:
+                self.blocks.append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag in ("svg", "math", "path") and self.tags[self.open[-1]] == tag:
-            self.open.pop()
+            self._close_from(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.block += 1
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.tags[self.open[depth]] == tag:
-                del self.open[depth:]
-                return
-            if self.tags[self.open[depth]] in ("table", "article", "main") and tag in INLINE | {"p", "li"}:
-                return
+        depth = self._depth(tag)
+        # An inline element, paragraph or list item does not end outside the table, article or main it is in.
+        if depth and not (tag in INLINE | {"p", "li"} and max(map(self._depth, ("table", "article", "main"))) > depth):
+            self._close_from(depth)
 
     def handle_data(self, data):
         if not self.cut[self.open[-1]]:
             self.chunks.append((self.open[-1], self.block, data))
 
+    def read(self, html):
+        """The whole page. What follows its last ``>`` holds no whole tag, so it is text."""
+        end = html.rfind(">") + 1
+        self.feed(html[:end])
+        self.close()
+        if html[end:] and not self.cdata_elem:
+            self.handle_data(unescape(html[end:]))
+
+    def parse_comment(self, i, report=True):
+        # After a comment without an end no other has one; the parser would look for it each time.
+        if "comment" in self.endless:
+            return -1
+        k = super().parse_comment(i, report)
+        if k < 0:
+            self.endless.add("comment")
+        return k
+
+    def parse_marked_section(self, i, report=1):
+        kind = self.rawdata[i:i + 5]
+        k = -1 if kind in self.endless else super().parse_marked_section(i, report)
+        if k < 0:
+            self.endless.add(kind)
+        return k
+
+    def _depth(self, tag):
+        """Of the innermost open element of that tag; 0 if there is none."""
+        at = self.depths.get(tag)
+        return at[-1] if at else 0
+
+    def _close_from(self, depth):
+        for node in reversed(self.open[depth:]):
+            self.depths[self.tags[node]].pop()
+            if self.tags[node] not in INLINE:
+                self.blocks.pop()
+        del self.open[depth:]
+
     def _close_before(self, tag):
-        names, limits = CLOSES.get(tag, ({"p"}, {"table", "article", "main", "section", "button", "object"}))
-        if tag == "body" or (self.tags[self.open[-1]] == "head" and tag not in IN_HEAD):
-            names, limits = {"head"}, set()
-        for depth in range(len(self.open) - 1, 0, -1):
-            here = self.tags[self.open[depth]]
-            if here in names:
-                del self.open[depth:]
-                return
-            if here in limits or (here not in INLINE and here not in names and tag not in CLOSES):
-                return
+        if self.tags[self.open[-1]] == "head" and (tag == "body" or tag not in IN_HEAD):
+            self._close_from(len(self.open) - 1)
+        elif tag in CLOSES:
+            names, limits = CLOSES[tag]
+            depth = max(map(self._depth, names))
+            if depth > max(map(self._depth, limits)):
+                self._close_from(depth)
+        # Any other block ends a paragraph that only inline elements are open in.
+        elif self.blocks and self.tags[self.open[self.blocks[-1]]] == ("head" if tag == "body" else "p"):
+            self._close_from(self.blocks[-1])
 
     def _in_article(self):
-        return any(self.tags[n] in ("article", "main") for n in self.open)
+        return self._depth("article") > 0 or self._depth("main") > 0
 
     def _is_cut(self, tag, attrs):
         """Parts that no content is in: by tag, or not shown."""
@@ -163,11 +212,28 @@ def _under(tree: _Tree, roots) -> list[bool]:
     return held
 
 
+def _apart(tree: _Tree) -> bool:
+    """Whether an article or main element has text outside all that is named as readers' comments."""
+    size = len(tree.tags)
+    inside, held = list(tree.thread), [0] * size
+    for n in range(1, size):
+        inside[n] |= inside[tree.parents[n]]
+    for node, _, text in tree.chunks:
+        if not inside[node]:
+            held[node] += len(text.strip())
+    for n in range(size - 1, 0, -1):
+        if held[n] and tree.tags[n] in ("article", "main"):
+            return True
+        held[tree.parents[n]] += held[n]
+    return False
+
+
 def _weigh(tree: _Tree, names_cut: bool) -> tuple[list[bool], list[float]]:
     """Which nodes are cut, and the weight of each: that of the least trusted name around it.
 
     A name or form cuts a subtree, but not one that holds an article, a main element or most of the
-    page's text; such a subtree is only weighed down.
+    page's text; such a subtree is only weighed down. Readers' comments are cut whatever they hold, be
+    it a thread of articles, if an article or main element has text outside of them.
     """
     size = len(tree.tags)
     held, marked = [0] * size, [False] * size
@@ -178,8 +244,10 @@ def _weigh(tree: _Tree, names_cut: bool) -> tuple[list[bool], list[float]]:
         held[p] += held[n]
         marked[p] |= marked[n] or (held[n] > 0 and tree.tags[n] in ("article", "main"))
     cut, weight = list(tree.cut), list(tree.trust)
+    threads = names_cut and _apart(tree)
     for n in range(1, size):
         p = tree.parents[n]
+        cut[n] = cut[n] or (threads and tree.thread[n])
         named = tree.named[n] and names_cut and not marked[n] and 2 * held[n] <= held[0]
         cut[n] = cut[n] or cut[p] or named
         weight[n] = min(weight[n], weight[p])
@@ -269,8 +337,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     tree = _Tree()
-    tree.feed(html)
-    tree.close()
+    tree.read(html)
     return _text(tree, _content(tree, True)) or _text(tree, _content(tree, False))
 
 
