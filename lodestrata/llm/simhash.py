@@ -27,6 +27,7 @@ from lodestrata.llm.components import components, reliable
 
 SHINGLE = 3
 MAX_BITS = 3
+HOT_SHARE = 1000
 _CHUNK = 1 << 16
 _ODD_BITS = 0x55555555
 
@@ -111,26 +112,37 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def _classes(docs: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
-    """Fingerprints per row, and per distinct fingerprint its class root."""
+    """Fingerprints per row; per distinct fingerprint its class root, its rows and its first row by (doc_id, text hash).
+
+    Rows meet their fingerprint in this aggregate only, which merges map-side; all else is done on distinct fingerprints.
+    """
     fps = reliable(fingerprints(docs))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = reliable(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_key")).alias("best")))
     joined = components(links(nodes.select("fp"), max_bits))
-    roots = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    roots = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "n", "first", "best", F.coalesce("root", "fp").alias("root"))
     return fps, roots
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Per row: doc_id, fingerprint in hex and component_id, the smallest doc_id of its class."""
+    """Per row: doc_id, fingerprint in hex and component_id, the smallest doc_id of its class.
+
+    Fingerprints with at least one in HOT_SHARE of all rows number HOT_SHARE at most; their rows
+    take the class from a table in every task, so that no key gathers its rows in one task.
+    """
     fps, roots = _classes(docs, max_bits)
-    named = roots.join(roots.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = reliable(roots.join(roots.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "n", "component_id"))
+    total = named.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first().total
+    hot = F.col("n") * HOT_SHARE >= F.lit(max(total, 2 * HOT_SHARE))
+    often = F.broadcast(named.filter(hot).select("fp", "component_id"))
+    rare = named.filter(~hot).select("fp", "component_id")
+    rows = fps.join(often, "fp").unionByName(fps.join(often.select("fp"), "fp", "left_anti").join(rare, "fp"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of each class, that of the smallest doc_id (then text hash), with all its columns."""
-    fps, roots = _classes(docs, max_bits)
-    best = fps.join(roots, "fp").groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
+    _, roots = _classes(docs, max_bits)
+    best = roots.groupBy("root").agg(F.min("best").alias("best"))
     chosen = best.select(F.col("best.doc_id").alias("k1"), F.col("best.text_key").alias("k2")).distinct()
     packed = docs.select(F.struct("*").alias("row"), F.col("`doc_id`").alias("k1"), F.xxhash64("`text`").alias("k2"))
     kept = packed.alias("d").join(chosen.alias("c"), F.col("d.k1").eqNullSafe(F.col("c.k1")) & (F.col("d.k2") == F.col("c.k2")), "left_semi")
