@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import types as T
 
 from lodestrata.functions.blocks import match, running, step_block
 from lodestrata.functions.text import word_tokens
+from lodestrata.session import checkpoint_dir
 
 # Fixed values.
 MAX_LENGTH = 2048
@@ -181,7 +181,7 @@ def early_stopping_state(evals: DataFrame, state: DataFrame | None, patience: in
     improvement, so records are found first, in parallel over step ranges (blocks) of each
     run. With threshold 0 every record is an improvement, and the first gap between records
     that is too long decides; blocks are summed up before runs are. With a threshold the
-    records are folded per run as a sorted stream that holds one run's state at a time.
+    records point at the next one that is low enough, and pointers are doubled over blocks.
 
     A run of an earlier batch enters as a baseline row numbered by its misses so far;
     steps of a batch must lie behind those of earlier ones.
@@ -223,7 +223,7 @@ def early_stopping_state(evals: DataFrame, state: DataFrame | None, patience: in
     if threshold == 0.0:
         found = _first_long_gap(records, keys, inside, patience)
     else:
-        found = _fold_records(records, keys, patience, threshold)
+        found = _linked_records(records, keys, patience, threshold)
 
     # the step of evaluation number _stop_n: only its block is read again
     at = (F.col("_stop_n") > F.col("_before")) & (F.col("_stop_n") <= F.col("_before") + F.col("_c"))
@@ -270,41 +270,92 @@ def _first_long_gap(records: DataFrame, keys: list[str], inside, patience: int)
         best["_m"].alias("_b"), best["_n"].alias("_last_n"))
 
 
-def _fold_records(records: DataFrame, keys: list[str], patience: int, threshold: float) -> DataFrame:
-    names = [*keys, "evaluations", "last_step", "_stop_n", "_b", "_last_n"]
-    fields = {f.name: f for f in records.schema.fields}
-    out = T.StructType([fields[k] for k in keys] + [
-        T.StructField("evaluations", T.LongType()), T.StructField("last_step", T.LongType()),
-        T.StructField("_stop_n", T.LongType()), T.StructField("_b", T.DoubleType()),
-        T.StructField("_last_n", T.LongType())])
-
-    def finish(key, s):
-        stop = s["stop"]
-        if stop is None and s["total"] - s["at"] >= patience:
-            stop = s["at"] + patience
-        return (*key, s["total"], s["end"], stop, s["best"], s["at"])
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, s = None, None
-        for batch in batches:
-            done = []
-            columns = [batch[k].tolist() for k in (*keys, "_n", "_m", "evaluations", "last_step")]
-            for *key, n, value, total, end in zip(*columns):
-                if key != current:
-                    if current is not None:
-                        done.append(finish(current, s))
-                    current, s = key, {"best": value, "at": n, "stop": None, "total": total, "end": end}
-                elif s["stop"] is None and value < s["best"] - threshold:
-                    if n - s["at"] > patience:
-                        s["stop"] = s["at"] + patience
-                    else:
-                        s["best"], s["at"] = value, n
-            yield pd.DataFrame(done, columns=names).astype({"_stop_n": "Int64"})
-        if current is not None:
-            yield pd.DataFrame([finish(current, s)], columns=names).astype({"_stop_n": "Int64"})
-
-    ordered = records.select(*keys, "_n", "_m", "evaluations", "last_step").repartition(*keys).sortWithinPartitions(*keys, "_n")
-    return ordered.mapInPandas(fold, out)
+def _linked_records(records: DataFrame, keys: list[str], patience: int, threshold: float) -> DataFrame:
+    """Per run the record at which its improvements end, by pointer doubling.
+
+    Every record points to the next one that is lower by more than the threshold; a record ends the
+    run if there is none or it is more than ``patience`` evaluations away. Records fall along a
+    run, so the records of a block point into a staircase of later blocks: the pairs of blocks that
+    meet are at most twice the blocks. Paths are then shortened within each block, and the records
+    at which paths enter a block are joined with themselves until the first record of each run points
+    at its end, in as many rounds as the logarithm of the blocks. No task holds a run.
+    """
+    block = [*keys, "_block"]
+    rows = records.select(*block, "_n", "_m", "evaluations", "last_step")
+    checkpoint_dir(rows.sparkSession)
+    rows = rows.checkpoint()
+    run = Window.partitionBy(*keys)
+    blocks = rows.groupBy(*block).agg(F.min("_m").alias("_low"), F.max("_m").alias("_high")).withColumns({
+        "_k": F.row_number().over(run.orderBy("_block")), "_above": F.lag("_low").over(run.orderBy("_block")),
+        "_last_k": F.count("*").over(run)})
+
+    # which blocks the first and the last record of each block point into: the highest block low under their aim
+    lows = blocks.select(*keys, F.col("_low").alias("_v"), F.lit(1).alias("_kind"), F.col("_k").alias("_at"), F.lit(None).cast("long").alias("_of"))
+    aims = [blocks.select(*keys, (F.col(c) - threshold).alias("_v"), F.lit(0).alias("_kind"), F.lit(None).cast("int").alias("_at"),
+                          F.col("_block").alias("_of")) for c in ("_high", "_low")]
+    below = run.orderBy("_v", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = lows.unionByName(aims[0]).unionByName(aims[1]).withColumn("_to", F.last("_at", True).over(below))
+    reach = met.filter("_kind = 0").groupBy(*keys, F.col("_of").alias("_block")).agg(
+        F.min("_to").alias("_first"), F.max("_to").alias("_most"), F.count("_to").alias("_found"))
+    ranged = match(reach.filter("_found > 0"), blocks.select(*block, "_last_k"), block)
+    pairs = ranged.select(*block, F.explode(F.sequence("_first", F.when(F.col("_found") == 2, F.col("_most")).otherwise(F.col("_last_k")))).alias("_k"))
+    named = blocks.select(*keys, "_k", F.col("_block").alias("_target"), F.col("_low"), F.col("_above"))
+    pairs = match(pairs, named, [*keys, "_k"]).drop("_k").checkpoint()
+
+    aim = F.col("_m") - threshold
+    asking = match(rows.select(*block, "_n", "_m"), pairs, block).filter(
+        (aim > F.col("_low")) & (F.col("_above").isNull() | (aim <= F.col("_above")))).select(
+        *block, "_target", aim.alias("_v"), F.lit(0).alias("_kind"), "_n", F.lit(None).cast("long").alias("_hit"))
+    told = match(rows.select(*keys, F.col("_block").alias("_target"), "_n", "_m"), pairs.select(*block, "_target"), [*keys, "_target"]).select(
+        *block, "_target", F.col("_m").alias("_v"), F.lit(1).alias("_kind"), "_n", F.col("_n").alias("_hit"))
+    under = Window.partitionBy(*block, "_target").orderBy("_v", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    next_of = asking.unionByName(told).withColumn("_next", F.last("_hit", True).over(under)).filter("_kind = 0").select(
+        *block, "_n", "_next", "_target")
+    linked = match(rows.select(*block, "_n"), next_of, [*block, "_n"], "left")
+
+    paths = linked.groupBy(*block).applyInPandas(
+        lambda part: _shortened(part, patience),
+        T.StructType([*(linked.schema[c] for c in [*block, "_n"]), T.StructField("_to", T.LongType()), T.StructField("_to_block", T.LongType())])).checkpoint()
+    starts = rows.groupBy(*keys).agg(F.min(F.struct("_n", "_block")).alias("_s")).select(*keys, F.col("_s._block").alias("_block"), F.col("_s._n").alias("_n"))
+    at_start = match(paths, starts, [*block, "_n"])
+    if at_start.filter("_to_block IS NOT NULL").isEmpty():
+        ends = at_start
+    else:
+        entries = paths.filter("_to_block IS NOT NULL").select(*keys, F.col("_to_block").alias("_block"), F.col("_to").alias("_n")).unionByName(
+            starts.select(*block, "_n")).distinct()
+        jumps = match(paths, entries, [*block, "_n"]).checkpoint()
+        while not match(jumps, starts, [*block, "_n"]).filter("_to_block IS NOT NULL").isEmpty():
+            further = jumps.select(*keys, F.col("_block").alias("_to_block"), F.col("_n").alias("_to"), F.col("_to").alias("_then"), F.col("_to_block").alias("_then_block"))
+            moving = match(jumps.filter("_to_block IS NOT NULL"), further, [*keys, "_to_block", "_to"]).select(
+                *block, "_n", F.col("_then").alias("_to"), F.col("_then_block").alias("_to_block"))
+            jumps = moving.unionByName(jumps.filter("_to_block IS NULL")).checkpoint()
+        ends = match(jumps, starts, [*block, "_n"])
+    last = match(rows, ends.select(*keys, F.col("_to").alias("_n")), [*keys, "_n"])
+    # one row per run: what stopped it is the next improvement too far away, or too many misses at its end
+    stop = match(last, linked.select(*block, "_n", "_next"), [*block, "_n"], "left")
+    far = F.coalesce(F.col("_next") - F.col("_n") > patience, F.col("evaluations") - F.col("_n") >= patience)
+    return stop.select(*keys, "evaluations", "last_step", F.when(far, F.col("_n") + patience).alias("_stop_n"), F.col("_m").alias("_b"), F.col("_n").alias("_last_n"))
+
+
+def _shortened(part: pd.DataFrame, patience: int) -> pd.DataFrame:
+    """Each record of a block with the end of its path in the block, or the record of another block that it leaves for."""
+    part = part.sort_values("_n", ignore_index=True)
+    n, block = part["_n"].to_numpy(np.int64), int(part["_block"].iloc[0])
+    following, target = part["_next"].fillna(-1).to_numpy(np.int64), part["_target"].fillna(-1).to_numpy(np.int64)
+    goes = part["_next"].notna().to_numpy() & (following - n <= patience)
+    inside = goes & (target == block)
+    to = np.where(inside, np.searchsorted(n, np.where(inside, following, n[0])), np.arange(len(n)))
+    while True:
+        further = to[to]
+        if (further == to).all():
+            break
+        to = further
+    leaves = goes[to]
+    made = part.drop(columns=["_next", "_target"])
+    made["_to"] = np.where(leaves, following[to], n[to])
+    made["_to_block"] = pd.array(np.where(leaves, target[to], 0), dtype="Int64")
+    made.loc[~leaves, "_to_block"] = pd.NA
+    return made
 
 
 # -- trials --------------------------------------------------------------------------

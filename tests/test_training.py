@@ -72,6 +72,34 @@ def test_early_stopping(spark, patience, threshold, greater):
         assert got[k]["stopped"] == (stop is not None) and got[k]["evaluations"] == len(rows)
 
 
+def test_threshold_paths_over_many_blocks(spark):
+    """Runs that improve at every step, at the last moment, in one plunge, and not enough; many blocks and few."""
+    draw = random.Random(5)
+    runs = {
+        "every": [(i, 1000.0 - i) for i in range(700)], "slow": [(i, 100 - i * 0.01) for i in range(600)],
+        "plunge": [(i, 50 - i * 0.001 - (40 if i > 400 else 0)) for i in range(500)], "flat": [(i, 1.0) for i in range(300)],
+        "edge": [(i, 10.0 - (i // 7) * 0.5) for i in range(300)], None: [(i, 5.0 - i * 0.3) for i in range(90)], "one": [(3, 1.0)],
+    }
+    for n in range(6):
+        level, runs[f"r{n}"] = 90.0, []
+        for i in range(draw.randint(50, 400)):
+            level -= draw.choice([0, 0, 0.02, 0.3])
+            runs[f"r{n}"].append((i * 2, round(level + draw.choice([0, 0, 1, 3]), 2)))
+    df = spark.createDataFrame([(k, s, v) for k, rows in runs.items() for s, v in rows], "run_id string, step long, metric double")
+    for patience, threshold, width in ((7, 0.5, 16), (40, 0.25, 16), (30, 2.0, 50), (1000, 0.1, 1000)):
+        got = {r["run_id"]: r for r in training.early_stopping(df, patience, threshold, block_width=width).collect()}
+        assert got.keys() == runs.keys()
+        for k, rows in runs.items():
+            stop, best = brute_stop(rows, patience, threshold, False)
+            assert (got[k]["stop_step"], got[k]["best"]) == (stop, pytest.approx(best)), (k, patience)
+
+
+def test_a_run_that_improves_at_every_step(spark):
+    rows = spark.range(0, 40_000, numPartitions=4).selectExpr("'a' AS run_id", "id AS step", "CAST(-id AS double) AS metric")
+    made = training.early_stopping(rows, 5, 0.5, block_width=1000).collect()
+    assert [(r["evaluations"], r["best"], r["stop_step"]) for r in made] == [(40_000, -39_999.0, None)]
+
+
 def test_early_stopping_in_batches_equals_one_batch(spark):
     draw = random.Random(1)
     rows = [(f"r{i % 5}" if i % 5 else None, i, round(50 - i * 0.05 + draw.choice([0, 1, 3, -2]), 2)) for i in range(300)]
