@@ -13,7 +13,7 @@ from lodestrata.plans.catalog import Tables, query
 from lodestrata.plans.corpus import FIXED_CHUNKS_SQL, OVERLAP, SIZE
 from lodestrata.plans.fleet import BOUNDS_SQL, HOUR, LE_SQL, REQ, shown_bound, start_sql
 from lodestrata.streaming import rates, tables
-from lodestrata.streaming.alerts import stream_alerts
+from lodestrata.streaming.alerts import silence_rules, stream_alerts, stream_silence
 from lodestrata.streaming.run import new_folder, run_available
 
 
@@ -83,12 +83,43 @@ def streamed_alerts(t):
     return made.filter("event = 'firing'").select("rule", "series", "event", "started_at", F.col("at").alias("fired_at"))
 
 
+@query("stream_silence", """
+WITH fleet AS (SELECT 'model-' || (user_id % 5) AS series, epoch_us(ts) // 20000000 AS at, value, event_type FROM events),
+-- one sample a second at most: the last row of a second stands for it
+saves AS (SELECT DISTINCT series, at, 0 AS value FROM fleet WHERE value > 150),
+jobs AS (SELECT series, at, max((event_type <> 'error')::INT) AS value FROM fleet WHERE value > 40 GROUP BY ALL),
+moved AS (SELECT series, at, value FROM (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY at) AS before FROM jobs) WHERE before IS NULL OR before <> value),
+samples AS (SELECT 'CheckpointMissing' AS rule, 3600 AS quiet, 600 AS hold, series, at, true AS watched FROM saves
+            UNION ALL SELECT 'TrainingJobStuck', 3600, 7200, series, at, value = 1 FROM moved),
+now AS (SELECT max(at) AS at FROM (SELECT at FROM saves UNION ALL SELECT at FROM jobs)),
+gaps AS (SELECT s.*, coalesce(lead(s.at) OVER (PARTITION BY rule, series ORDER BY s.at), now.at) AS until,
+                lead(s.at) OVER (PARTITION BY rule, series ORDER BY s.at) AS next FROM samples s, now),
+fired AS (SELECT * FROM gaps WHERE watched AND until > at + quiet + hold)
+SELECT rule, series, 'firing' AS event, at + quiet AS started_at, at + quiet + hold AS fired_at FROM fired
+UNION ALL SELECT rule, series, 'resolved', at + quiet, next FROM fired WHERE next IS NOT NULL""")
+def streamed_silence(t):
+    """Checkpoints that stay out and jobs that stay as they are fire by timers, without a row."""
+    fleet = StreamedTables(t.spark, t.folder).events.select(
+        F.concat(F.lit("model-"), (F.col("user_id") % 5).cast("string")).alias("series"),
+        F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 20_000_000).cast("long").alias("at"), "value", "event_type")
+    first, second = new_folder(t.spark), new_folder(t.spark)
+    kinds = F.filter(F.array(
+        F.when(F.col("value") > 150, F.struct(F.lit("checkpoint_saved").alias("signal"), F.lit(0.0).alias("value"))),
+        F.when(F.col("value") > 40, F.struct(F.lit("training_job_active").alias("signal"), (F.col("event_type") != "error").cast("double").alias("value")))),
+        lambda x: x.isNotNull())
+    seconds = run_available(fleet.select("series", "at", F.inline(kinds)), first).groupBy("signal", "series", "at").agg(F.max("value").alias("value"))
+    seconds.write.parquet(f"{first}/seconds")
+    samples = t.spark.readStream.schema(seconds.schema).parquet(f"{first}/seconds")
+    made = run_available(stream_silence(samples, silence_rules(alerts.rule_table(t.spark))), second)
+    return made.select("rule", "series", "event", "started_at", F.col("at").alias("fired_at"))
+
+
 @query("stream_early_stopping", stopping_sql("user_id", 20, 0.5))
 def stream_early_stopping(t):
     folder = new_folder(t.spark)
     evals = StreamedTables(t.spark, t.folder).events.select(
         F.col("user_id").alias("run_id"), F.col("event_id").alias("step"), F.col("value").alias("metric"))
-    tables.stream_early_stopping(evals, folder, patience=20, threshold=0.5, block_width=1000).awaitTermination()
+    tables.stream_early_stopping(evals, folder, patience=20, threshold=0.5).awaitTermination()
     return tables.stopping_state(t.spark, folder).select(
         "run_id", "evaluations", rounded("best").alias("best"), "stop_step", "stopped")
 

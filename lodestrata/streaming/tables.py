@@ -1,19 +1,23 @@
 """Streams that keep tables: stopping state per run, and chunks of newly landed documents.
 
-Each micro-batch is an ordinary Spark job over DataFrames, so a key with most of the rows
-is split as in the batch operators. Output is named by batch number and overwritten when a
-batch is repeated after a failure.
+Stopping state is keyed state of the stream; ingestion runs each micro-batch as an ordinary Spark
+job whose output is named by batch number and overwritten when a batch is repeated after a failure.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lodestrata.functions.chunking import explode_chunks
 from lodestrata.functions.text import doc_id, record_id
 from lodestrata.operators.records import drop_empty_documents, one_per_key, skip_existing
-from lodestrata.operators.training import early_stopping_state
+from lodestrata.streaming.alerts import keyed_state
+from lodestrata.streaming.run import append_stream
 
 
 def _last_batch(spark: SparkSession, folder: str, before: int | None = None) -> int:
@@ -33,21 +37,66 @@ def _start(df: DataFrame, folder: str, step, available_now: bool):
     return writer.start()
 
 
-def stream_early_stopping(evals: DataFrame, folder: str, available_now: bool = True, **options):
-    """Keep the stopping state of every run up to date; options as for the batch operator."""
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        last = _last_batch(spark, f"{folder}/state", number)
-        state = None if last < 0 else spark.read.parquet(f"{folder}/state/batch={last}")
-        rows = batch.persist()  # read by several branches of the plan
-        early_stopping_state(rows, state, **options).write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
-        rows.unpersist()
+class StoppingState(StatefulProcessor):
+    """Per run: evaluations, best value, misses since, last step, and the step that stopped it.
 
-    return _start(evals, folder, step, available_now)
+    A micro-batch brings a run no more rows than its trigger admits; they are put in order here.
+    """
+
+    def __init__(self, patience: int, threshold: float, sign: float):
+        self.patience, self.threshold, self.sign = patience, threshold, sign
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.run = handle.getValueState("run", "evaluations long, best double, misses long, last_step long, stop_step long, stopped boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        parts = [part[["step", "metric"]].dropna() for part in rows]
+        batch = pd.concat(parts).sort_values("step")
+        if not len(batch):
+            return
+        n, best, misses, last, stop, stopped = self.run.get() if self.run.exists() else (0, None, 0, None, None, False)
+        for step, value in zip(batch["step"].tolist(), (batch["metric"] * self.sign).tolist()):
+            n, last = n + 1, step
+            if stopped:
+                continue
+            if best is None or value < best - self.threshold:
+                best, misses = value, 0
+            else:
+                misses += 1
+                if misses >= self.patience:
+                    stop, stopped = step, True
+        self.run.update((n, best, misses, last, stop, stopped))
+        made = pd.DataFrame([(*key, n, best * self.sign, misses, last, stop, stopped)], columns=["run_id", *STOPPING])
+        yield made.astype({"stop_step": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+STOPPING = ("evaluations", "best", "misses", "last_step", "stop_step", "stopped")
+
+
+def stream_early_stopping(evals: DataFrame, folder: str, available_now: bool = True, patience: int = 3, threshold: float = 0.0,
+                          greater_is_better: bool = False, partitions: int | None = None):
+    """Keep the stopping state of every run up to date; options as for the batch operator.
+
+    State lives with the stream, keyed by run: a micro-batch reads, writes and appends the states of the
+    runs it has evaluations of and no others. The steps of a run must not arrive in an earlier batch than their predecessors.
+    """
+    keyed_state(evals.sparkSession)
+    kind = evals.schema["run_id"].dataType.simpleString()
+    rows = evals.select("run_id", F.col("step").cast("long").alias("step"), F.col("metric").cast("double").alias("metric"))
+    made = rows.groupBy("run_id").transformWithStateInPandas(
+        statefulProcessor=StoppingState(patience, threshold, -1.0 if greater_is_better else 1.0),
+        outputStructType=f"run_id {kind}, evaluations long, best double, misses long, last_step long, stop_step long, stopped boolean",
+        outputMode="Append", timeMode="None")
+    return append_stream(made, folder, available_now, partitions)
 
 
 def stopping_state(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/state/batch={_last_batch(spark, f'{folder}/state')}")
+    """The newest state of each run: the one that has seen most evaluations."""
+    made = spark.read.parquet(f"{folder}/out")
+    return made.groupBy("run_id").agg(F.max_by(F.struct(*STOPPING), "evaluations").alias("_s")).select("run_id", "_s.*")
 
 
 # Folders of the seen-sources table; a micro-batch reads those of its own sources only.

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions.chunking import fixed_chunks
 from lodestrata.operators import alerts, training
 from lodestrata.streaming import rates, tables
-from lodestrata.streaming.alerts import stream_alerts
+from lodestrata.streaming.alerts import silence_rules, stream_alerts, stream_silence
 from lodestrata.streaming.run import run_available
 
 REQ = "s long, model string, status string, latency double"
@@ -27,13 +27,54 @@ def test_alerts_across_batches(spark, tmp_path):
     schema = "signal string, series string, at long, value double"
     rules = alerts.rule_table(spark, [alerts.Rule("R", "x", ">", 1, 120, "warning", "c")])
     feed = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    rows = [("x", "s", a, float(v)) for a, v in
+    # Times start at 600: a row at the epoch is not after the watermark a stream starts with.
+    rows = [("x", "s", 600 + a, float(v)) for a, v in
             [(0, 2), (60, 2), (120, 2), (180, 0), (240, 2), (300, 2), (420, 2), (480, 3), (540, 3), (600, 3)]]
     for part in (rows[:2], rows[2:5], rows[5:]):
         landing(spark, tmp_path / "in", part, schema)
         out = run_available(stream_alerts(feed(), rules, 60), str(tmp_path / "w"))
     got = sorted((r["at"], r["event"], r["started_at"]) for r in out.collect())
-    assert got == [(120, "firing", 0), (180, "resolved", 0), (540, "firing", 420)]
+    assert got == [(720, "firing", 600), (780, "resolved", 600), (1140, "firing", 1020)]
+
+
+def drained(spark, folder, parts, schema, build):
+    for part in parts:
+        landing(spark, folder / "in", part, schema)
+        out = run_available(build(spark.readStream.schema(schema).parquet(str(folder / "in"))), str(folder / "w"))
+    return sorted((r["rule"], r["series"], r["at"], r["event"], r["started_at"]) for r in out.collect())
+
+
+def test_alerts_of_shuffled_and_late_steps_and_of_a_series_that_stops(spark, tmp_path):
+    schema = "signal string, series string, at long, value double"
+    rules = alerts.rule_table(spark, [alerts.Rule("R", "x", ">", 1, 120, "warning", "c")])
+    row = lambda s, at, v=2.0: ("x", s, 600 + at, v)
+    parts = [
+        [row("s", 120), row("s", 0), row("t", 60), row("t", 0)],  # 60 of s comes a batch later, within the lateness
+        [row("s", 60), row("t", 120), row("t", 180)],
+        [row("u", 1000, 0.0)],  # nothing more of s and t: both resolve by time alone
+        [row("s", 60, 0.0), row("u", 2000, 0.0)],  # far too late, so dropped
+    ]
+    got = drained(spark, tmp_path, parts, schema, lambda feed: stream_alerts(feed, rules, 60, "90 seconds"))
+    assert got == [("R", "s", 720, "firing", 600), ("R", "s", 780, "resolved", 600), ("R", "t", 720, "firing", 600), ("R", "t", 840, "resolved", 600)]
+
+
+def test_rules_on_silence(spark, tmp_path):
+    schema = "signal string, series string, at long, value double"
+    rules = silence_rules(alerts.rule_table(spark))
+    save, job = (lambda s, at: ("checkpoint_saved", s, at, None)), (lambda s, at, v: ("training_job_active", s, at, float(v)))
+    parts = [
+        [save("a", 10), save("b", 10), save("a", 3000), job("j", 100, 1), job("k", 100, 1), job("l", 100, 0)],
+        [job("k", 5000, 0), job("j", 5000, 1), save("b", 4100)],  # b saves again in time, j says the same, k has changed
+        [save("c", 8000)],  # a has been silent for over 4,200 seconds
+        [save("a", 9000), save("c", 9500)],
+        [job("l", 12_000, 0)],  # j is unchanged and active for three hours, l is not active
+        [job("j", 13_000, 0)],
+    ]
+    got = drained(spark, tmp_path, parts, schema, lambda feed: stream_silence(feed, rules))
+    assert [g for g in got if g[0] == "CheckpointMissing"] == [
+        ("CheckpointMissing", "a", 7200, "firing", 6600), ("CheckpointMissing", "a", 9000, "resolved", 6600), ("CheckpointMissing", "b", 8300, "firing", 7700)]
+    assert [g for g in got if g[0] == "TrainingJobStuck"] == [
+        ("TrainingJobStuck", "j", 10_900, "firing", 3700), ("TrainingJobStuck", "j", 13_000, "resolved", 3700)]
 
 
 def test_early_stopping_stream_equals_batch(spark, tmp_path):
@@ -47,6 +88,11 @@ def test_early_stopping_stream_equals_batch(spark, tmp_path):
     want = training.early_stopping(spark.createDataFrame(rows, schema), 9, 0.4)
     shown = lambda d: sorted(map(str, d.select(*fields).collect()))
     assert shown(tables.stopping_state(spark, str(tmp_path / "w"))) == shown(want)
+    # The three drains were restarts of one stream; a batch writes the states of its own runs only.
+    landing(spark, tmp_path / "in", [("r1", 500, 1.0)], schema)
+    before = spark.read.parquet(str(tmp_path / "w/out")).count()
+    tables.stream_early_stopping(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "w"), patience=9, threshold=0.4).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "w/out")).count() == before + 1
 
 
 def test_ingest_skips_known_sources(spark, tmp_path):
