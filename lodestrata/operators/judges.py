@@ -7,7 +7,9 @@ shuffles. Overlap is the share of a sentence's distinct words found in the other
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -149,23 +151,40 @@ def judge(cases: DataFrame, score: Callable[[Iterator[pd.DataFrame]], Iterator[p
     return cases.mapInPandas(score, schemas.SCORE)
 
 
-def toxicity_model(labelled: DataFrame, text: str = "text", label: str = "toxic", features: int = 4096):
+@dataclass(frozen=True)
+class WordModel:
+    """A logistic model of hashed words as plain numbers: a weight per bucket and the intercept."""
+
+    weights: np.ndarray
+    intercept: float
+
+
+def _word_buckets(text: str, features: int) -> Column:
+    return F.array_distinct(F.transform(word_tokens(F.col(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(features)).cast("int")))
+
+
+def toxicity_model(labelled: DataFrame, text: str = "text", label: str = "toxic", features: int = 4096) -> WordModel:
     """Hashed words and logistic regression, fitted on labelled text."""
-    from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF
 
-    rows = labelled.select(word_tokens(F.col(text)).alias("_words"), F.col(label).cast("double").alias("label"))
-    return Pipeline(stages=[
-        HashingTF(numFeatures=features, binary=True, inputCol="_words", outputCol="features"),
-        LogisticRegression(maxIter=20, regParam=0.01),
-    ]).fit(rows)
+    names = F.transform(_word_buckets(text, features), lambda b: b.cast("string"))
+    rows = labelled.filter(F.col(label).isNotNull()).select(names.alias("_buckets"), F.col(label).cast("double").alias("label"))
+    hashing = HashingTF(numFeatures=4 * features, binary=True, inputCol="_buckets", outputCol="features")
+    fitted = LogisticRegression(maxIter=20, regParam=0.01).fit(hashing.transform(rows))
+    # Scores need the numbers alone; the fitted object with its summary stays on the driver.
+    coefficients = fitted.coefficients.toArray()
+    return WordModel(np.array([coefficients[hashing.indexOf(str(b))] for b in range(features)]), float(fitted.intercept))
+
 
+def toxicity_scores(docs: DataFrame, model: WordModel, key: str, text: str = "text") -> DataFrame:
+    weights, intercept = model.weights, model.intercept
 
-def toxicity_scores(docs: DataFrame, model, key: str, text: str = "text") -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
+    @F.pandas_udf("double")
+    def chance(buckets: pd.Series) -> pd.Series:
+        found = [np.asarray(b, dtype=np.int64) if b is not None else np.zeros(0, np.int64) for b in buckets]
+        return pd.Series([1.0 / (1.0 + np.exp(-(weights[b].sum() + intercept))) for b in found], dtype=float)
 
-    scored = model.transform(docs.select(key, word_tokens(F.col(text)).alias("_words")))
-    score = vector_to_array("probability")[1]
-    return scored.select(
-        key, F.lit("toxicity").alias("metric"), score.alias("score"), (score <= CASE_PASS).alias("success"))
+    score = chance(_word_buckets(text, len(weights)))
+    return docs.select(key, score.alias("score")).select(
+        key, F.lit("toxicity").alias("metric"), "score", (F.col("score") <= CASE_PASS).alias("success"))

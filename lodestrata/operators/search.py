@@ -186,27 +186,32 @@ def _has_direction(vector: Column) -> Column:
     return (norm(vector) > 0) & ~F.isnan(norm(vector))
 
 
-def _probes(index: CellIndex, queries: DataFrame, query_key: str, vector: str) -> DataFrame:
-    """(query, cell, distance to the centre, nearness rank of the cell) for every cell."""
-    shared = queries.sparkSession.sparkContext.broadcast(index.centres)
+def _probes(index: CellIndex, asked: DataFrame, nprobe: int, beyond: bool = False) -> DataFrame:
+    """(query, cell) for the ``nprobe`` nearest cells; or, ``beyond`` them, for the cells within the query's ``_reach``.
 
-    def distances(batches):
-        c = shared.value
+    Cells are chosen where distances are made, so no row is written for a cell that is not probed.
+    """
+    furthest = {r["cell"]: r["radius"] for r in index.cells.groupBy("cell").agg(F.max("radius").alias("radius")).collect()}
+    radius = np.array([furthest.get(c, -np.inf) for c in range(len(index.centres))])
+    shared = asked.sparkSession.sparkContext.broadcast((index.centres, radius))
+
+    def choose(batches):
+        c, r = shared.value
         for batch in batches:
             if not len(batch):
                 continue
             m = _stack(batch["_target"])
             far = np.sqrt(np.maximum((m * m).sum(1)[:, None] - 2 * m @ c.T + (c * c).sum(1)[None, :], 0))
-            near = far.argsort(1, kind="stable").argsort(1, kind="stable") + 1
-            at = np.repeat(np.arange(len(m)), len(c))
-            out = batch.iloc[at].reset_index(drop=True)
-            yield out.assign(cell=np.tile(np.arange(len(c)), len(m)).astype("int32"),
-                             far=far.ravel(), near=near.ravel().astype("int32"))
+            near = far.argsort(1, kind="stable").argsort(1, kind="stable")
+            chosen = near < nprobe
+            if beyond:
+                chosen = ~chosen & (far - r <= batch["_reach"].to_numpy()[:, None])
+            row, cell = np.nonzero(chosen)
+            out = batch.drop(columns="_reach", errors="ignore").iloc[row].reset_index(drop=True)
+            yield out.assign(cell=cell.astype("int32"), far=far[row, cell])
 
-    unit = queries.filter(_has_direction(F.col(vector))).select(query_key, l2_normalize(F.col(vector)).alias("_target"))
-    return unit.mapInPandas(distances, T.StructType([
-        *unit.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType()),
-        T.StructField("near", T.IntegerType())]))
+    kept = [f for f in asked.schema.fields if f.name != "_reach"]
+    return asked.mapInPandas(choose, T.StructType([*kept, T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())]))
 
 
 def search_cells(
@@ -220,9 +225,8 @@ def search_cells(
     cannot hold a better row. Queries meet vectors by an equi-join on (cell, part) only.
     """
     key = index.key
-    probes = _probes(index, queries, query_key, vector)
+    asked = queries.filter(_has_direction(F.col(vector))).select(query_key, l2_normalize(F.col(vector)).alias("_target"))
     parts = index.cells.select("cell", "part", "radius")
-    pairs = probes.join(parts, "cell")
 
     def hits(chosen: DataFrame) -> DataFrame:
         targets = chosen.select(query_key, "_target", "cell", "part")
@@ -236,17 +240,15 @@ def search_cells(
             .select(query_key, key, "score")
         )
 
-    first = _rank(hits(pairs.filter(F.col("near") <= nprobe)), k, query_key, key)
+    first = _rank(hits(_probes(index, asked, nprobe).join(parts, "cell")), k, query_key, key)
     if not exact:
         return first
     worst = first.groupBy(query_key).agg(F.count("*").alias("_n"), F.min("score").alias("_s"))
     # distance of unit vectors from their cosine, widened by the rounding of the score
-    reach = F.when(F.col("_n") >= k, F.sqrt(F.greatest(2 - 2 * (F.col("_s") - 2e-9), F.lit(0.0))))
-    rest = (
-        pairs.filter(F.col("near") > nprobe)
-        .join(worst, query_key, "left")
-        .filter(reach.isNull() | (F.col("far") - F.col("radius") <= reach + 1e-9))
-    )
+    reach = F.when(F.col("_n") >= k, F.sqrt(F.greatest(2 - 2 * (F.col("_s") - 2e-9), F.lit(0.0))) + 1e-9)
+    bounded = asked.join(worst, query_key, "left").select(query_key, "_target", F.coalesce(reach, F.lit(float("inf"))).alias("_reach"))
+    rest = _probes(index, bounded, nprobe, beyond=True).join(parts, "cell").join(bounded.select(query_key, "_reach"), query_key)
+    rest = rest.filter(F.col("far") - F.col("radius") <= F.col("_reach"))
     merged = first.select(query_key, key, "score").unionByName(hits(rest))
     return _rank(merged, k, query_key, key)
 

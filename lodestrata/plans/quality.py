@@ -262,8 +262,20 @@ def case_scores(t):
     return judges.case_scores(_cases(t)).withColumn("score", rounded("score"))
 
 
+def _toxicity(t):
+    return judges.toxicity_model(t.documents.select("doc_id", "text").join(t.labels, "doc_id"))
+
+
 @query("toxicity_scores")
 def toxicity_scores(t):
     """A classifier fitted on the labelled documents scores all documents."""
-    model = judges.toxicity_model(t.documents.select("doc_id", "text").join(t.labels, "doc_id"))
-    return judges.toxicity_scores(inputs.documents(t), model, "doc_id")
+    return judges.toxicity_scores(inputs.documents(t), _toxicity(t), "doc_id")
+
+
+@query("toxicity_separation", """
+SELECT toxic, count(*) AS n, true AS apart FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL GROUP BY toxic""")
+def toxicity_separation(t):
+    """Whether toxic documents score above a half and clean ones below it on average, by label."""
+    scored = judges.toxicity_scores(inputs.documents(t), _toxicity(t), "doc_id").join(t.labels.filter("toxic IS NOT NULL"), "doc_id")
+    return scored.groupBy("toxic").agg(F.count("*").alias("n"), F.avg("score").alias("mean")).select(
+        "toxic", "n", F.when(F.col("toxic") == 1, F.col("mean") > 0.5).otherwise(F.col("mean") < 0.5).alias("apart"))
