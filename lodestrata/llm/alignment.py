@@ -7,9 +7,10 @@ matrices in compressed rows, A (tokens by bytes) and B; Gustavson's row products
 transposed, whose entries are the overlap links with their overlap in bytes, and the product of
 the token-group incidences gives the links within a group. Groups end where tokens of both sides end.
 
-Two passes over the texts: the first sums for each pair of ids how many links hold it, the second
-adds up per document what those counts say of its links. The most frequent pairs, a bounded
-number, are a table in every task; links of all others go through an equi-join.
+Texts are encoded once: their totals, digests and the pairs of their links are written to the shared
+folder. From that table come the links that hold each pair of ids, and in a second reading what
+those counts say of each document. The most frequent pairs, a bounded number, are a table in
+every task; links of all others go through an equi-join.
 
 Defined results: a text that is null, empty or not given back byte by byte by one of the
 vocabularies (such as one with U+2581) has no tokens, is all zeros with an empty digest, and its
@@ -24,6 +25,7 @@ import hashlib
 import json
 import os
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -39,6 +41,7 @@ from tokenizers import Tokenizer
 from lodestrata.llm import pretokens
 from lodestrata.llm.common import Shared, columns, per_process
 from lodestrata.llm.components import reliable
+from lodestrata.session import checkpoint_dir
 
 # Pairs whose counts every task holds: at most 9 MB.
 COMMON = 1 << 19
@@ -252,26 +255,61 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _pair_counts(a_path: str, b_path: str):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_TOTALS = ("n_a", "n_b", "n_groups", "n_links", "n_shared")
+
+
+def _documents(a_path: str, b_path: str):
+    """Per text its totals, its digest, and the pairs of its links in order with how many links hold each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabularies(a_path, b_path)
-        held, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            for _, texts in pretokens.slices(batch.column("text"), _SLICE):
+            for start, texts in pretokens.slices(batch.column("text"), _SLICE):
                 made = align(texts, voc)
-                times = np.repeat(np.bincount(made.numbers, minlength=len(made.n_links)), made.n_links)
-                held, n = _summed(np.concatenate([held, made.pairs]), np.concatenate([n, times]))
-                if len(held) > _HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(n)], ["pair", "n"])
-                    held, n = held[:0], n[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(n)], ["pair", "n"])
-    return count
+                digests = [hashlib.sha256(g).hexdigest() if g else "" for g in _joined(
+                    made.groups.take(pa.array(made.numbers)), np.diff(made.ends), ";").cast(pa.binary()).to_pylist()]
+                pairs, links = _pairs_of(made)
+                numbers = [pa.array(made.total(getattr(made, c)), pa.int64()) for c in _TOTALS]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(start, len(texts)), *numbers, pa.array(digests, pa.string()), pairs, links],
+                    ["doc_id", *_TOTALS, "groups_sha256", "pairs", "links"])
+    return run
+
+
+def _pairs_of(made: Aligned) -> tuple[pa.Array, pa.Array]:
+    each = made.n_links[made.numbers]
+    rows = np.repeat(np.repeat(np.arange(len(made.ends) - 1), np.diff(made.ends)), each)
+    starts = np.cumsum(made.n_links) - made.n_links
+    keys = np.sort((rows << 2 * _SHIFT) | made.pairs[spread(starts[made.numbers], each)])
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(keys[first] >> 2 * _SHIFT, minlength=len(made.ends) - 1))])
+    lists = [pa.array(keys[first] & ((1 << 2 * _SHIFT) - 1), pa.int64()), pa.array(np.diff(first, append=len(keys)), pa.int32())]
+    return tuple(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), x) for x in lists)
+
+
+def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).flatten().to_numpy().astype(np.int64)
 
 
-def pair_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a task, sent on whenever they are many."""
+    held, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for batch in batches:
+        held.append(_flat(batch, "pairs"))
+        n.append(_flat(batch, "links"))
+        if sum(map(len, held)) > _HELD:
+            pairs, counts = _summed(np.concatenate(held), np.concatenate(n))
+            held, n = [pairs], [counts]
+            if len(pairs) > _HELD // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], ["pair", "n"])
+                held, n = [pairs[:0]], [counts[:0]]
+    pairs, counts = _summed(np.concatenate(held), np.concatenate(n))
+    yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(counts)], ["pair", "n"])
+
+
+def pair_counts(aligned: DataFrame) -> DataFrame:
     """``(pair, n, best)``: for each pair of ids the links that hold it, and whether no other pair of its B id has more."""
-    seen = columns(docs, "text").mapInArrow(_pair_counts(a_path, b_path), "pair bigint, n bigint")
-    pairs = reliable(seen.groupBy("pair").agg(F.sum("n").alias("n")).filter("n > 0").withColumn("b", F.col("pair").bitwiseAND(F.lit((1 << _SHIFT) - 1))))
+    seen = aligned.select("pairs", "links").mapInArrow(_pair_counts, "pair bigint, n bigint")
+    pairs = reliable(seen.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("b", F.col("pair").bitwiseAND(F.lit((1 << _SHIFT) - 1))))
     most = pairs.groupBy("b").agg(F.max("n").alias("most"))
     return pairs.join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
@@ -293,49 +331,40 @@ def common_pairs(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(found.column(c).to_numpy() for c in ("pair", "n", "best"))
 
 
-_TOTALS = ("n_a", "n_b", "n_groups", "n_links", "n_shared")
-
-
-def _documents(a_path: str, b_path: str, common: Shared):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, (keys, counts, best) = vocabularies(a_path, b_path), common.value
+def _counted(common: Shared):
+    """What the common pairs say of each text's links, and its other pairs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, best = common.value
         for batch in batches:
-            for start, texts in pretokens.slices(batch.column("text"), _SLICE):
-                made = align(texts, voc)
-                at = np.minimum(np.searchsorted(keys, made.pairs), max(len(keys) - 1, 0))
-                hit = keys[at] == made.pairs if len(keys) else np.zeros(len(made.pairs), bool)
-                sums = [_sum_by(np.where(hit, x[at], 0) if len(keys) else np.zeros(len(hit), np.int64), made.n_links) for x in (counts, best)]
-                others = _others(made, hit)
-                digests = [hashlib.sha256(g).hexdigest() if g else "" for g in _joined(
-                    made.groups.take(pa.array(made.numbers)), np.diff(made.ends), ";").cast(pa.binary()).to_pylist()]
-                numbers = [made.total(getattr(made, c)) for c in _TOTALS] + [made.total(sums[1]), made.total(sums[0])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(start, len(texts)), *(pa.array(x, pa.int64()) for x in numbers), pa.array(digests, pa.string()), others],
-                    ["doc_id", *_TOTALS, "n_best", "count_sum", "groups_sha256", "others"])
-    return count
-
-
-def _others(made: Aligned, hit: np.ndarray) -> pa.Array:
-    """Per text the pairs of its links that are not in the common table, with their number."""
-    missing = _sum_by((~hit).astype(np.int64), made.n_links)
-    each = missing[made.numbers]
-    rows = np.repeat(np.repeat(np.arange(len(made.ends) - 1), np.diff(made.ends)), each)
-    lost = made.pairs[~hit][spread((np.cumsum(missing) - missing)[made.numbers], each)]
-    names, lost = np.unique(lost, return_inverse=True)
-    keys, n = _summed(rows * max(len(names), 1) + lost, np.ones(len(lost), np.int64))
-    sizes = np.bincount(keys // max(len(names), 1), minlength=len(made.ends) - 1)
-    items = pa.StructArray.from_arrays([pa.array(names[keys % max(len(names), 1)], pa.int64()), pa.array(n, pa.int64())], ["pair", "links"])
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), items)
+            pairs, links = _flat(batch, "pairs"), _flat(batch, "links")
+            offsets = batch.column("pairs").offsets.to_numpy().astype(np.int64)
+            sizes = np.diff(offsets)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+                hit = keys[at] == pairs
+                sums = [_sum_by(np.where(hit, links * best[at], 0), sizes), _sum_by(np.where(hit, links * counts[at], 0), sizes)]
+            else:
+                hit, sums = np.zeros(len(pairs), bool), [np.zeros(len(sizes), np.int64)] * 2
+            lost = np.concatenate([[0], np.cumsum(_sum_by(~hit, sizes))])
+            items = pa.StructArray.from_arrays([pa.array(pairs[~hit]), pa.array(links[~hit])], ["pair", "links"])
+            others = pa.ListArray.from_arrays(pa.array(lost, pa.int32()), items)
+            kept = batch.select(["doc_id", *_TOTALS, "groups_sha256"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(x, pa.int64()) for x in sums), others], [*kept.schema.names, "n_best", "count_sum", "others"])
+    return run
 
 
 def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """Per row: doc_id, tokens of both sides, groups, links, links within groups, links whose pair is its B id's
     most frequent one, the sum of the links' counts and the digest of the groups."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    pairs = reliable(pair_counts(docs, a_path, b_path))
-    schema = ", ".join([f"doc_id {kind}", *(f"{c} bigint" for c in (*_TOTALS, "n_best", "count_sum")), "groups_sha256 string",
-                        "others array<struct<pair: bigint, links: bigint>>"])
-    rows = columns(docs, "doc_id", "text").mapInArrow(_documents(a_path, b_path, Shared(spark, common_pairs(pairs))), schema)
+    totals = ", ".join([f"doc_id {kind}", *(f"{c} bigint" for c in _TOTALS), "groups_sha256 string"])
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/aligned-{uuid.uuid4().hex}"
+    schema = f"{totals}, pairs array<bigint>, links array<int>"
+    columns(docs, "doc_id", "text").mapInArrow(_documents(a_path, b_path), schema).write.option("compression", "zstd").parquet(folder)
+    aligned = spark.read.schema(schema).parquet(folder)
+    pairs = reliable(pair_counts(aligned))
+    rows = aligned.mapInArrow(_counted(Shared(spark, common_pairs(pairs))),
+                              f"{totals}, n_best bigint, count_sum bigint, others array<struct<pair: bigint, links: bigint>>")
     rows = reliable(rows.withColumn("row", F.monotonically_increasing_id()))
     rare = rows.select("row", F.inline("others")).join(pairs, "pair").groupBy("row").agg(
         F.sum(F.when(F.col("best"), F.col("links")).otherwise(0)).alias("more_best"), F.sum(F.col("links") * F.col("n")).alias("more_sum"))
