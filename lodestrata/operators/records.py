@@ -28,6 +28,11 @@ def metadata_filter(rows: DataFrame, condition: str | Column) -> DataFrame:
     return rows.filter(F.expr(condition) if isinstance(condition, str) else condition)
 
 
+def metadata_at(metadata: Column, path: str, kind: str) -> Column:
+    """A value of JSON metadata held as VARIANT, at a path such as ``$.stats.pages``, as a type; null where it is absent or of another type."""
+    return F.try_variant_get(metadata, path, kind)
+
+
 def missing_fields(fields: list[str]) -> Column:
     """Names of the required fields that are null or blank."""
     return F.array_compact(F.array(*[

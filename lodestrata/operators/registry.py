@@ -49,25 +49,24 @@ def lineage_gaps(stages: DataFrame, artifacts: DataFrame) -> DataFrame:
 def ancestors(edges: DataFrame) -> DataFrame:
     """Every (artifact, ancestor, distance) over ``edges(child, parent)``.
 
-    One join per level until nothing is new, however deep that is. Each level is checkpointed,
-    so a late level does not drag the whole history along. An artifact reached twice keeps its
-    shortest distance, which also ends cycles.
+    Distances double: pairs exactly as far apart as reached so far are joined with all pairs found,
+    which gives every pair up to twice as far, each at its shortest. A chain of n takes log n rounds; each is
+    checkpointed. A cycle ends when no pair is as far apart as the reach.
     """
     checkpoint_dir(edges.sparkSession)
-    step = edges.select(F.col("child").alias("_via"), F.col("parent").alias("_up")).distinct()
-    found = step.select(F.col("_via").alias("artifact"), F.col("_up").alias("ancestor"), F.lit(1).alias("distance")).checkpoint()
-    frontier, distance = found, 1
-    while not frontier.isEmpty():
-        distance += 1
-        frontier = (
-            frontier.join(step, F.col("ancestor") == F.col("_via"))
-            .select("artifact", F.col("_up").alias("ancestor")).distinct()
-            .join(found, ["artifact", "ancestor"], "left_anti")
-            .withColumn("distance", F.lit(distance))
-            .checkpoint()
+    found = edges.select(F.col("child").alias("artifact"), F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct().checkpoint()
+    reach = 1
+    while True:
+        far = found.filter(F.col("distance") == reach).select("artifact", F.col("ancestor").alias("_via"))
+        if far.isEmpty():
+            return found
+        onward = found.select(F.col("artifact").alias("_via"), "ancestor", "distance")
+        longer = (
+            far.join(onward, "_via").groupBy("artifact", "ancestor").agg((F.min("distance") + reach).alias("distance"))
+            .join(found, ["artifact", "ancestor"], "left_anti").checkpoint()
         )
-        found = found.unionByName(frontier)
-    return found
+        found = found.unionByName(longer)
+        reach *= 2
 
 
 def stage_throughput(stages: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +13,7 @@ from pyspark.sql import types as T
 
 from lodestrata.functions.blocks import match, running, step_block
 from lodestrata.functions.text import word_tokens
+from lodestrata.operators.ranks import IN_ONE_TASK, smallest
 from lodestrata.session import checkpoint_dir
 
 # Fixed values.
@@ -19,6 +23,31 @@ TRAIN_NAMES = ("loss", "learning_rate", "epoch")
 HEALTH_LOSS, HEALTH_GAP, HEALTH_RATE = 1.0, 0.5, 5.0
 
 
+@dataclass(frozen=True)
+class Tokenizer:
+    """A tokenizer behind the batch hook: ``load()`` runs once per worker and returns a function from texts to lists of ids."""
+
+    name: str
+    load: Callable[[], Callable[[list[str]], list[list[int]]]]
+    batch: int = 1024
+
+
+def tokenizer_udf(tokenizer: Tokenizer, max_length: int):
+    """Ids cut at ``max_length`` with the length before the cut, some texts a call."""
+    load, size = tokenizer.load, tokenizer.batch
+
+    @F.pandas_udf("ids array<int>, size long")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        run = load()
+        for batch in batches:
+            texts = batch.fillna("").tolist()
+            made = [ids for k in range(0, len(texts), size) for ids in run(texts[k:k + size])]
+            yield pd.DataFrame({"ids": [np.asarray(ids[:max_length], np.int32) for ids in made], "size": [len(ids) for ids in made]})
+
+    # keeps the optimizer from encoding a second time inside a pushed-down filter
+    return encode.asNondeterministic()
+
+
 def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """Fail with the list of available columns if one is missing; runs no job."""
     missing = [c for c in columns if c not in df.columns]
@@ -27,19 +56,21 @@ def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
-def first_n(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+def first_n(df: DataFrame, n: int, order: list[str], in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """The first n rows by key; files have no row order in Spark, so a key is needed."""
-    return df.orderBy(*order).limit(n)
+    return smallest(df, order, n, in_one_task)
 
 
 def eval_first_n(df: DataFrame, max_samples: int, order: list[str]) -> DataFrame:
     return first_n(df, max_samples // 10, order)
 
 
-def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 42, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """n rows chosen by a seeded hash of the key: the same rows however the data is split."""
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    return df.orderBy(draw, key).limit(n)
+    # The digest's first digits as a number stand before the digest itself: the order is the same.
+    drawn = df.withColumns({"_number": F.conv(F.substring(draw, 1, 15), 16, 10).cast("long"), "_draw": draw})
+    return smallest(drawn, ["_number", "_draw", key], n, in_one_task).drop("_number", "_draw")
 
 
 def project_text_column(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -47,8 +78,12 @@ def project_text_column(df: DataFrame, text: str, key: str) -> DataFrame:
     return df.select(key, word_tokens(F.col(text)).alias("tokens"))
 
 
-def tokenize_truncate(df: DataFrame, text: str, keep: list[str], max_length: int = MAX_LENGTH) -> DataFrame:
-    """Word tokens cut at ``max_length``, unpadded, with the length and a flag."""
+def tokenize_truncate(df: DataFrame, text: str, keep: list[str], max_length: int = MAX_LENGTH, tokenizer: Tokenizer | None = None) -> DataFrame:
+    """Tokens cut at ``max_length``, unpadded, with the length and a flag: words, or the ids of a tokenizer."""
+    if tokenizer is not None:
+        made = df.select(*keep, tokenizer_udf(tokenizer, max_length)(F.col(text)).alias("_made"))
+        return made.select(*keep, F.col("_made.ids").alias("tokens"), F.least(F.col("_made.size"), F.lit(max_length)).cast("int").alias("n_tokens"),
+                           (F.col("_made.size") > max_length).alias("truncated"))
     full = df.select(*keep, word_tokens(F.col(text)).alias("_all"))
     return full.select(
         *keep,

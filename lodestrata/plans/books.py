@@ -140,6 +140,21 @@ def resume_checkpoint(t):
     return training.resume_checkpoint(saves, failures)
 
 
+@query("seeded_sample_share", "SELECT doc_id, lang FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT (SELECT count(*) // 10 FROM documents)")
+def seeded_sample_share(t):
+    """A tenth of the rows: the draw at which they end is found by histograms, and a filter takes them."""
+    rows = t.documents.select("doc_id", "lang")
+    return training.seeded_sample(rows, rows.count() // 10, "doc_id", in_one_task=8)
+
+
+@query("first_n_share", """
+SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem ORDER BY l_shipdate, l_orderkey, l_linenumber LIMIT (SELECT count(*) // 5 FROM lineitem)""")
+def first_n_share(t):
+    """A fifth of the line items by date, with many ties on each date."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate")
+    return training.first_n(rows, rows.count() // 5, ["l_shipdate", "l_orderkey", "l_linenumber"], in_one_task=10)
+
+
 # -- early stopping ------------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from lodestrata.operators import alerts, evaluation, serving, signals, telemetry
 from lodestrata.plans import inputs
 from lodestrata.plans.catalog import query
 from lodestrata.plans.inputs import REQUESTS_SQL, rounded
+from lodestrata.streaming.run import new_folder
 
 REQ = f"WITH {REQUESTS_SQL}"
 HOUR = 3600
@@ -133,6 +134,30 @@ def latency_quantiles_sketch(t):
     return telemetry.latency_quantiles_sketch(inputs.requests(t), ["model"])
 
 
+@query("latency_quantiles_rollup", REQ + f"""
+, r AS (SELECT model, latency, {start_sql(HOUR)} FROM requests), p AS (SELECT unnest([0.5, 0.9, 0.95, 0.99]::DOUBLE[]) AS prob)
+SELECT start, model, prob, count(latency) AS n, true AS within FROM r, p GROUP BY ALL""")
+def latency_quantiles_rollup(t):
+    """Hourly quantiles merged from one stored sketch a minute, and whether their true rank is within the bound."""
+    rows, folder = inputs.requests(t), new_folder(t.spark)
+    telemetry.latency_rollups(rows, ["model"]).write.parquet(f"{folder}/rollups")
+    return within_rank(rows, telemetry.rolled_quantiles(t.spark.read.parquet(f"{folder}/rollups"), ["model"], HOUR, ROLLED), HOUR)
+
+
+ROLLED = (0.5, 0.9, 0.95, 0.99)
+
+
+def within_rank(rows, quantiles, seconds):
+    """Whether the share of values up to each quantile is its probability, give or take the sketch's bound and one value."""
+    start = (F.floor(F.unix_micros("ts") / (seconds * 1_000_000)) * seconds).cast("long")
+    raw = rows.select("model", start.alias("start"), "latency")
+    ranks = raw.join(quantiles, ["model", "start"]).groupBy("start", "model", "prob", "n").agg(
+        F.count_if(F.col("latency") <= F.col("value")).alias("upto"), F.count_if(F.col("latency") < F.col("value")).alias("below"))
+    bound = F.lit(telemetry.rank_bound()) + 1 / F.col("n")
+    return ranks.select("start", "model", "prob", "n", (
+        (F.col("upto") / F.col("n") >= F.col("prob") - bound) & (F.col("below") / F.col("n") <= F.col("prob") + bound)).alias("within"))
+
+
 @query("error_ratio", REQ + f"""
 , r AS (SELECT model, status, {start_sql(HOUR)} FROM requests)
 SELECT start, model, count(*) AS requests, count(*) FILTER (starts_with(status, '5')) AS errors,
@@ -388,22 +413,24 @@ def _signals(t):
     """All signals of the rule table on a one-minute grid."""
     rows = _fleet(t)
     v, model = F.col("value"), F.col("model")
-    up = lambda *kinds: F.col("event_type").isin(*kinds).cast("double")
-    gauge = lambda signal, series, value: F.struct(signal.alias("signal"), series.alias("series"), value.cast("double").alias("value"))
+    at = signals.minute(F.col("ts"))
+    # The newest row of each model and minute shows all of the model's gauges.
+    shown = rows.groupBy(model.alias("series"), at.alias("from")).agg(F.max_by(F.struct("value", "event_type"), "ts").alias("_newest")).select("series", "from", "_newest.*")
     of_model = {"gpu_utilization": v / 20, "gpu_memory_share": v / 15, "gpu_temperature": v * 4, "ray_missing_nodes": F.floor(v / 10),
                 "run_seconds": v * 4000, "volume_share": v / 10, "inference_up": (F.col("event_type") != "error").cast("double")}
-    samples = rows.select("ts", F.inline(F.array(
-        gauge(F.get(F.array(*map(F.lit, COMPONENTS)), (F.col("user_id") % 4).cast("int")), F.lit("main"), up("view", "click")),
-        *[gauge(F.lit(k), model, value) for k, value in of_model.items()])))
-    counters = rows.select("ts", "event_id", "value", model.alias("series"), F.explode(F.array(*map(F.lit, RANGES))).alias("signal"))
+    gauges = shown.select("series", "from", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("signal"), value.cast("double").alias("value")) for k, value in of_model.items()])))
+    component = F.get(F.array(*map(F.lit, COMPONENTS)), (F.col("user_id") % 4).cast("int"))
+    up = rows.groupBy(component.alias("signal"), at.alias("from")).agg(
+        F.max_by(F.col("event_type").isin("view", "click").cast("double"), "ts").alias("value")).withColumn("series", F.lit("main"))
+    counters = rows.select("ts", "event_id", "value", model.alias("series"))
     jobs = rows.select("ts", "event_id", F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("series"),
                        (F.col("event_type") != "error").cast("int").alias("value"))
-    at = signals.minute(F.col("ts"))
-    grid = rows.select(model.alias("series"), signals.reached(at, signals.LOOKBACK).alias("at")).distinct()
+    grid = signals.ticks(shown.select("series", "from"), ["series"], signals.LOOKBACK).select("series", "at")
     saves = rows.filter("value > 150").select(model.alias("series"), at.alias("at")).distinct()
     since = alerts.staleness(saves, ["series"], grid).filter("value is not null").select(
         F.lit("seconds_since_checkpoint").alias("signal"), "series", "at", F.col("value").cast("double").alias("value"))
-    parts = [signals.request_signals(rows), signals.gauge_signals(samples), signals.increase_signals(counters, RANGES, ["ts", "event_id"]),
+    parts = [signals.request_signals(rows), signals.held_gauges(gauges.unionByName(up)), signals.increase_signals(counters, RANGES, ["ts", "event_id"]),
              signals.unchanged_signal(jobs, "training_unchanged_1h", order=["ts", "event_id"]), since]
     made = parts[0]
     for part in parts[1:]:

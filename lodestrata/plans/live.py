@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.functions.chunking import fixed_chunks
-from lodestrata.operators import alerts
+from lodestrata.operators import alerts, telemetry
 from lodestrata.plans import inputs
 from lodestrata.plans.books import stopping_sql
 from lodestrata.plans.inputs import rounded
 from lodestrata.plans.catalog import Tables, query
 from lodestrata.plans.corpus import FIXED_CHUNKS_SQL, OVERLAP, SIZE
-from lodestrata.plans.fleet import BOUNDS_SQL, HOUR, LE_SQL, REQ, shown_bound, start_sql
+from lodestrata.plans.fleet import BOUNDS_SQL, HOUR, LE_SQL, REQ, ROLLED, shown_bound, start_sql, within_rank
 from lodestrata.streaming import rates, tables
 from lodestrata.streaming.alerts import silence_rules, stream_alerts, stream_silence
 from lodestrata.streaming.run import new_folder, run_available
@@ -83,20 +83,50 @@ def streamed_alerts(t):
     return made.filter("event = 'firing'").select("rule", "series", "event", "started_at", F.col("at").alias("fired_at"))
 
 
+@query("stream_latency_rollup", REQ + f"""
+, r AS (SELECT model, latency, {start_sql(HOUR)} FROM requests WHERE {CLOSED_SQL.format(seconds=60).replace("start", "us // 60000000 * 60")}),
+p AS (SELECT unnest([0.5, 0.9, 0.95, 0.99]::DOUBLE[]) AS prob)
+SELECT start, model, prob, count(latency) AS n, true AS within FROM r, p GROUP BY ALL""")
+def stream_latency_rollup(t):
+    """Minute sketches written by a stream, merged into hourly quantiles by a batch."""
+    made = run_available(rates.stream_latency_rollups(_requests(t)), new_folder(t.spark))
+    rows = inputs.requests(t)
+    closed = rows.withColumn("minute", (F.floor(F.unix_micros("ts") / 60_000_000) * 60).cast("long")).join(
+        made.select("model", F.col("start").alias("minute")), ["model", "minute"], "left_semi")
+    return within_rank(closed, telemetry.rolled_quantiles(made, ["model"], HOUR, ROLLED), HOUR)
+
+
+@query("stream_counter_increase", """
+WITH s AS (SELECT event_type, epoch_us(ts) // 1000000 AS sec, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL),
+d AS (SELECT *, lag(value) OVER (PARTITION BY event_type ORDER BY sec) AS prev FROM s)
+SELECT sec // 3600 * 3600 AS start, event_type, round(sum(CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END) + 1e-10, 6) AS increase
+FROM d WHERE sec <= (SELECT max(sec) - 600 FROM s) GROUP BY ALL""")
+def stream_counter_increase(t):
+    """Counters read once a second: growth by keyed state, summed by hour."""
+    first, second = new_folder(t.spark), new_folder(t.spark)
+    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long")
+    seconds = t.events.groupBy(F.col("event_type").alias("series"), at.alias("at")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+    seconds.write.parquet(f"{first}/in")
+    feed = t.spark.readStream.schema(seconds.schema).parquet(f"{first}/in")
+    made = run_available(rates.stream_counter_growth(feed), second)
+    hour = (F.floor(F.col("at") / HOUR) * HOUR).cast("long")
+    return made.groupBy(hour.alias("start"), F.col("series").alias("event_type")).agg(rounded(F.sum("growth")).alias("increase"))
+
+
 @query("stream_silence", """
-WITH fleet AS (SELECT 'model-' || (user_id % 5) AS series, epoch_us(ts) // 20000000 AS at, value, event_type FROM events),
+WITH fleet AS (SELECT 'model-' || (user_id % 5) AS series, epoch_us(ts) // 20000000 AS sec, value, event_type FROM events),
 -- one sample a second at most: the last row of a second stands for it
-saves AS (SELECT DISTINCT series, at, 0 AS value FROM fleet WHERE value > 150),
-jobs AS (SELECT series, at, max((event_type <> 'error')::INT) AS value FROM fleet WHERE value > 40 GROUP BY ALL),
-moved AS (SELECT series, at, value FROM (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY at) AS before FROM jobs) WHERE before IS NULL OR before <> value),
-samples AS (SELECT 'CheckpointMissing' AS rule, 3600 AS quiet, 600 AS hold, series, at, true AS watched FROM saves
-            UNION ALL SELECT 'TrainingJobStuck', 3600, 7200, series, at, value = 1 FROM moved),
-now AS (SELECT max(at) AS at FROM (SELECT at FROM saves UNION ALL SELECT at FROM jobs)),
-gaps AS (SELECT s.*, coalesce(lead(s.at) OVER (PARTITION BY rule, series ORDER BY s.at), now.at) AS until,
-                lead(s.at) OVER (PARTITION BY rule, series ORDER BY s.at) AS next FROM samples s, now),
-fired AS (SELECT * FROM gaps WHERE watched AND until > at + quiet + hold)
-SELECT rule, series, 'firing' AS event, at + quiet AS started_at, at + quiet + hold AS fired_at FROM fired
-UNION ALL SELECT rule, series, 'resolved', at + quiet, next FROM fired WHERE next IS NOT NULL""")
+saves AS (SELECT DISTINCT series, sec, 0 AS value FROM fleet WHERE value > 150),
+jobs AS (SELECT series, sec, max((event_type <> 'error')::INT) AS value FROM fleet WHERE value > 40 GROUP BY ALL),
+moved AS (SELECT series, sec, value FROM (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY sec) AS before FROM jobs) WHERE before IS NULL OR before <> value),
+samples AS (SELECT 'CheckpointMissing' AS rule, 3600 AS quiet, 600 AS hold, series, sec, true AS watched FROM saves
+            UNION ALL SELECT 'TrainingJobStuck', 3600, 7200, series, sec, value = 1 FROM moved),
+now AS (SELECT max(sec) AS sec FROM (SELECT sec FROM saves UNION ALL SELECT sec FROM jobs)),
+gaps AS (SELECT s.*, coalesce(lead(s.sec) OVER (PARTITION BY rule, series ORDER BY s.sec), now.sec) AS until,
+                lead(s.sec) OVER (PARTITION BY rule, series ORDER BY s.sec) AS next FROM samples s, now),
+fired AS (SELECT * FROM gaps WHERE watched AND until > sec + quiet + hold)
+SELECT rule, series, 'firing' AS event, sec + quiet AS started_at, sec + quiet + hold AS fired_at FROM fired
+UNION ALL SELECT rule, series, 'resolved', sec + quiet, next FROM fired WHERE next IS NOT NULL""")
 def streamed_silence(t):
     """Checkpoints that stay out and jobs that stay as they are fire by timers, without a row."""
     fleet = StreamedTables(t.spark, t.folder).events.select(
@@ -133,3 +163,18 @@ def stream_ingest(t):
         F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source"), "text")
     tables.stream_ingest(docs, folder, fixed_chunks(F.col("text"), SIZE, OVERLAP)).awaitTermination()
     return tables.ingested(t.spark, folder).select("source", F.col("chunk_index").cast("long").alias("chunk_index"), "id")
+
+
+@query("stream_ingest_within", FIXED_CHUNKS_SQL + """
+SELECT d.source || '/' || doc_id AS source, chunk_index, substr(md5(m.text), 1, 16) || '-' || chunk_index AS id
+FROM made m JOIN documents d USING (doc_id)""")
+def stream_ingest_within(t):
+    """Every document lands twice within the day; keyed state that expires drops the second."""
+    first, second = new_folder(t.spark), new_folder(t.spark)
+    docs = t.documents.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source"), "text",
+                              F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 3600).alias("landed_at"))
+    docs.unionAll(docs).write.parquet(f"{first}/in")
+    feed = t.spark.readStream.schema(docs.schema).parquet(f"{first}/in")
+    tables.stream_ingest_within(feed, second, fixed_chunks(F.col("text"), SIZE, OVERLAP)).awaitTermination()
+    made = t.spark.read.parquet(f"{second}/out")
+    return made.select("source", F.col("chunk_index").cast("long").alias("chunk_index"), "id")

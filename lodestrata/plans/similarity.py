@@ -94,6 +94,25 @@ def vector_search_filtered(t):
     return _search_whole(t, "label = 3")
 
 
+@query("vector_search_variant", """
+WITH rows AS (SELECT vec_id, embedding, label, json_object('tag', 'v' || label, 'stats', json_object('label', label, 'first', embedding[1]::DOUBLE)) AS metadata FROM embeddings),
+parts AS (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+whole AS (SELECT list(x ORDER BY pos) AS centre FROM (SELECT pos, avg(x) AS x FROM parts GROUP BY pos))
+SELECT vec_id AS id, label, round(score + 1e-10, 6) AS score FROM (
+  SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], centre), 9) AS score FROM rows, whole
+  WHERE json_extract(metadata, '$.stats.label')::INT BETWEEN 2 AND 6 AND json_extract(metadata, '$.stats.first')::DOUBLE > 0
+    AND json_extract_string(metadata, '$.tag') <> 'v4')
+ORDER BY score DESC, id LIMIT 10""")
+def vector_search_variant(t):
+    """Typed conditions on nested JSON metadata, tested before the top-k."""
+    rows = _vectors(t).withColumn("metadata", F.parse_json(F.to_json(F.struct(
+        F.concat(F.lit("v"), "label").alias("tag"), F.struct("label", F.col("vector")[0].cast("double").alias("first")).alias("stats")))))
+    at = lambda path, kind: records.metadata_at(F.col("metadata"), path, kind)
+    wanted = at("$.stats.label", "int").between(2, 6) & (at("$.stats.first", "double") > 0) & (at("$.tag", "string") != "v4")
+    target = vectors.mean_pool(_vectors(t), []).first()["vector"]
+    return search.vector_search(rows, target, K, wanted).select("id", "label", rounded("score").alias("score"))
+
+
 BATCH_SQL = SCORED_SQL + f"SELECT query_id, id, round(score + 1e-10, 6) AS score, rank FROM ranked WHERE rank <= {K}"
 
 

@@ -33,6 +33,7 @@ class InOrder(StatefulProcessor):
     """
 
     ROW, STATE = "", ""
+    EVENT = ["rule", "series", "event", "started_at", "at"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -67,7 +68,7 @@ class InOrder(StatefulProcessor):
             self.state.update(tuple(state))
         times = [at for at, _ in waiting if at > now] + [t for t in [self.wake_at(state)] if t is not None]
         self._wake(min(times) if times else None)
-        return pd.DataFrame([(*key, *e) for e in events], columns=["rule", "series", "event", "started_at", "at"])
+        return pd.DataFrame([(*key, *e) for e in events], columns=self.EVENT)
 
     def _wake(self, at: int | None) -> None:
         """One timer per key; a timer is due once the watermark is behind it, so it stands just before the time."""

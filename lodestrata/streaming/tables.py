@@ -132,3 +132,15 @@ def stream_ingest(docs: DataFrame, folder: str, chunks: Column, available_now: b
 
 def ingested(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/records")
+
+
+def stream_ingest_within(docs: DataFrame, folder: str, chunks: Column, within: str = "1 day", available_now: bool = True, partitions: int | None = None):
+    """Chunk documents as they land; a source that comes again within a time of ``landed_at`` is dropped.
+
+    The sources seen are keyed state that expires with the watermark, so neither state nor work
+    of a micro-batch grows with the history. For sources that may come again at any time use ``stream_ingest``.
+    """
+    fresh = docs.withWatermark("landed_at", within).dropDuplicatesWithinWatermark(["source"])
+    keyed = drop_empty_documents(fresh.withColumn("doc_key", doc_id(F.col("source"))))
+    made = explode_chunks(keyed, chunks, "source", "doc_key").withColumn("id", record_id(F.col("text"), F.col("chunk_index")))
+    return append_stream(made, folder, available_now, partitions)

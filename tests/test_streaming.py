@@ -111,3 +111,28 @@ def test_ingest_skips_known_sources(spark, tmp_path):
     landing(spark, tmp_path / "in", [("b", "text at last"), ("d", "more")], schema)
     tables.stream_ingest(feed(), str(tmp_path / "w"), chunks).awaitTermination()
     assert sorted(r["source"] for r in tables.ingested(spark, str(tmp_path / "w")).collect()) == ["a", "a", "c", "d"]
+
+
+def test_counter_growth_across_restarts(spark, tmp_path):
+    """Shuffled samples, resets and a late one give what the batch gives, whatever the batches."""
+    schema = "series string, at long, value double"
+    a = [(60 * (10 + i), v) for i, v in enumerate([5.0, 7.0, 7.0, 1.0, 4.0, 2.0, 3.0])]
+    parts = [[("s", *a[1]), ("s", *a[0]), ("t", 700, 9.0)], [("s", *a[3]), ("s", *a[2])], [("s", *a[4]), ("s", *a[6]), ("s", *a[5])],
+             [("t", 5000, 10.0), ("s", 5000, 3.0)], [("s", *a[2]), ("t", 9000, 1.0), ("s", 9000, 4.0)]]
+    for part in parts:
+        landing(spark, tmp_path / "in", part, schema)
+        out = run_available(rates.stream_counter_growth(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "2 minutes"), str(tmp_path / "w"))
+    got = sorted((r["series"], r["at"], r["growth"]) for r in out.collect())
+    assert got == [("s", 600, 0.0), ("s", 660, 2.0), ("s", 720, 0.0), ("s", 780, 1.0), ("s", 840, 3.0), ("s", 900, 2.0), ("s", 960, 1.0),
+                   ("s", 5000, 0.0), ("t", 700, 0.0), ("t", 5000, 1.0)]
+
+
+def test_ingest_drops_a_source_that_comes_again_within_the_time(spark, tmp_path):
+    schema = "source string, text string, landed long"
+    feed = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in")).withColumn("landed_at", F.timestamp_seconds("landed"))
+    for part in ([("a", "one two three", 1000), ("b", "four", 1000)], [("a", "again", 1500), ("c", "five", 1600)], [("d", "far on", 90_000)], [("e", "on", 90_001), ("a", "much later", 90_001)]):
+        landing(spark, tmp_path / "in", part, schema)
+        tables.stream_ingest_within(feed(), str(tmp_path / "w"), fixed_chunks(F.col("text"), 20, 5), "1 hour").awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "w/out"))
+    assert sorted((r["source"], r["text"]) for r in rows.collect()) == [
+        ("a", "much later"), ("a", "one two three"), ("b", "four"), ("c", "five"), ("d", "far on"), ("e", "on")]

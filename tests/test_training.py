@@ -183,3 +183,39 @@ def test_throughput(spark):
     df = spark.createDataFrame([("ingest", 1000, 120.0), ("idle", 0, 0.0)], "stage string, items int, seconds double")
     got = {r["stage"]: r["items_per_second"] for r in registry.stage_throughput(df, ["stage"]).collect()}
     assert got == {"ingest": pytest.approx(8.3333333), "idle": None}
+
+
+def test_lineage_of_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """A chain of 2,000 is closed by doubling distances; a cycle ends."""
+    frame, rounds = type(spark.range(1)), []
+    held = frame.checkpoint
+    monkeypatch.setattr(frame, "checkpoint", lambda self, *a: (rounds.append(1), held(self, *a))[1])
+    n = 2000
+    edges = spark.range(n).selectExpr("id AS child", "id + 1 AS parent")
+    made = registry.ancestors(edges)
+    assert len(rounds) <= 12 + 1  # and one for the links themselves
+    assert made.count() == n * (n + 1) // 2
+    assert made.filter("ancestor - artifact <> distance").isEmpty()
+    ring = registry.ancestors(spark.range(7).selectExpr("id AS child", "(id + 1) % 7 AS parent"))
+    assert sorted((r["artifact"], r["ancestor"], r["distance"]) for r in ring.collect()) == sorted(
+        (a, (a + d) % 7, d) for a in range(7) for d in range(1, 8))
+
+
+def test_tokenizer_hook(spark):
+    """A real tokenizer file behind the hook, cut at 2,048 ids, loaded once per worker."""
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+
+    def load():
+        from tokenizers import Tokenizer
+        tok = Tokenizer.from_file(path)
+        return lambda texts: [x.ids for x in tok.encode_batch(texts, add_special_tokens=False)]
+
+    texts = ["Some words here.", "", None, "word " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    hook = training.Tokenizer("words", load, batch=2)
+    got = {r.id: r for r in training.tokenize_truncate(df, "text", ["id"], tokenizer=hook).collect()}
+    tok = tokenizers.Tokenizer.from_file(path)
+    for k, text in enumerate(texts):
+        ids = tok.encode(text or "", add_special_tokens=False).ids
+        assert (list(got[k].tokens), got[k].n_tokens, got[k].truncated) == (ids[:2048], min(len(ids), 2048), len(ids) > 2048)
