@@ -1,13 +1,14 @@
 """Language ID: a sparse multinomial model on TF-IDF character n-grams, calibrated.
 
 Document frequencies of the hashed n-grams come from all documents that may be learned from; the
-model is fitted on a bounded sample of them, ``per_language`` expected rows of each language, and
-sent to the tasks, which score every whole text.
+model is fitted on a bounded sample of them, ``per_language`` expected documents of each language and
+twice as many at most, and sent to the tasks, which score every whole text.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; rows without a
 language are scored, not learned from; a row without doc_id is not held out and not learned from;
-with nothing to learn from every row is ``und``; repeated rows are scored one by one; extra
-columns are ignored.
+with nothing to learn from every row is ``und``; repeated rows are scored one by one and learned from
+once; more than MAX_LANGUAGES languages raise ValueError, as the model would not fit a task; an empty
+table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import sparse_model
 from lodestrata.llm.common import Shared, columns, per_process
+from lodestrata.llm.samples import labelled_texts
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -33,12 +35,18 @@ def _letters() -> np.ndarray:
     return per_process(("letters",), lambda: np.array([chr(c).isalpha() for c in range(0x30000)]))
 
 
+def _is_letter(codes: np.ndarray) -> np.ndarray:
+    table = _letters()
+    made = table[np.minimum(codes, len(table) - 1)]
+    beyond = np.flatnonzero(codes >= len(table))
+    made[beyond] = [chr(c).isalpha() for c in codes[beyond]]
+    return made
+
+
 def _codes(part: str) -> np.ndarray:
     """Code points in lower case, each run of other characters as one space."""
     codes = np.frombuffer(part.lower().encode("utf-32-le"), np.uint32)
-    table = _letters()
-    letter = table[np.minimum(codes, len(table) - 1)]
-    codes = np.where(letter, codes, 32)
+    codes = np.where(_is_letter(codes), codes, 32)
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32)
     return codes[keep].astype(np.uint64)
@@ -97,19 +105,16 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[sparse_model
     """The model and the inverse document frequencies, or None with nothing to learn from."""
     usable = columns(docs, "doc_id", "text", "lang").filter(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if usable.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sample, sizes = labelled_texts(docs, usable.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("lang").alias("kind")), per_language)
     if not sizes:
         return None
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     counted = usable.select("text").mapInArrow(_frequencies, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     frequency = {r.bucket: r.n for r in counted}
     seen = np.array([frequency.get(b, 0) for b in range(BUCKETS)])
     idf = np.log((1 + frequency[-1]) / (1 + seen)) + 1
-    million = 1_000_000
-    share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(million, -(-per_language * million // n)))])
-    sample = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < share[F.col("lang")])
-    rows = sample.select("lang", "text").mapInArrow(_features, "lang string, at array<int>, counts array<bigint>").collect()
+    rows = sample.select(F.col("kind").alias("lang"), "text").mapInArrow(_features, "lang string, at array<int>, counts array<bigint>").collect()
     rows = sorted((r for r in rows if r["at"]), key=lambda r: (r.lang, r["at"], r["counts"]))
     if not rows:
         return None

@@ -100,6 +100,73 @@ def test_languages_with_nothing_to_learn(spark):
     assert language_id.identify(docs.limit(0)).count() == 0
 
 
+def plain_ngrams(text):
+    """Counts of hashed n-grams of letters, other characters as one space, in whole numbers of 64 bits."""
+    codes = []
+    for c in text.lower():
+        c = ord(c) if c.isalpha() else 32
+        if c != 32 or not codes or codes[-1] != 32:
+            codes.append(c)
+    counts = collections.Counter()
+    for order in language_id.ORDERS:
+        for i in range(len(codes) - order + 1):
+            h = 0
+            for c in codes[i:i + order]:
+                h = (h * 0x9E3779B97F4A7C15 + c + 1) % 2 ** 64
+            counts[(h * 0xD6E8FEB86659FD93) % 2 ** 64 >> 48] += 1
+    return counts
+
+
+def test_tfidf_by_hand():
+    texts = ["The quick, brown fox; été!", "aaa bbb", "Straße 12 İx \U00030001\U00030002 z", "a" * 3000 + " b"]
+    found = [plain_ngrams(t) for t in texts]
+    frequency = collections.Counter(b for f in found for b in f)
+    idf = np.array([np.log((1 + len(texts)) / (1 + frequency[b])) + 1 for b in range(language_id.BUCKETS)])
+    for text, counts in zip(texts, found):
+        at, n = language_id.ngram_counts(text)
+        assert dict(zip(at.tolist(), n.tolist())) == dict(counts)
+        want = np.array([(1 + np.log(counts[b])) * idf[b] for b in at])
+        assert np.allclose(language_id._tfidf(at, n, idf), want / np.sqrt((want ** 2).sum()))
+    assert len(language_id.ngram_counts("\U00030001\U00031000")[0]) and not len(language_id.ngram_counts("12 \U0001F600!")[0])
+
+
+def test_ftrl_by_hand():
+    """The first steps of the regularised leader, weight by weight, from its definition."""
+    rng = np.random.default_rng(2)
+    size, classes, alpha, beta, l1, l2 = 12, 3, 0.7, 1.0, 0.05, 0.1
+    state = sparse_model.Ftrl(size, classes, alpha, beta, l1, l2)
+    z, n = {}, {}
+
+    def weight(i, k):
+        zi, ni = z.get((i, k), 0.0), n.get((i, k), 0.0)
+        bound = 0.0 if i == size else l1
+        return 0.0 if abs(zi) <= bound else -(zi - np.sign(zi) * bound) / ((beta + ni ** 0.5) / alpha + l2)
+
+    for _ in range(60):
+        at = np.append(np.sort(rng.choice(size, 4, replace=False)), size)
+        x, target = np.append(rng.random(4), 1.0), int(rng.integers(classes))
+        scores = [sum(xi * weight(i, k) for i, xi in zip(at, x)) for k in range(classes)]
+        p = np.exp(scores) / np.exp(scores).sum()
+        before = {(i, k): weight(i, k) for i in at for k in range(classes)}
+        state.step(at, x, target)
+        for i, xi in zip(at, x):
+            for k in range(classes):
+                g = xi * (p[k] - (k == target))
+                old = n.get((i, k), 0.0)
+                z[i, k] = z.get((i, k), 0.0) + g - ((old + g * g) ** 0.5 - old ** 0.5) / alpha * before[i, k]
+                n[i, k] = old + g * g
+    got = state.weights(np.arange(size + 1))
+    assert np.allclose(got, [[weight(i, k) for k in range(classes)] for i in range(size + 1)], atol=1e-10)
+
+
+def test_temperature_is_the_best_of_a_grid():
+    rng = np.random.default_rng(3)
+    logits = rng.normal(size=(400, 3)) * 4
+    targets = np.array([rng.choice(3, p=sparse_model.softmax(row / 2.5)) for row in logits])
+    loss = lambda t: -np.log(sparse_model.softmax(logits / t)[np.arange(400), targets]).mean()
+    assert loss(sparse_model._temperature(logits, targets)) <= min(loss(t) for t in np.exp(np.linspace(-2, 2, 400))) + 1e-6
+
+
 def test_ngrams_cross_part_borders(monkeypatch):
     text = "the quick brown fox été " * 20
     want = language_id.ngram_counts(text)
