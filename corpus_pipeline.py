@@ -1,4 +1,11 @@
-"""From raw documents to token files: the stages of the corpus pipeline, each on what the last one kept."""
+"""From raw documents to token files: the stages of the corpus pipeline, each on what the last one kept.
+
+Defined results: a null or blank text fails the quality rules; a null doc_id is a document like any other, the
+first of its class and the first of the files; repeated rows, and rows of one doc_id with equal or near texts, are
+one class, of which one row stays, while different texts under one doc_id stay apart; extra columns of any name
+travel to the last stage, which returns what the files say of each document; an empty table, or a stage that
+keeps nothing, gives an empty result with the same columns.
+"""
 
 from __future__ import annotations
 
