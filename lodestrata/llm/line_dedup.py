@@ -3,12 +3,15 @@
 Lines are taken by digest first. Lines one edit apart agree outside a short stretch, so two passes
 rule out lines without a possible partner: grouped counts of half keys over all lines, then of
 zone keys, all of a line but one of at least eight stretches of at most 64 characters, over the
-rest. What is left emits the deletion neighbourhood of its shared zones: the stretch as it is and
-without each of its characters, with the place of the deletion. Lines with one variant at one
+rest. What is left emits the deletion neighbourhood of its shared zones as hashed keys: the stretch as it
+is and without each of its characters, with the place of the deletion. Lines with one variant at one
 place differ by one substitution, and a line that is itself the variant of another differs by one
 insertion; so every line is compared with the earliest of its group and with the line that
 equals its variant, never with all others, and the edit distance is verified.
 
+The bound depends on the length: lines of fewer than ``exact_below`` characters have none, as one
+character makes another word of a short line; all others have one edit.
+
 Built-in expressions and joins only.
 
 Defined results: order is (doc_id, line number, hash of the text), null doc_ids first; a null text has no line;
@@ -57,11 +60,12 @@ def _half_keys(line: Column) -> Column:
     return F.array_distinct(F.array(*keys(longer), *keys(shorter)))
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """Every line with a word: doc_id, key of the text, line number from 0, digest, half keys."""
+def _occurrences(docs: DataFrame, exact_below: int) -> DataFrame:
+    """Every line with a word: doc_id, key of the text, line number from 0, digest, half keys; short lines have no half keys."""
     lines = columns(docs, "doc_id", "text").select("doc_id", _text_key(), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select(
-        "doc_id", "text_key", "line_no", F.unhex(F.md5("line")).alias("digest"), _half_keys(F.col("line")).alias("halves"))
+        "doc_id", "text_key", "line_no", F.unhex(F.md5("line")).alias("digest"),
+        F.when(F.length("line") >= exact_below, _half_keys(F.col("line"))).otherwise(F.array().cast("array<bigint>")).alias("halves"))
 
 
 def _zones(line: Column) -> Column:
@@ -88,12 +92,12 @@ def _zones(line: Column) -> Column:
 
 
 def _neighbourhood(text: Column) -> Column:
-    """(place, variant) of the text as it is, at place 0, and without its character at each place from 1."""
+    """(place, key of the variant) of the text as it is, at place 0, and without its character at each place from 1."""
     n = F.length(text)
     places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     cuts = F.transform(places, lambda i: F.struct(
-        i.alias("place"), F.concat(F.left(text, i - 1), F.right(text, n - i)).alias("variant")))
-    return F.concat(F.array(F.struct(F.lit(0).alias("place"), text.alias("variant"))), cuts)
+        i.alias("place"), F.xxhash64(F.concat(F.left(text, i - 1), F.right(text, n - i))).alias("variant")))
+    return F.concat(F.array(F.struct(F.lit(0).alias("place"), F.xxhash64(text).alias("variant"))), cuts)
 
 
 def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -141,9 +145,9 @@ def _near(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return verified.select("digest").distinct()
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, exact_below: int = 0) -> DataFrame:
     """``(doc_id, text_key, line_no, near)`` of every line that has an earlier equal line or near one."""
-    occurrences = _occurrences(docs)
+    occurrences = _occurrences(docs, exact_below)
     lines = reliable(occurrences.groupBy("digest").agg(
         F.min(_place()).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves")))
     near = _near(docs, lines)
@@ -153,26 +157,26 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
         F.col("near") | (_place() > F.col("first"))).select("doc_id", "text_key", "line_no", "near").distinct()
 
 
-def _per_row(docs: DataFrame) -> DataFrame:
-    return dropped_lines(docs).groupBy("doc_id", "text_key").agg(
+def _per_row(docs: DataFrame, exact_below: int) -> DataFrame:
+    return dropped_lines(docs, exact_below).groupBy("doc_id", "text_key").agg(
         F.sort_array(F.collect_list("line_no")).alias("dropped"), F.count_if("near").alias("n_near"))
 
 
-def line_report(docs: DataFrame) -> DataFrame:
+def line_report(docs: DataFrame, exact_below: int = 0) -> DataFrame:
     """Per row: doc_id, n_lines, n_dropped, n_near and the numbers of the dropped lines."""
     rows = columns(docs, "doc_id", "text").select(
         "doc_id", _text_key(), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
-    joined = rows.alias("r").join(_per_row(docs).alias("p"), _same_row("r", "p"), "left")
+    joined = rows.alias("r").join(_per_row(docs, exact_below).alias("p"), _same_row("r", "p"), "left")
     return joined.select(
         F.col("r.doc_id").alias("doc_id"), F.greatest("n_lines", F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.coalesce(F.array_join(F.transform("dropped", lambda x: x.cast("string")), ","), F.lit("")).alias("dropped"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, exact_below: int = 0) -> DataFrame:
     """The documents without their dropped lines; other columns stay."""
     packed = docs.select(F.struct("*").alias("row"), F.col("`doc_id`").alias("doc_id"), F.xxhash64("`text`").alias("text_key"))
-    joined = packed.alias("d").join(_per_row(docs).alias("p"), _same_row("d", "p"), "left")
+    joined = packed.alias("d").join(_per_row(docs, exact_below).alias("p"), _same_row("d", "p"), "left")
     kept = F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter(
         F.split("row.text", "\n"), lambda line, i: ~F.array_contains("dropped", i)), "\n"))
     names = [f.name for f in docs.schema]

@@ -88,23 +88,27 @@ def op4(read):
     return pii.digest(pii.personal_data(read("documents")))
 
 
-LINE_SQL = r"""
+# Lines of fewer characters are only dropped as exact copies.
+EXACT_BELOW = 8
+
+LINE_SQL = rf"""
 WITH lines AS (
   SELECT doc_id, i - 1 AS line_no, line FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-firsts AS MATERIALIZED (SELECT line, hash(line) AS name, min({'d': doc_id, 'n': line_no}) AS first FROM lines GROUP BY line),
+firsts AS MATERIALIZED (SELECT line, hash(line) AS name, min({{'d': doc_id, 'n': line_no}}) AS first FROM lines GROUP BY line),
 cuts AS MATERIALIZED (
   SELECT line, first, p, hash(substr(line, 1, p - 1) || substr(line, p + 1)) AS variant
-  FROM (SELECT *, unnest(range(1, length(line) + 1)) AS p FROM firsts)),
+  FROM (SELECT *, unnest(range(1, length(line) + 1)) AS p FROM firsts WHERE length(line) >= {EXACT_BELOW})),
+longs AS (SELECT * FROM firsts WHERE length(line) >= {EXACT_BELOW}),
 near AS MATERIALIZED (
   SELECT c.line FROM cuts c JOIN (SELECT variant, p, min(first) AS least FROM cuts GROUP BY ALL) g USING (variant, p) WHERE c.first > g.least
-  UNION SELECT c.line FROM cuts c JOIN firsts s ON c.variant = s.name WHERE c.first > s.first
-  UNION SELECT s.line FROM cuts c JOIN firsts s ON c.variant = s.name WHERE s.first > c.first),
+  UNION SELECT c.line FROM cuts c JOIN longs s ON c.variant = s.name WHERE c.first > s.first
+  UNION SELECT s.line FROM cuts c JOIN longs s ON c.variant = s.name WHERE s.first > c.first),
 drops AS (
   SELECT DISTINCT doc_id, line_no, near.line IS NOT NULL AS near
   FROM lines JOIN firsts USING (line) LEFT JOIN near USING (line)
-  WHERE near.line IS NOT NULL OR {'d': doc_id, 'n': line_no} > first),
+  WHERE near.line IS NOT NULL OR {{'d': doc_id, 'n': line_no}} > first),
 per AS (SELECT doc_id, count(*) AS n, count(*) FILTER (near) AS m, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS listed FROM drops GROUP BY doc_id)
 SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n_lines, coalesce(n, 0) AS n_dropped, coalesce(m, 0) AS n_near,
        coalesce(listed, '') AS dropped
@@ -114,7 +118,7 @@ FROM documents LEFT JOIN per USING (doc_id)
 
 @query("op5_line_dedup", LINE_SQL)
 def op5(read):
-    return line_dedup.line_report(read("documents"))
+    return line_dedup.line_report(read("documents"), EXACT_BELOW)
 
 
 @query("op6_token_counts")

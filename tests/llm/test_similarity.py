@@ -101,8 +101,8 @@ def one_edit(a, b):
     return a[k + 1:] == b[k + 1:] if len(a) == len(b) else a[k:] == b[k + 1:]
 
 
-def line_drops(rows):
-    """(doc_id, line) drops by comparing every line with all earlier ones of like length."""
+def line_drops(rows, exact_below=0):
+    """(doc_id, line) drops by comparing every line with all earlier ones of like length; short ones are only compared exactly."""
     key = lambda d: (d is not None, d or 0)
     first, drops = {}, collections.defaultdict(set)
     places = sorted({(key(d), n, line, d) for d, t in rows for n, line in enumerate((t or "").split("\n")) if WORD.search(line)}, key=lambda p: p[:2])
@@ -114,7 +114,7 @@ def line_drops(rows):
     for line in sorted(first, key=first.get):
         by_size[len(line)].append(line)
     near = {line for line in first for size in (len(line) - 1, len(line), len(line) + 1) for other in by_size[size]
-            if first[other] < first[line] and one_edit(line, other)}
+            if first[other] < first[line] and min(len(line), len(other)) >= exact_below and one_edit(line, other)}
     for _, n, line, d in places:
         if line in near:
             drops[d].add(n)
@@ -147,6 +147,15 @@ def test_line_dedup(spark):
     assert line_dedup.dedup(docs).columns == docs.columns
 
 
+def test_short_lines_are_only_compared_exactly(spark):
+    rows = [(1, "De.\nDie.\nsevench\neightcha\nIn."), (2, "De.\nsevenche\neightchb\nIt.\nsevencha"), (3, "10\n11\n10\neightchab")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for bound in (0, 8, 9, 1000):
+        want = line_drops(rows, bound)
+        got = {r.doc_id: r.dropped for r in line_dedup.line_report(docs, bound).collect()}
+        assert got == {d: ",".join(map(str, sorted(want.get(d, ())))) for d, _ in rows}, bound
+
+
 def test_line_dedup_of_rows_with_one_id(spark):
     one, two = "a fairly long line of words", "another line of quite other words"
     rows = [(None, f"{one}\nonly here"), (None, f"{two}\nunique in its row\n{one}"), (7, "the first of seven\nstays\nsomething"),
