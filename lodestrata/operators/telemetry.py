@@ -42,13 +42,13 @@ def _ended() -> Column:
 
 def server_stats(requests: DataFrame) -> DataFrame:
     """Totals of a server over its request rows, and the requests still active when the last one started."""
-    newest = requests.agg(F.max(_started())).first()[0]
+    newest = requests.agg(F.max(_started())).scalar()  # part of the one plan
     return requests.agg(
         F.count("*").alias("total_requests"),
         F.sum("prompt_tokens").alias("prompt_tokens"),
         F.sum("completion_tokens").alias("generated_tokens"),
         F.count_if(F.col("status") != "200").alias("errors"),
-        F.count_if(_ended() > F.lit(newest)).alias("active"),
+        F.count_if(_ended() > newest).alias("active"),
     )
 
 
