@@ -12,19 +12,22 @@ from lodestrata.plans.inputs import rounded
 from lodestrata.plans.catalog import Tables, query
 from lodestrata.plans.corpus import FIXED_CHUNKS_SQL, OVERLAP, SIZE
 from lodestrata.plans.fleet import BOUNDS_SQL, HOUR, LE_SQL, REQ, ROLLED, shown_bound, start_sql, within_rank
+from lodestrata.sources.documents import is_folder
 from lodestrata.streaming import rates, tables
 from lodestrata.streaming.alerts import silence_rules, stream_alerts, stream_silence
 from lodestrata.streaming.run import new_folder, run_available
 
 
 class StreamedTables(Tables):
-    """The same tables as file streams."""
+    """The same tables as file streams; a table is one file or a folder of files."""
 
     def __getattr__(self, name):
         if name.startswith("_"):
             raise AttributeError(name)
-        schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+        path = f"{self.folder}/{name}.parquet"
+        feed = self.spark.readStream.schema(self.spark.read.parquet(path).schema)
+        # a file source watches folders: a single file is picked out of the folder it lies in
+        return feed.parquet(path) if is_folder(self.spark, path) else feed.option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
 
 
 def _requests(t):

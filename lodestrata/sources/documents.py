@@ -25,6 +25,10 @@ def _status(spark: SparkSession, path: str):
     return fs.getFileStatus(hadoop_path)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    return _status(spark, path).isDirectory()
+
+
 def _suffix_glob(suffixes) -> str:
     return "*{" + ",".join(suffixes) + "}"
 

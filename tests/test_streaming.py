@@ -136,3 +136,15 @@ def test_ingest_drops_a_source_that_comes_again_within_the_time(spark, tmp_path)
     rows = spark.read.parquet(str(tmp_path / "w/out"))
     assert sorted((r["source"], r["text"]) for r in rows.collect()) == [
         ("a", "much later"), ("a", "one two three"), ("b", "four"), ("c", "five"), ("d", "far on"), ("e", "on")]
+
+
+def test_tables_that_are_folders_of_files(spark, folder, tmp_path):
+    """A streamed table gives the same rows as one file and as a folder of part files."""
+    from lodestrata.plans import all_queries
+
+    for name in ("documents", "events"):
+        spark.read.parquet(f"{folder}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name in ("stream_ingest", "stream_request_rate"):
+        build = all_queries()[name]
+        got, want = ([tuple(r) for r in build(spark, f).collect()] for f in (str(tmp_path), folder))
+        assert want and sorted(got) == sorted(want), name
