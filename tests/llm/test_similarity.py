@@ -156,6 +156,16 @@ def test_short_lines_are_only_compared_exactly(spark):
         assert got == {d: ",".join(map(str, sorted(want.get(d, ())))) for d, _ in rows}, bound
 
 
+def test_the_query_compares_lines_of_any_length(spark, tmp_path):
+    from lodestrata.llm.queries import QUERIES
+
+    rows = [(1, "De.\nDie.\nsevench\neightcha\nIn."), (2, "De.\nsevenche\neightchb\nIt.\nsevencha"), (3, "10\n11\n10\neightchab")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = line_drops(rows)
+    got = {r.doc_id: r.dropped for r in QUERIES["op5_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {d: ",".join(map(str, sorted(want.get(d, ())))) for d, _ in rows}
+
+
 def test_line_dedup_of_rows_with_one_id(spark):
     one, two = "a fairly long line of words", "another line of quite other words"
     rows = [(None, f"{one}\nonly here"), (None, f"{two}\nunique in its row\n{one}"), (7, "the first of seven\nstays\nsomething"),
