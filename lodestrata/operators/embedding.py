@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Tuple
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,8 @@ from lodestrata.functions.text import word_tokens
 DEFAULT_DIMENSION = 384
 # Texts per call of a neural model.
 DEFAULT_BATCH = 32
+# Texts per call of the hashing model, whose dense rows are all that a worker holds at once.
+HASHED_BATCH = 512
 
 
 @dataclass(frozen=True)
@@ -43,7 +46,7 @@ def token_slots(dimension: int) -> Callable[[Column], Column]:
     return prepare
 
 
-def hashing_model(dimension: int = DEFAULT_DIMENSION) -> EmbeddingModel:
+def hashing_model(dimension: int = DEFAULT_DIMENSION, batch: int | None = HASHED_BATCH) -> EmbeddingModel:
     """Hashed bag of words, scaled to unit length: deterministic and needs no files."""
     def load():
         def embed(slots: pd.Series) -> np.ndarray:
@@ -59,26 +62,45 @@ def hashing_model(dimension: int = DEFAULT_DIMENSION) -> EmbeddingModel:
             return np.divide(matrix, norms, out=matrix, where=norms > 0)
         return embed
 
-    return EmbeddingModel(f"hashing-{dimension}", dimension, token_slots(dimension), load, batch=None)
+    return EmbeddingModel(f"hashing-{dimension}", dimension, token_slots(dimension), load, batch)
+
+
+def _vectors(run: Callable[[pd.Series], np.ndarray], prepared: pd.Series) -> pd.Series:
+    filled = prepared.map(lambda v: () if v is None else v)
+    return pd.Series(list(run(filled).astype(np.float32)), dtype=object)
 
 
 def vector_udf(model: EmbeddingModel):
-    """The model as an iterator UDF over its prepared column."""
+    """The model as an iterator UDF over its prepared column; vectors leave as they are made, ``batch`` at a time."""
     load, size = model.load, model.batch
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         run = load()
         for batch in batches:
-            filled = batch.map(lambda v: () if v is None else v)
-            step = size or max(len(filled), 1)
-            parts = [run(filled.iloc[i:i + step]).astype(np.float32) for i in range(0, len(filled), step)]
-            yield pd.Series([row for part in parts for row in part], dtype=object)
+            step = size or max(len(batch), 1)
+            for i in range(0, len(batch), step):
+                yield _vectors(run, batch.iloc[i:i + step])
 
     # keeps the optimizer from calling the model a second time inside a pushed-down filter
     return embed.asNondeterministic()
 
 
+def vectors_udf(model: EmbeddingModel, names: list[str]):
+    """The model over several prepared columns of a row in one worker: a struct with one vector per name."""
+    load, size = model.load, model.batch
+
+    @F.pandas_udf(T.StructType([T.StructField(n, T.ArrayType(T.FloatType())) for n in names]))
+    def embed(batches: Iterator[Tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        run = load()
+        for columns in batches:
+            step = size or max(len(columns[0]), 1)
+            for i in range(0, len(columns[0]), step):
+                yield pd.DataFrame({n: _vectors(run, c.iloc[i:i + step]) for n, c in zip(names, columns)})
+
+    return embed.asNondeterministic()
+
+
 def embed_chunks(
     chunks: DataFrame, model: EmbeddingModel | None = None, text: str = "text", partitions: int | None = None
 ) -> DataFrame:
