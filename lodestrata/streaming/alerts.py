@@ -7,6 +7,7 @@ the watermark are dropped by Spark. State of a series is gone once nothing can f
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +18,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from lodestrata.operators.alerts import holds
 
 OUT = "rule string, series string, event string, started_at long, at long"
+# Rows that wait are kept by stretches of so many seconds: a call to the state store reads or writes a stretch, not a row.
+STRETCH = 3600
+# Rows of a key that are gathered before they are put into their stretches.
+GATHERED = 500_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -37,37 +42,67 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long", self.ROW)
+        self.waiting = handle.getMapState("waiting", "stretch long", "rows binary")
         self.state = handle.getValueState("state", self.STATE)
         self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        gathered: list[tuple] = []
         for batch in rows:
-            for at, *row in batch[["at", *(c.split()[0] for c in self.ROW.split(", "))]].itertuples(index=False, name=None):
-                self.waiting.updateValue((int(at),), tuple(row))
-        yield self._advance(key, timerValues)
+            gathered.extend(batch[["at", *(c.split()[0] for c in self.ROW.split(", "))]].itertuples(index=False, name=None))
+            if len(gathered) >= GATHERED:
+                self._keep(gathered)
+                gathered = []
+        self._keep(gathered)
+        yield from self._advance(key, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.timer.clear()
-        yield self._advance(key, timerValues)
+        yield from self._advance(key, timerValues)
 
-    def _advance(self, key, timerValues) -> pd.DataFrame:
+    def _keep(self, rows: list[tuple]) -> None:
+        """Put rows into their stretches; of two rows at one time the later one stays."""
+        parts: dict[int, dict] = {}
+        for at, *row in rows:
+            parts.setdefault(int(at) // STRETCH, {})[int(at)] = tuple(row)
+        for stretch, part in parts.items():
+            self._write(stretch, {**self._read(stretch), **part} if self.waiting.containsKey((stretch,)) else part)
+
+    def _read(self, stretch: int) -> dict:
+        return pickle.loads(self.waiting.getValue((stretch,))[0])
+
+    def _write(self, stretch: int, rows: dict) -> None:
+        self.waiting.updateValue((stretch,), (pickle.dumps(rows),))
+
+    def _advance(self, key, timerValues) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() // 1000
         state = self.state.get() if self.state.exists() else None
-        waiting = sorted((k[0], v) for k, v in self.waiting.iterator())
         events: list[tuple] = []
-        for at, row in waiting:
-            if at > now:
+        times: list[int] = []
+        for stretch in sorted(k[0] for k in self.waiting.keys()):
+            rows = self._read(stretch)
+            due = sorted(at for at in rows if at <= now)
+            for at in due:
+                state = self.take(self.pass_time(state, at, events), at, rows.pop(at), events)
+            if rows:
+                if due:
+                    self._write(stretch, rows)
+                times.append(min(rows))
                 break
-            state = self.take(self.pass_time(state, at, events), at, row, events)
-            self.waiting.removeKey((at,))
+            self.waiting.removeKey((stretch,))
+            if events:
+                yield self._made(key, events)
+                events = []
         state = self.pass_time(state, now, events)
         if state is None:
             self.state.clear()
         else:
             self.state.update(tuple(state))
-        times = [at for at, _ in waiting if at > now] + [t for t in [self.wake_at(state)] if t is not None]
+        times += [t for t in [self.wake_at(state)] if t is not None]
         self._wake(min(times) if times else None)
+        yield self._made(key, events)
+
+    def _made(self, key, events: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame([(*key, *e) for e in events], columns=self.EVENT)
 
     def _wake(self, at: int | None) -> None:

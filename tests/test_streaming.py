@@ -148,3 +148,64 @@ def test_tables_that_are_folders_of_files(spark, folder, tmp_path):
         build = all_queries()[name]
         got, want = ([tuple(r) for r in build(spark, f).collect()] for f in (str(tmp_path), folder))
         assert want and sorted(got) == sorted(want), name
+
+
+class Kept(dict):
+    """A map or value state in memory that counts its calls."""
+
+    calls = 0
+
+    def _called(self, made=None):
+        Kept.calls += 1
+        return made
+
+    def updateValue(self, key, value):
+        self[key] = self._called(value)
+
+    def getValue(self, key):
+        return self._called(self[key])
+
+    def containsKey(self, key):
+        return self._called(key in self)
+
+    def removeKey(self, key):
+        self._called(self.pop(key, None))
+
+    def keys(self):
+        return self._called(list(dict.keys(self)))
+
+    def iterator(self):
+        return self._called(list(self.items()))
+
+    def exists(self):
+        return "value" in self
+
+    def get(self):
+        return self["value"]
+
+    def update(self, value):
+        self["value"] = value
+
+
+class Handle:
+    getMapState = getValueState = lambda self, *a: Kept()
+    registerTimer = deleteTimer = lambda self, *a: None
+
+
+def test_waiting_rows_take_a_call_by_stretch():
+    """20,000 samples of a counter wait and are taken in some dozen calls of the state store."""
+    import types
+
+    import pandas as pd
+
+    made, Kept.calls = rates.CounterState(), 0
+    made.init(Handle())
+    at = lambda seconds: types.SimpleNamespace(getCurrentWatermarkInMs=lambda: seconds * 1000)
+    rows = pd.DataFrame({"at": range(20_000), "value": [float(i % 7) for i in range(20_000)]}).sample(frac=1.0, random_state=1)
+    assert not sum(len(p) for p in made.handleInputRows(("s",), iter([rows[:9000], rows[9000:]]), at(-1)))
+    out = pd.concat(made.handleExpiredTimer(("s",), at(12_345), None))
+    assert list(out["at"]) == list(range(12_346))
+    assert list(out["growth"]) == [0.0 if i == 0 or i % 7 == 0 else 1.0 for i in range(12_346)]
+    rest = pd.concat(made.handleExpiredTimer(("s",), at(30_000), None))
+    assert list(rest["at"]) == list(range(12_346, 20_000))
+    assert Kept.calls < 200
