@@ -14,7 +14,15 @@ BINS = 1024
 # So many rows may be put in order by a plain top-n.
 IN_ONE_TASK = 100_000
 _WHOLE = ("tinyint", "smallint", "int", "bigint")
-_TIMES = {"date": lambda c: F.unix_date(c).cast("long"), "timestamp": F.unix_micros}
+
+
+def _wall_micros(c: Column) -> Column:
+    """Microseconds of a time without zone, from its parts: a cast would put it through the session's zone, where clocks are set back."""
+    second = F.unix_date(c.cast("date")).cast("long") * 86_400 + F.hour(c) * 3600 + F.minute(c) * 60
+    return second * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
+
+
+_TIMES = {"date": lambda c: F.unix_date(c).cast("long"), "timestamp": F.unix_micros, "timestamp_ntz": _wall_micros}
 
 
 def _whole(df: DataFrame, name: str) -> Column | None:

@@ -36,3 +36,13 @@ def test_a_tenth_is_a_filter_and_no_top_n(spark):
     assert limits and max(limits) <= 16 and "GlobalLimit" not in plan
     want = {r.id for r in df.orderBy(F.md5(F.concat(F.lit("42:"), F.col("id").cast("string"))), "id").limit(2000).collect()}
     assert {r.id for r in made.collect()} == want
+
+
+def test_times_without_zone_are_cut_by_histogram(spark):
+    df = spark.range(4000).selectExpr("id", "TIMESTAMP_NTZ'1969-12-31 23:50:00' + make_dt_interval(0, 0, 0, (id * 7919 % 4000) / 3) AS at")
+    made = ranks.smallest(df, ["at", "id"], 2500, in_one_task=16)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    limits = [int(x.split("=")[1].split(",")[0].rstrip(")")) for x in plan.split() if x.startswith("TakeOrderedAndProject(limit=")]
+    assert limits and max(limits) <= 16 and "GlobalLimit" not in plan
+    want = sorted((r.at, r.id) for r in df.collect())[:2500]
+    assert sorted((r.at, r.id) for r in made.collect()) == want
