@@ -111,11 +111,15 @@ def running(
 def trailing_range(
     df: DataFrame, keys: list[str], ts: str, seconds: int, aggs: dict[str, Column], block_seconds: int = 3600
 ) -> DataFrame:
-    """Aggregates over the half-open range ``(ts - seconds, ts]`` per key.
+    """Counts and sums over the half-open range ``(ts - seconds, ts]`` per key.
 
     Rows near the start of a block look back into the one before it, so each row is also
     handed to the next block if it lies within ``seconds`` of its start. That halo is a
-    share ``seconds / block_seconds`` of the rows and is dropped after the window.
+    share ``seconds / block_seconds`` of the rows and is dropped at the end.
+
+    A frame that slides is added up anew at each row. Here a block is cut into cells as long as the
+    range, so a range is the rows of its own cell up to the row and those of the cell before that lie
+    further on in their cell than the row does in its own: two running aggregates, each a single pass.
     """
     if block_seconds < seconds:
         raise ValueError("a block must be at least as long as the range")
@@ -127,10 +131,25 @@ def trailing_range(
         "_block",
         F.explode(F.when(near_end, F.array(F.col("_home"), F.col("_home") + 1)).otherwise(F.array("_home"))),
     )
-    window = Window.partitionBy(*keys, "_block").orderBy("_us").rangeBetween(-(reach - 1), 0)
-    for name, agg in aggs.items():
-        rows = rows.withColumn(name, agg.over(window))
-    return rows.filter(F.col("_block") == F.col("_home")).drop("_us", "_home", "_block")
+    since = F.col("_us") - F.col("_block") * span
+    rows = rows.filter("_block IS NOT NULL").repartition(*keys, "_block").withColumn(
+        "_cell", F.floor(since / reach).cast("long")).withColumn("_x", since - F.col("_cell") * reach)
+    inside = Window.partitionBy(*keys, "_block", "_cell")
+    upto = inside.orderBy("_x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    onward = inside.orderBy(F.desc("_x")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select(
+        "*", *[agg.over(upto).alias(f"_upto_{name}") for name, agg in aggs.items()],
+        F.struct(*[agg.over(onward).alias(name) for name, agg in aggs.items()]).alias("_onward"))
+    # each row asks the cell before, from its place on, and answers in its own
+    rows = rows.withColumn("_asks", F.explode(F.array(F.lit(True), F.lit(False)))).filter(
+        ~F.col("_asks") | (F.col("_block") == F.col("_home"))).withColumn(
+        "_cell", F.col("_cell") - F.col("_asks").cast("long")).withColumn("_onward", F.when(~F.col("_asks"), F.col("_onward")))
+    further = inside.orderBy(F.desc("_x"), F.desc("_asks")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_before", F.last("_onward", ignorenulls=True).over(further)).filter("_asks")
+    for name in aggs:
+        here, before = F.col(f"_upto_{name}"), F.col("_before")[name]
+        rows = rows.withColumn(name, F.when(before.isNull(), here).when(here.isNull(), before).otherwise(here + before)).drop(f"_upto_{name}")
+    return rows.drop("_us", "_home", "_block", "_cell", "_x", "_asks", "_onward", "_before")
 
 
 def exact_quantiles(

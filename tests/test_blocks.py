@@ -1,5 +1,7 @@
 """Blocked operators against pandas, with one key holding most rows."""
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -75,3 +77,19 @@ def test_null_key_is_a_group(spark):
         (k, s): sum(v2 for k2, s2, v2 in rows if k2 == k and s2 <= s) for k, s, _ in rows}
     medians = {r["k"]: r["value"] for r in blocks.exact_quantiles(df, ["k"], "v", [0.5], 2.0).collect()}
     assert medians == {k: float(np.quantile([v for k2, _, v in rows if k2 == k], 0.5)) for k in (None, "a")}
+
+
+def test_trailing_sums_in_single_passes(spark):
+    """No frame slides, and null values, ties and block borders count as in a plain window."""
+    draw = random.Random(5)
+    rows = [(i, draw.choice(["a", None]), draw.randint(0, 900), draw.choice([None, None, 3, -2])) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, k string, s long, v long").withColumn("ts", F.timestamp_seconds("s"))
+    for block in (60, 100, 600):
+        made = blocks.trailing_range(df, ["k"], "ts", 60, {"n": F.count(F.lit(1)), "total": F.sum("v")}, block)
+        assert "specifiedwindowframe(RangeFrame, -" not in made._jdf.queryExecution().executedPlan().toString()
+        want = {}
+        for i, k, s, _ in rows:
+            seen = [r for r in rows if r[1] == k and s - 60 < r[2] <= s]
+            some = [r[3] for r in seen if r[3] is not None]
+            want[i] = (len(seen), sum(some) if some else None)
+        assert {r.id: (r.n, r.total) for r in made.collect()} == want, block
