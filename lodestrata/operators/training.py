@@ -21,6 +21,8 @@ MAX_LENGTH = 2048
 PERPLEXITY_LIMIT = 50.0
 TRAIN_NAMES = ("loss", "learning_rate", "epoch")
 HEALTH_LOSS, HEALTH_GAP, HEALTH_RATE = 1.0, 0.5, 5.0
+# Records of whole blocks that one call shortens.
+RECORDS_A_CALL = 20_000
 
 
 @dataclass(frozen=True)
@@ -348,8 +350,10 @@ def _linked_records(records: DataFrame, keys: list[str], patience: int, threshol
         *block, "_n", "_next", "_target")
     linked = match(rows.select(*block, "_n"), next_of, [*block, "_n"], "left")
 
-    paths = linked.groupBy(*block).applyInPandas(
-        lambda part: _shortened(part, patience),
+    # many blocks a call: most hold few records, and a call costs more than they do
+    buckets = 1 + rows.count() // RECORDS_A_CALL
+    paths = linked.groupBy(F.pmod(F.xxhash64(*block), F.lit(buckets)).alias("_bucket")).applyInPandas(
+        lambda part: _shortened(part, block, patience),
         T.StructType([*(linked.schema[c] for c in [*block, "_n"]), T.StructField("_to", T.LongType()), T.StructField("_to_block", T.LongType())])).checkpoint()
     starts = rows.groupBy(*keys).agg(F.min(F.struct("_n", "_block")).alias("_s")).select(*keys, F.col("_s._block").alias("_block"), F.col("_s._n").alias("_n"))
     at_start = match(paths, starts, [*block, "_n"])
@@ -372,21 +376,23 @@ def _linked_records(records: DataFrame, keys: list[str], patience: int, threshol
     return stop.select(*keys, "evaluations", "last_step", F.when(far, F.col("_n") + patience).alias("_stop_n"), F.col("_m").alias("_b"), F.col("_n").alias("_last_n"))
 
 
-def _shortened(part: pd.DataFrame, patience: int) -> pd.DataFrame:
-    """Each record of a block with the end of its path in the block, or the record of another block that it leaves for."""
-    part = part.sort_values("_n", ignore_index=True)
-    n, block = part["_n"].to_numpy(np.int64), int(part["_block"].iloc[0])
+def _shortened(part: pd.DataFrame, block: list[str], patience: int) -> pd.DataFrame:
+    """Each record with the end of its path in its block, or the record of another block that it leaves for; ``part`` holds whole blocks."""
+    part = part.assign(_g=part.groupby(block, dropna=False, sort=False).ngroup()).sort_values(["_g", "_n"], ignore_index=True)
+    n, own = part["_n"].to_numpy(np.int64), part["_block"].to_numpy(np.int64)
+    # places of records as numbers that ascend over all blocks of the part
+    base = part["_g"].to_numpy(np.int64) * (n.max() - n.min() + 1) - n.min()
     following, target = part["_next"].fillna(-1).to_numpy(np.int64), part["_target"].fillna(-1).to_numpy(np.int64)
     goes = part["_next"].notna().to_numpy() & (following - n <= patience)
-    inside = goes & (target == block)
-    to = np.where(inside, np.searchsorted(n, np.where(inside, following, n[0])), np.arange(len(n)))
+    inside = goes & (target == own)
+    to = np.where(inside, np.searchsorted(base + n, base + np.where(inside, following, n)), np.arange(len(n)))
     while True:
         further = to[to]
         if (further == to).all():
             break
         to = further
     leaves = goes[to]
-    made = part.drop(columns=["_next", "_target"])
+    made = part[[*block, "_n"]].copy()
     made["_to"] = np.where(leaves, following[to], n[to])
     made["_to_block"] = pd.array(np.where(leaves, target[to], 0), dtype="Int64")
     made.loc[~leaves, "_to_block"] = pd.NA

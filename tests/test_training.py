@@ -219,3 +219,33 @@ def test_tokenizer_hook(spark):
     for k, text in enumerate(texts):
         ids = tok.encode(text or "", add_special_tokens=False).ids
         assert (list(got[k].tokens), got[k].n_tokens, got[k].truncated) == (ids[:2048], min(len(ids), 2048), len(ids) > 2048)
+
+
+def test_short_blocks_share_a_call(spark, tmp_path, monkeypatch):
+    """Many runs with few records a block take few calls of Python, and stop where each alone would."""
+    draw = random.Random(11)
+    rows = [(r, s, draw.random() * 10) for r in [*range(60), None] for s in range(0, 400, 10)]
+    df = spark.createDataFrame(rows, "run_id long, step long, metric double")
+    log, plain = str(tmp_path / "calls"), training._shortened
+
+    def counted(*args):
+        with open(log, "a") as f:
+            f.write("x")
+        return plain(*args)
+
+    monkeypatch.setattr(training, "_shortened", counted)
+    got = {r.run_id: (r.best, r.stop_step) for r in training.early_stopping(df, 6, 0.5, block_width=40).collect()}
+    want = {}
+    for run in [*range(60), None]:
+        best, misses, stop = None, 0, None
+        for _, s, m in [x for x in rows if x[0] == run]:
+            if best is None or m < best - 0.5:
+                best, misses = m, 0
+            else:
+                misses += 1
+                if misses >= 6:
+                    stop = s
+                    break
+        want[run] = (best, stop)
+    assert got == want
+    assert len(open(log).read()) <= 20
