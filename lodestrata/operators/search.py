@@ -18,7 +18,9 @@ SCORE_DIGITS = 9
 # Largest query matrix (rows x dimension x 8 bytes) that is handed to every task.
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 # Largest block of scores (rows x queries x 8 bytes) that a task holds at once.
-SCORE_BLOCK_BYTES = 32 * 1024 * 1024
+SCORE_BLOCK_BYTES = 8 * 1024 * 1024
+# Candidates (query, key, score) that wait in a task before they are cut to the best of each query.
+WAITING = 1_000_000
 # Fewest and most cells of an index; the table of their centres goes to every task.
 CELLS = (16, 4096)
 
@@ -66,6 +68,58 @@ def _stack(values) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in values])
 
 
+class Best:
+    """The best ``k`` keys of each query seen by a task, with scores rounded to SCORE_DIGITS.
+
+    Queries are numbers; ``least`` has the score that a hit of each needs, which rises as hits come. Candidates wait
+    until there are WAITING of them and are then sorted at once, so memory is that and k hits a query,
+    whatever the number of rows. With ``distinct`` a key counts once, at its best score.
+    """
+
+    def __init__(self, least: np.ndarray, k: int, distinct: bool = False):
+        self.least, self.k, self.distinct = least, k, distinct
+        self.parts, self.waiting = [], 0
+
+    def offer(self, asked: np.ndarray, keys: np.ndarray, scores: np.ndarray) -> None:
+        """Scores as queries x keys; NaN is no hit."""
+        least = self.least[asked]
+        new = np.isneginf(least)
+        if new.any() and not self.distinct and 0 < self.k < len(keys):
+            least[new] = np.partition(scores[new], -self.k, axis=1)[:, -self.k]
+        # Twice the unit of rounding below: what rounds to the same score is kept.
+        row, column = np.nonzero(scores >= least[:, None] - 2 * 10.0 ** -SCORE_DIGITS)
+        self.parts.append((asked[row], keys[column], np.round(scores[row, column], SCORE_DIGITS)))
+        self.waiting += len(row)
+        if self.waiting > WAITING:
+            self._cut()
+
+    def _cut(self) -> None:
+        asked, keys, scores = (np.concatenate(x) for x in zip(*self.parts))
+        place = pd.factorize(keys, sort=True)[0]
+        if not self.distinct:
+            place[place < 0] = len(place)  # null keys stand last, as pandas sorts them
+        order = np.arange(len(asked))
+        if self.distinct and len(order):
+            order = np.lexsort((-scores, place, asked))
+            a, p = asked[order], place[order]
+            order = order[np.r_[True, (a[1:] != a[:-1]) | (p[1:] != p[:-1])]]
+        order = order[np.lexsort((place[order], -scores[order], asked[order]))]
+        a = asked[order]
+        start = np.flatnonzero(np.r_[len(a) > 0, a[1:] != a[:-1]][:len(a)])
+        nth = np.arange(len(a)) - np.repeat(start, np.diff(np.r_[start, len(a)]))
+        last = order[nth == self.k - 1]
+        self.least[asked[last]] = np.maximum(self.least[asked[last]], scores[last])
+        order = order[nth < self.k]
+        self.parts, self.waiting = [(asked[order], keys[order], scores[order])], 0
+
+    def frames(self, names: np.ndarray, query_key: str, key: str, rows: int = 100_000):
+        if self.parts:
+            self._cut()
+            asked, keys, scores = self.parts[0]
+            for i in range(0, len(asked), rows):
+                yield pd.DataFrame({query_key: names[asked[i:i + rows]], key: keys[i:i + rows], "score": scores[i:i + rows]})
+
+
 def vector_search_batch(
     vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "vector", key: str = "id",
     query_key: str = "query_id", max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
@@ -73,7 +127,7 @@ def vector_search_batch(
     """Exact top-k for many queries in one pass over the vectors.
 
     A query matrix within the size limit goes to every task, which scores its rows block by
-    block with matrix products and keeps its own top-k per query; only those rows shuffle.
+    block with matrix products and keeps its own top-k per query (``Best``); only those rows shuffle.
     A larger query set takes the cell index with the exact finish instead. Text and metadata
     of the hits are a join on the key afterwards, so they are not carried through the scan.
     """
@@ -87,31 +141,20 @@ def vector_search_batch(
 
     def score(batches):
         ids, unit = shared.value
-        held = pd.DataFrame()
+        codes, names = pd.factorize(ids)  # a null query id gets -1 and no hits
+        asked = np.flatnonzero((codes >= 0) & ~np.isnan(unit).any(axis=1))
+        best = Best(np.full(len(names), -np.inf), k)
         for batch in batches:
-            if not len(batch) or not len(ids):
+            if not len(batch) or not len(asked):
                 continue
-            keys = batch[key].to_numpy()
-            order = np.argsort(keys, kind="stable")
-            rows_unit = _unit(_stack(batch[vector]))[order]
-            tile = max(1, SCORE_BLOCK_BYTES // (8 * len(batch)))
-            parts = [held]
-            for first in range(0, len(ids), tile):
-                scores = np.round(rows_unit @ unit[first:first + tile].T, SCORE_DIGITS)
-                for q in range(scores.shape[1]):
-                    column = scores[:, q]
-                    top = np.argsort(-column, kind="stable")[:k]
-                    top = top[~np.isnan(column[top])]
-                    part = batch.iloc[order[top]][[key]].copy()
-                    part["score"] = column[top]
-                    part[query_key] = ids[first + q]
-                    parts.append(part)
-            joined = pd.concat([p for p in parts if len(p)]) if any(len(p) for p in parts) else held
-            if len(joined):
-                joined = joined.sort_values([query_key, "score", key], ascending=[True, False, True])
-                held = joined.groupby(query_key, sort=False).head(k)
-        if len(held):
-            yield held[[query_key, key, "score"]]
+            rows_unit = _unit(_stack(batch[vector]))
+            whole = ~np.isnan(rows_unit).any(axis=1)
+            keys, rows_unit = batch[key].to_numpy()[whole], rows_unit[whole]
+            tile = max(1, SCORE_BLOCK_BYTES // (8 * max(1, len(keys))))
+            for first in range(0, len(asked), tile):
+                q = asked[first:first + tile]
+                best.offer(codes[q], keys, unit[q] @ rows_unit.T)
+        yield from best.frames(names, query_key, key)
 
     out = T.StructType([
         T.StructField(query_key, queries.schema[query_key].dataType), vectors.schema[key],

@@ -9,6 +9,7 @@ from lodestrata.operators import embedding, lsh, records, search
 from lodestrata.plans import inputs
 from lodestrata.plans.catalog import query
 from lodestrata.plans.inputs import rounded, tokens_sql
+from lodestrata.session import checkpoint_dir
 
 K = 10
 
@@ -145,9 +146,12 @@ def vector_search_ann(t):
     rows = _vectors(t)
     queries = _label_centres(t).select(F.concat(F.lit("label "), "query_id").alias("query_id"), "vector").unionAll(
         rows.filter("id % 100 = 0").select(F.concat(F.lit("row "), "id"), vectors.as_double(F.col("vector"))))
+    # the queries, the exact hits and the recalls are each read more than once
+    checkpoint_dir(rows.sparkSession)
+    queries = queries.checkpoint()
+    exact = search.vector_search_batch(rows, queries, K).checkpoint()
     found = lsh.search_signs(lsh.build_sign_index(rows), queries, K)
-    exact = search.vector_search_batch(rows, queries, K)
-    recall = search.recall_at_k(found, exact, K).join(exact.groupBy("query_id").agg(F.count("*").alias("wanted")), "query_id")
+    recall = search.recall_at_k(found, exact, K).join(exact.groupBy("query_id").agg(F.count("*").alias("wanted")), "query_id").checkpoint()
     mean = recall.agg(F.avg("recall").alias("mean"))
     return recall.crossJoin(mean).select(
         "query_id", "wanted", (F.col("recall") >= 0.9).alias("recalled"), (F.col("mean") >= 0.95).alias("recalled_on_average"))

@@ -70,3 +70,57 @@ def test_crowded_buckets_copies_and_few_rows(spark):
     assert lsh.search_signs(index, ask.filter("query_id < 2"), 1000).groupBy("query_id").count().collect() == [(0, 360), (1, 360)] or \
         {r["count"] for r in lsh.search_signs(index, ask.filter("query_id < 2"), 1000).groupBy("query_id").count().collect()} == {360}
     assert lsh.search_signs(lsh.build_sign_index(vec.limit(0)), ask, 3).count() == 0
+
+
+def test_cost_limit_takes_the_likely_buckets():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        bits, angle, target = int(rng.integers(1, 10)), rng.uniform(0.05, 1.5), rng.uniform(0.3, 0.99)
+        m = rng.normal(size=bits)
+        cost, limit = lsh.cost_limit(m, angle, target)
+        bit = np.arange(1 << bits)[:, None] >> np.arange(bits) & 1
+        total = ((bit != (m > 0)) * cost).sum(axis=1)
+        assert set(np.flatnonzero(total <= limit + 1e-9 * (1 + limit))) == set(lsh.likely_buckets(m, angle, target))
+    # Nothing reaches this target: all buckets; at a right angle all are alike, so all are at the limit.
+    assert lsh.cost_limit(m, 1.0, 2.0)[1] >= lsh.cost_limit(m, 1.0, 2.0)[0].sum() - 1e-6
+    assert np.allclose(lsh.cost_limit(m, np.pi / 2, 0.5)[0], 0)
+
+
+def test_probes_are_one_row_a_query_and_blocks_change_nothing(spark):
+    """Wide probes of many buckets were listed with the query's vector on each: batches without a bound."""
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(400, 6))
+    m[350:] = m[:50]
+    ids = [i if i < 390 else i - 200 for i in range(400)]  # some keys come twice
+    vec = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, m)], "id long, vector array<double>")
+    index = lsh.build_sign_index(vec, bits=8)
+    asked = index.rows.filter("table = 0 and id < 20").select(
+        F.when(F.col("id") != 7, F.col("id")).alias("query_id"), F.col("_unit").alias("_target"), F.lit(float("-inf")).alias("_least"), F.lit(1.2).alias("_angle"))
+    probes = lsh._probes(index, asked, 0.99)
+    assert probes.count() == 20
+    share, got = 1 - 0.01 ** (1 / lsh.TABLES), {}
+    stored = index.rows.collect()
+    unit = {tuple(r["_unit"]) for r in stored}
+    assert len(unit) == 350
+    for r in asked.collect():
+        t = np.array(r["_target"])
+        probed = [set(lsh.likely_buckets(d @ t, 1.2, share)) for d in index.directions]
+        best = {}
+        for s in stored:
+            if s["bucket"] in probed[s["table"]]:
+                best[s["id"]] = max(best.get(s["id"], -2), round(float(t @ np.array(s["_unit"])), 9))
+        got[r["query_id"]] = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
+    for limit_bytes in (1 << 20, 3_000, 1):
+        hits = lsh._rank(lsh._hits(index, probes, 5, "query_id", limit_bytes=limit_bytes), 5, "query_id", "id")
+        made = {}
+        for r in hits.orderBy("query_id", "rank").collect():
+            made.setdefault(r["query_id"], []).append((r["id"], pytest.approx(r["score"], abs=2e-9)))
+        assert made == got
+
+
+def test_rows_of_a_bucket_lie_together(spark):
+    rng = np.random.default_rng(6)
+    vec = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 5)))], "id long, vector array<double>").repartition(5)
+    rows = lsh.build_sign_index(vec, bits=3).rows.withColumn("task", F.spark_partition_id())
+    assert rows.count() == 300 * lsh.TABLES
+    assert rows.groupBy("table", "bucket").agg(F.countDistinct("task").alias("n")).agg(F.max("n")).first()[0] == 1

@@ -132,3 +132,46 @@ def test_records(spark):
     assert [r["id"] for r in records.valid_rows(docs, ["a", "b"]).collect()] == [2]
     merged = spark.range(1).select(records.merge_metadata(F.lit("s"), F.lit(".md"), F.create_map(F.lit("source"), F.lit("own"))))
     assert merged.first()[0] == {"source": "own", "doc_type": ".md"}
+
+
+@pytest.mark.parametrize("distinct", [False, True])
+def test_best_holds_few_candidates(monkeypatch, distinct):
+    """Cut again and again: the same hits as from one sort, and never more than the bound and k a query at once."""
+    monkeypatch.setattr(search, "WAITING", 50)
+    rng = np.random.default_rng(8)
+    keys, scores = rng.integers(0, 60, 300), np.round(rng.normal(size=(6, 300)), 1)
+    scores[:, 17] = np.nan
+    asked, k = np.array([0, 1, 2, 3, 3, 4]), 7  # one query comes twice
+    best, most = search.Best(np.full(5, -np.inf), k, distinct), 0
+    for i in range(0, 300, 5):
+        best.offer(asked, keys[i:i + 5], scores[:, i:i + 5])
+        most = max(most, sum(len(p[0]) for p in best.parts))
+    got = {}
+    for f in best.frames(np.array(list("abcde"), dtype=object), "q", "id", rows=4):
+        assert len(f) <= 4
+        for r in f.itertuples():
+            got.setdefault(r.q, []).append((-r.score, r.id))
+    want = {}
+    for a, row in zip(asked, scores):
+        want.setdefault("abcde"[a], []).extend((-s, i) for i, s in zip(keys, row) if not np.isnan(s))
+    for q, found in want.items():
+        if distinct:
+            found = [(min(s for s, j in found if j == i), i) for i in {i for _, i in found}]
+        assert sorted(got[q]) == sorted(found)[:k]
+    assert most <= 50 + 30 + 5 * k
+
+
+def test_batch_with_repeated_and_null_queries_and_copies(spark, monkeypatch):
+    """Small tiles and cuts give the hits of one whole sort; a null query id has none."""
+    monkeypatch.setattr(search, "SCORE_BLOCK_BYTES", 800)
+    monkeypatch.setattr(search, "WAITING", 20)
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(120, 4))
+    m[40:80] = m[0]
+    q = [m[0], m[5], rng.normal(size=4), np.zeros(4), m[7]]
+    vec = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vector array<double>").repartition(3)
+    ask = spark.createDataFrame([("a", q[0].tolist()), ("b", q[1].tolist()), ("c", q[2].tolist()), ("z", q[3].tolist()), (None, q[4].tolist()), ("b", q[1].tolist())],
+                                "query_id string, vector array<double>")
+    got = ranked(search.vector_search_batch(vec, ask, 6))
+    twice = [i for i in brute(m, q[1], 3) for _ in range(2)]
+    assert got == {"a": brute(m, q[0], 6), "b": twice, "c": brute(m, q[2], 6)}
